@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from talus.llm import mixing, sharding, vectors
 from talus.llm.shared import table
 
+#: A shard's byte limit.
+SHARD_BYTES = 1 << 20
+
 
 def tokenizer_path() -> str:
     import public_tokenizers
@@ -19,8 +24,35 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from talus.llm.mixing import mix
+
+    mixed = mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", F.octet_length("text").cast("long").alias("n_bytes"), F.md5("text").alias("text_md5"), "copy", "shuffle_key")
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from talus.llm.sharding import shard
+
+    return shard(table(spark, sf_dir, "documents"), limit=SHARD_BYTES).select("doc_id", "n_bytes", "shard_id", "depth", "page")
+
+
+def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from talus.llm.vectors import top_k
+
+    embeddings = table(spark, sf_dir, "embeddings")
+    return top_k(embeddings, embeddings.where("vec_id % 100 = 0"))
+
+
 QUERIES = {
+    "op4_vectors": op4_vectors,
+    "op5_sharding": op5_sharding,
+    "op9_mixing": op9_mixing,
     "op10_packing": op10_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op4_vectors": vectors.ORACLE_SQL,
+    "op5_sharding": sharding.ORACLE_SQL,
+    "op9_mixing": mixing.ORACLE_SQL,
+}
