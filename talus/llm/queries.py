@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talus.llm import mixing, sharding, vectors
+from talus.llm import mixing, neardup, sharding, vectors
 from talus.llm.shared import table
 
 #: A shard's byte limit.
@@ -18,23 +18,27 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from talus.llm.packing import pack
+def fold(folds: int) -> Column:
+    """crc32 of doc_id as text, modulo the number of folds."""
+    return F.crc32(F.col("doc_id").cast("string")) % folds
 
-    return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from talus.llm.lm import score
 
-def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from talus.llm.mixing import mix
+    return score(table(spark, sf_dir, "documents"), tokenizer_path(), learn=fold(7) != 2, held_out=fold(7) == 2)
 
-    mixed = mix(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "source", F.octet_length("text").cast("long").alias("n_bytes"), F.md5("text").alias("text_md5"), "copy", "shuffle_key")
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from talus.llm.media import features, stored_media
 
-def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from talus.llm.sharding import shard
+    return features(stored_media(table(spark, sf_dir, "documents")))
 
-    return shard(table(spark, sf_dir, "documents"), limit=SHARD_BYTES).select("doc_id", "n_bytes", "shard_id", "depth", "page")
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from talus.llm.langid import identify
+
+    return identify(table(spark, sf_dir, "documents"), learn=fold(4) != 2, held_out=fold(4) == 2)
 
 
 def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,9 +48,50 @@ def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(embeddings, embeddings.where("vec_id % 100 = 0"))
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from talus.llm.sharding import shard
+
+    return shard(table(spark, sf_dir, "documents"), limit=SHARD_BYTES).select("doc_id", "n_bytes", "shard_id", "depth", "page")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from talus.llm.quality import scored
+
+    return scored(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "weak_label", "score", "kept")
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from talus.llm.tokenfiles import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from talus.llm.mixing import mix
+
+    mixed = mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", F.octet_length("text").cast("long").alias("n_bytes"), F.md5("text").alias("text_md5"), "copy", "shuffle_key")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from talus.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring,
+    "op2_media": op2_media,
+    "op3_language": op3_language,
     "op4_vectors": op4_vectors,
     "op5_sharding": op5_sharding,
+    "op6_quality": op6_quality,
+    "op7_token_counts": op7_token_counts,
+    "op8_neardup": op8_neardup,
     "op9_mixing": op9_mixing,
     "op10_packing": op10_packing,
 }
