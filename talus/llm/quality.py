@@ -3,7 +3,7 @@
 Nine labellers look at statistics of a whole text and vote good, bad or nothing.
 Only the counts of vote patterns over all documents are needed (at most 3**9)
 for expectation-maximisation, which estimates the share of good documents and,
-for each labeller, how often it casts each vote on good and on bad ones.
+for each labeller, how often its vote is good on good and on bad ones.
 That gives each pattern's posterior. A linear scorer over hashed features
 (trigrams of character kinds and letters, and steps of the statistics) is then
 fitted to the posteriors on a bounded sample of rows (``sample_rows``), spread
@@ -90,6 +90,8 @@ def statistics(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             again[i], distinct[i] = (h[1:] == h[:-1]).sum(), len(np.unique(h))
         full = [x for x in t.split(b"\n") if x.strip()]
         lines[i] = 1 - len(set(full)) / len(full) if full else 0
+    # a few symbols or digits tell nothing of a short text
+    symbols, digits = np.maximum(symbols - 3, 0), np.maximum(digits - 16, 0)
     out = np.stack([words, symbols / solid, upper / np.maximum(upper + lower, 1), digits / solid, lone / some, again / some, distinct / some, lines, solid / some, count(short) / some], 1)
     return out, flat, offsets
 
@@ -121,16 +123,17 @@ def votes(s: np.ndarray) -> np.ndarray:
 
 
 def accuracies(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[float, np.ndarray]:
-    """The share of good documents, and p(vote | class) as (class bad/good, labeller, vote -1/0/1), by expectation-maximisation."""
-    hot = np.stack([patterns == v for v in (-1, 0, 1)], 2).astype(np.float64)
-    balance = patterns.sum(1)
-    # to start with, one bad vote counts as much as three good ones: labellers mostly see the absence of a fault
-    p = 1 / (1 + np.exp(-(balance - 2.0 * (patterns == -1).sum(1)).clip(-30, 30)))
-    share, table = 0.5, np.full((2, patterns.shape[1], 3), 1 / 3)
+    """The share of good documents, and p(good vote | class, some vote) as (class bad/good, labeller), by expectation-maximisation.
+
+    Nothing is learnt from a labeller that does not vote. To start with, a document
+    with any bad vote is probably bad: each labeller sees the absence of one fault.
+    """
+    up, down = (patterns == 1).astype(np.float64), (patterns == -1).astype(np.float64)
+    p = np.where(down.any(1), 0.1, 0.9)
+    share, table = 0.5, np.full((2, patterns.shape[1]), 0.5)
     for _ in range(rounds):
         sides = np.stack([counts * (1 - p), counts * p])
-        table = np.einsum("cn,nlv->clv", sides, hot) + 0.5
-        table /= table.sum(2, keepdims=True)
+        table = (sides @ up + 0.5) / (sides @ (up + down) + 1)
         share = (sides[1].sum() + 1) / (counts.sum() + 2)
         new = posterior(patterns, share, table)
         if np.abs(new - p).max() < 1e-9:
@@ -141,8 +144,9 @@ def accuracies(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> t
 
 def posterior(patterns: np.ndarray, share: float, table: np.ndarray) -> np.ndarray:
     """p(good | votes)."""
-    logs = np.log(table)[:, np.arange(patterns.shape[1])[None], patterns + 1].sum(2)
-    return 1 / (1 + np.exp(np.clip(logs[0] - logs[1] + math.log(1 - share) - math.log(share), -30, 30)))
+    table = np.clip(table, 1e-6, 1 - 1e-6)
+    logs = (patterns == 1) @ np.log(table).T + (patterns == -1) @ np.log(1 - table).T
+    return 1 / (1 + np.exp(np.clip(logs[:, 0] - logs[:, 1] + math.log(1 - share) - math.log(share), -30, 30)))
 
 
 def hashed(s: np.ndarray, flat: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -211,7 +215,7 @@ def labeller_model(docs: DataFrame) -> tuple[float, np.ndarray]:
     """Share of good documents and each labeller's vote table, from all rows."""
     got = patterns_of(docs).collect()  # at most 3**9 rows
     if not got:
-        return 0.5, np.full((2, 9, 3), 1 / 3)
+        return 0.5, np.full((2, 9), 0.5)
     return accuracies(np.stack([np.frombuffer(r["votes"], np.int8) for r in got]), np.array([r["n"] for r in got], np.float64))
 
 
