@@ -13,9 +13,10 @@ missed with a probability of 3e-6.
 Pairs that share a key are never listed as such. First every document is held
 against the smallest of each of its keys (a star), links are confirmed on the
 full sets and joined to components. Then only keys whose documents lie in
-several components are left; within these, signatures are compared in numpy,
-blocks of one key against blocks, and only pairs of different components
-within ``near`` symbols are confirmed. So each pair that shares a key is either
+several components are left. Their documents get a longer signature, and within
+these keys signatures are compared in numpy, blocks of one key against blocks;
+only pairs of different components that are near by both signatures are
+confirmed. So each pair that shares a key is either
 confirmed, refuted, or in one component already.
 
 Defined results: null, empty or blank texts have an empty set and are linked
@@ -50,6 +51,10 @@ class NearRules:
     width: int = 7
     #: Pairs beyond this distance are not confirmed; at the least similarity more differ with a probability of 1e-6.
     near: int = 27
+    #: Symbols of 8 bits of the longer signature that documents between components get, and the distance beyond which
+    #: a pair of these is not confirmed; at the least similarity more differ with a probability of 1e-6.
+    fine_symbols: int = 512
+    fine_near: int = 116
     #: Documents of a key in one block of the comparison.
     block: int = 2048
 
@@ -127,8 +132,23 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, rules: NearRules) -> DataFram
     return with_b.join(asked.withColumnsRenamed({"id": "a", "text": "text_a"}), "a").select("a", "b", "text_a", "text_b").mapInArrow(task, "a long, b long")
 
 
+def _fine(rows: DataFrame, texts: DataFrame, rules: NearRules) -> DataFrame:
+    """rows (with an id) and the longer signature of each one's text, ``fine``."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            asked = batch.column(1).cast(pa.binary()).to_pylist()
+            for a, b in in_chunks(asked, 500_000):
+                fine = minhashes(*shingle_sets(asked[a:b], rules.words), rules.fine_symbols, seed=12).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([f.tobytes() for f in fine], pa.binary())], ["id", "fine"])
+
+    ids = stored(rows.select("id").distinct())
+    asked = texts.join(checked_broadcast(ids, ids.count()), "id", "left_semi")
+    return rows.join(stored(asked.mapInArrow(task, "id long, fine binary")), "id")
+
+
 def _across(rows: DataFrame, rules: NearRules) -> DataFrame:
-    """a, b (a < b): near signatures of different components within a key. rows: key, id, component, sig.
+    """a, b (a < b): near signatures of different components within a key. rows: key, id, component, sig, fine.
 
     A key of more documents than a block is compared block against block, each
     pair of blocks in a group of its own.
@@ -140,10 +160,13 @@ def _across(rows: DataFrame, rules: NearRules) -> DataFrame:
         .withColumn("parts", parts)
         .withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "component", "sig")
+        .select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "component", "sig", "fine")
     )
 
-    def compare(own: np.ndarray, ids: np.ndarray, comps: np.ndarray, sigs: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    def close(sigs: np.ndarray, x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
+        return np.concatenate([(sigs[x[k : k + 20_000]] != sigs[y[k : k + 20_000]]).sum(1) <= most for k in range(0, len(x), 20_000)])
+
+    def compare(own: np.ndarray, ids: np.ndarray, comps: np.ndarray, sigs: np.ndarray, fine: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
         left = np.flatnonzero(own == low)
         right = left if low == high else np.flatnonzero(own == high)
         found = []
@@ -153,12 +176,13 @@ def _across(rows: DataFrame, rules: NearRules) -> DataFrame:
             if low == high:
                 apart &= ids[i][:, None] < ids[right][None, :]
             x, y = np.nonzero(apart)
-            if len(x):
-                close = (sigs[i[x]] != sigs[right[y]]).sum(1) <= rules.near if len(x) < 100_000 else np.concatenate([(sigs[i[x[k : k + 100_000]]] != sigs[right[y[k : k + 100_000]]]).sum(1) <= rules.near for k in range(0, len(x), 100_000)])
-                found.append(np.stack([ids[i[x[close]]], ids[right[y[close]]]]))
-        if not found:
-            return ids[:0], ids[:0]
-        both = np.concatenate(found, axis=1)
+            x, y = i[x], right[y]
+            for signature, most in ((sigs, rules.near), (fine, rules.fine_near)):
+                if len(x):
+                    keep = close(signature, x, y, most)
+                    x, y = x[keep], y[keep]
+            found.append(np.stack([ids[x], ids[y]]))
+        both = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
         return both.min(0), both.max(0)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,8 +202,8 @@ def _across(rows: DataFrame, rules: NearRules) -> DataFrame:
 
     def runs(table: pa.Table, cuts: list[int]) -> pa.RecordBatch:
         own, ids, comps, low, high = (table.column(c).to_numpy() for c in ("own", "id", "component", "low", "high"))
-        sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(len(ids), -1)
-        got = [compare(own[i:j], ids[i:j], comps[i:j], sigs[i:j], low[i], high[i]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+        sigs, fine = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind).reshape(len(ids), -1) for c, kind in (("sig", np.uint16), ("fine", np.uint8)))
+        got = [compare(own[i:j], ids[i:j], comps[i:j], sigs[i:j], fine[i:j], low[i], high[i]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([g[k] for g in got])) for k in (0, 1)], ["a", "b"])
 
     return placed.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(task, "a long, b long").distinct()
@@ -204,7 +228,7 @@ def near_duplicates(docs: DataFrame, rules: NearRules = NearRules()) -> DataFram
     mixed_keys = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
     left = labelled.join(mixed_keys, "key").join(classes.where("n_shingles > 5").select("id", "sig"), "id")
     refuted = starred.select("a", "b")
-    more = _across(stored(left), rules).join(refuted, ["a", "b"], "left_anti")
+    more = stored(_across(stored(_fine(stored(left), texts, rules)), rules)).join(refuted, ["a", "b"], "left_anti")
     linked_more = stored(_confirmed(more, texts, rules))
     last = stored(components(linked.unionByName(same).unionByName(linked_more)))
     class_of = classes.join(last.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
