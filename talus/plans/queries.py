@@ -129,7 +129,7 @@ def account_format(spark: SparkSession, d: str) -> DataFrame:
     return D.read(spark, d, "customer").select("c_custkey", checkdigits.account_number(raw).alias("account"))
 
 
-@query(f"""WITH z AS (SELECT 1) {CUSTOMERS} SELECT customer_id, cpf_cnpj, TRUE AS valid, FALSE AS valid_changed FROM cust""")
+@query(f"""WITH z AS (SELECT 1) {CUSTOMERS} SELECT customer_id, cpf_cnpj, cpf_cnpj <> repeat('0', 11) AS valid, FALSE AS valid_changed FROM cust""")
 def cpf_generate_validate(spark: SparkSession, d: str) -> DataFrame:
     c = D.customers(spark, d)
     changed = F.concat(F.substring("cpf_cnpj", 1, 10), ((F.substring("cpf_cnpj", 11, 1).cast("int") + 1) % 10).cast("string"))
@@ -344,7 +344,7 @@ def pii_tokens(spark: SparkSession, d: str) -> DataFrame:
     return sanitize.token_table(nobody, _atx(spark, d))
 
 
-@query(f"""{ATX} {CUSTOMERS}, n AS (SELECT alert_id, COUNT(*) AS n FROM atx GROUP BY 1) SELECT alert_id, 'SANITIZED' AS state, 3 + 2 * n AS pii_token_count FROM alerts JOIN n USING (alert_id) JOIN cust USING (account)""")
+@query(f"""{ATX} {CUSTOMERS}, n AS (SELECT alert_id, COUNT(*) AS n FROM atx GROUP BY 1) SELECT alert_id, CASE WHEN cpf_cnpj = repeat('0', 11) THEN 'NEEDS_HUMAN' ELSE 'SANITIZED' END AS state, CASE WHEN cpf_cnpj <> repeat('0', 11) THEN 3 + 2 * n END AS pii_token_count FROM alerts JOIN n USING (alert_id) JOIN cust USING (account)""")
 def pii_sanitised(spark: SparkSession, d: str) -> DataFrame:
     found, atx = _alerts(spark, d), _atx(spark, d)
     named = found.join(D.customers(spark, d), "account").select("alert_id", "name", "cpf_cnpj")
