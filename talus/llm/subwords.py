@@ -85,6 +85,16 @@ class WordEncoder:
             if t:
                 pieces += [t] if _ODD.search(t) else t.split()
             counts[i + 1] = len(pieces)
+        return self._gathered(pieces, counts)
+
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode``, of texts without ASCII white space: each is one cached piece."""
+        if len(self._code) > CACHE_PIECES:
+            self._reset()
+        return self._gathered(words, np.arange(len(words) + 1))
+
+    def _gathered(self, pieces: list[str], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces, and offsets at these numbers of pieces."""
         if missing := {p for p in pieces if p not in self._code}:
             self._learn(list(missing))
         code = self._code
