@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Patterns of personal data.
 CPF_PATTERN = r"\b(\d{3}\.?\d{3}\.?\d{3}-?\d{2})\b"
@@ -15,7 +16,7 @@ ACCOUNT_PATTERN = r"\b([0-9]{10,20})\b"
 PII = {"CPF": CPF_PATTERN, "CNPJ": CNPJ_PATTERN, "ACCOUNT": ACCOUNT_PATTERN}
 
 
-@F.pandas_udf("string")  # type: ignore[call-overload]
+@F.pandas_udf(StringType())  # type: ignore[call-overload]
 def nfc(text: pd.Series) -> pd.Series:
     """Composed form; Spark has no function for it."""
     return text.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
