@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talus.llm.shared import stored
-from talus.llm.subwords import in_chunks
+from talus.llm.subwords import text_chunks
 
 
 @dataclass(frozen=True)
@@ -43,7 +43,7 @@ class LanguageRules:
     most_bits: int = 31
     smoothing: float = 0.5
     #: Texts whose score is below this are ambiguous.
-    least_score: float = 0.05
+    least_score: float = 0.02
     tree: int = 64
 
 
@@ -68,10 +68,10 @@ def language_counts(rows: DataFrame, rules: LanguageRules) -> dict[str, np.ndarr
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[str, np.ndarray] = {}
         for batch in batches:
-            texts, langs = batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist()
-            for a, b in in_chunks(texts):
+            langs = batch.column(1).to_pylist()
+            for a, b, texts in text_chunks(batch.column(0)):
                 for lang in set(langs[a:b]):
-                    h, _ = _trigrams([t for t, x in zip(texts[a:b], langs[a:b], strict=True) if x == lang], rules.buckets)
+                    h, _ = _trigrams([t for t, x in zip(texts, langs[a:b], strict=True) if x == lang], rules.buckets)
                     tables[lang] = tables.get(lang, 0) + np.bincount(h, minlength=rules.buckets)
         place = TaskContext.get().partitionId()
         yield pa.RecordBatch.from_arrays([pa.array([place] * len(tables), pa.int64()), pa.array(list(tables), pa.string()), pa.array([t.astype("<i8").tobytes() for t in tables.values()], pa.binary())], ["place", "lang", "counts"])
@@ -143,17 +143,17 @@ def _predicted(docs: DataFrame, decoder: Decoder | None, rules: LanguageRules) -
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("_lower").cast(pa.binary()).to_pylist()
-            n = len(texts)
+            n = batch.num_rows
             lang, score = np.full(n, "und", object), np.zeros(n)
-            some = np.flatnonzero([t is not None for t in texts]) if decoder else np.zeros(0, int)
-            lower = [texts[i] for i in some]
-            for a, b in in_chunks(lower, 1_000_000):
-                h, offsets = _trigrams(lower[a:b], rules.buckets)
+            for a, _, texts in text_chunks(batch.column("_lower")) if decoder else ():
+                some = np.flatnonzero([t is not None for t in texts])
+                if not len(some):
+                    continue
+                h, offsets = _trigrams([texts[i] for i in some], rules.buckets)
                 sums = np.add.reduceat(decoder.weight[h], offsets[:-1], axis=0)
                 told = np.add.reduceat((h != rules.buckets - 1).astype(np.int64), offsets[:-1])
-                best, score[some[a:b]] = decoder.decode(sums / np.maximum(1, told)[:, None])
-                lang[some[a:b]] = np.array(decoder.languages, object)[best]
+                best, score[a + some] = decoder.decode(sums / np.maximum(1, told)[:, None])
+                lang[a + some] = np.array(decoder.languages, object)[best]
             found = [pa.array(lang, pa.string()), pa.array(score), pa.array((lang == "und") | (score < rules.least_score))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), *found], [*own, "lang_pred", "score", "ambiguous"])
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from talus.llm import gif
 from talus.llm.shared import stored
-from talus.llm.subwords import in_chunks
+from talus.llm.subwords import text_chunks
 
 
 def stored_media(docs: DataFrame) -> DataFrame:
@@ -32,9 +32,8 @@ def stored_media(docs: DataFrame) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            for a, b in in_chunks(texts):
-                raw = [t or b"" for t in texts[a:b]]
+            for a, b, texts in text_chunks(batch.column(1)):
+                raw = [t or b"" for t in texts]
                 media = [gif.encode_bytes(t + bytes(max(64, -(-len(t) // 64) * 64) - len(t))) for t in raw]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(t) for t in raw], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 

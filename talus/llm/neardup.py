@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from talus.llm.links import components
 from talus.llm.shared import checked_broadcast, stored
 from talus.llm.shingles import digests, minhashes, mixed, shingle_sets
-from talus.llm.subwords import in_chunks
+from talus.llm.subwords import text_chunks
 
 
 @dataclass(frozen=True)
@@ -64,9 +64,8 @@ def signatures(docs: DataFrame, rules: NearRules) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            for a, b in in_chunks(texts):
-                sets, offsets = shingle_sets(texts[a:b], rules.words)
+            for a, b, texts in text_chunks(batch.column(1)):
+                sets, offsets = shingle_sets(texts, rules.words)
                 sig = minhashes(sets, offsets, rules.chunks * rules.width)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), pa.array(np.diff(offsets)), pa.array(digests(sets, offsets), pa.binary()), pa.array([s.tobytes() for s in sig], pa.binary())],
@@ -76,14 +75,29 @@ def signatures(docs: DataFrame, rules: NearRules) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, "doc_id long, n_shingles long, digest binary, sig binary")
 
 
+def _key_numbers(rules: NearRules) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(5)
+    shape = (rules.chunks, rules.width)
+    return rng.integers(0, 2**63, shape, np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, shape, np.uint64)
+
+
+def _first_key(x: np.ndarray, y: np.ndarray, rules: NearRules) -> np.ndarray:
+    """The first key that the signatures (rows of x and y) share: their first chunk with at most one differing symbol, that symbol (else the first) left out."""
+    factor, plus = _key_numbers(rules)
+    differ = (x != y).reshape(-1, rules.chunks, rules.width)
+    row = np.arange(len(x))
+    chunk = (differ.sum(2) <= 1).argmax(1)
+    out = differ[row, chunk].argmax(1)
+    terms = mixed((x.reshape(-1, rules.chunks, rules.width)[row, chunk].astype(np.uint64) + np.uint64(1)) * factor[chunk])
+    return mixed(terms.sum(1, dtype=np.uint64) - terms[row, out] + plus[chunk, out]).view(np.int64)
+
+
 def _index(classes: DataFrame, rules: NearRules) -> DataFrame:
     """key, id: each chunk of a signature with one symbol left out."""
     chunks, width = rules.chunks, rules.width
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = np.random.default_rng(5)
-        factor = rng.integers(0, 2**63, (chunks, width), np.uint64) * np.uint64(2) + np.uint64(1)
-        plus = rng.integers(0, 2**63, (chunks, width), np.uint64)
+        factor, plus = _key_numbers(rules)
         for batch in batches:
             sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, chunks, width).astype(np.uint64) + np.uint64(1)
             terms = mixed(sig * factor)
@@ -113,10 +127,9 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, rules: NearRules) -> DataFram
         last, last_set = None, None
         for batch in batches:
             a, first = batch.column(0).to_pylist(), batch.column(2).cast(pa.binary())
-            second = batch.column(3).cast(pa.binary()).to_pylist()
             good = np.zeros(batch.num_rows, bool)
-            for i, j in in_chunks(second, 1_000_000):
-                sets, offsets = shingle_sets(second[i:j], rules.words)
+            for i, j, second in text_chunks(batch.column(3)):
+                sets, offsets = shingle_sets(second, rules.words)
                 for k in range(i, j):
                     if a[k] != last or last is None:
                         last, last_set = a[k], shingle_sets([first[k].as_py()], rules.words)[0]
@@ -137,9 +150,8 @@ def _fine(rows: DataFrame, texts: DataFrame, rules: NearRules) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            asked = batch.column(1).cast(pa.binary()).to_pylist()
-            for a, b in in_chunks(asked, 500_000):
-                fine = minhashes(*shingle_sets(asked[a:b], rules.words), rules.fine_symbols, seed=12).astype(np.uint8)
+            for a, b, asked in text_chunks(batch.column(1)):
+                fine = minhashes(*shingle_sets(asked, rules.words), rules.fine_symbols, seed=12).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([f.tobytes() for f in fine], pa.binary())], ["id", "fine"])
 
     ids = stored(rows.select("id").distinct())
@@ -151,7 +163,8 @@ def _across(rows: DataFrame, rules: NearRules) -> DataFrame:
     """a, b (a < b): near signatures of different components within a key. rows: key, id, component, sig, fine.
 
     A key of more documents than a block is compared block against block, each
-    pair of blocks in a group of its own.
+    pair of blocks in a group of its own. A pair comes from the first key that it
+    shares alone, so no pair is given twice.
     """
     size = rows.groupBy("key").agg(F.count("*").alias("n"))
     parts = F.ceil(F.col("n") / rules.block).cast("int")
@@ -166,7 +179,7 @@ def _across(rows: DataFrame, rules: NearRules) -> DataFrame:
     def close(sigs: np.ndarray, x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
         return np.concatenate([(sigs[x[k : k + 20_000]] != sigs[y[k : k + 20_000]]).sum(1) <= most for k in range(0, len(x), 20_000)])
 
-    def compare(own: np.ndarray, ids: np.ndarray, comps: np.ndarray, sigs: np.ndarray, fine: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    def compare(key: int, own: np.ndarray, ids: np.ndarray, comps: np.ndarray, sigs: np.ndarray, fine: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
         left = np.flatnonzero(own == low)
         right = left if low == high else np.flatnonzero(own == high)
         found = []
@@ -177,10 +190,15 @@ def _across(rows: DataFrame, rules: NearRules) -> DataFrame:
                 apart &= ids[i][:, None] < ids[right][None, :]
             x, y = np.nonzero(apart)
             x, y = i[x], right[y]
-            for signature, most in ((sigs, rules.near), (fine, rules.fine_near)):
-                if len(x):
-                    keep = close(signature, x, y, most)
-                    x, y = x[keep], y[keep]
+            if len(x):
+                keep = close(sigs, x, y, rules.near)
+                x, y = x[keep], y[keep]
+            if len(x):
+                keep = _first_key(sigs[x], sigs[y], rules) == key
+                x, y = x[keep], y[keep]
+            if len(x):
+                keep = close(fine, x, y, rules.fine_near)
+                x, y = x[keep], y[keep]
             found.append(np.stack([ids[x], ids[y]]))
         both = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
         return both.min(0), both.max(0)
@@ -201,12 +219,12 @@ def _across(rows: DataFrame, rules: NearRules) -> DataFrame:
             yield runs(rest, [0, rest.num_rows])
 
     def runs(table: pa.Table, cuts: list[int]) -> pa.RecordBatch:
-        own, ids, comps, low, high = (table.column(c).to_numpy() for c in ("own", "id", "component", "low", "high"))
+        key, own, ids, comps, low, high = (table.column(c).to_numpy() for c in ("key", "own", "id", "component", "low", "high"))
         sigs, fine = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind).reshape(len(ids), -1) for c, kind in (("sig", np.uint16), ("fine", np.uint8)))
-        got = [compare(own[i:j], ids[i:j], comps[i:j], sigs[i:j], fine[i:j], low[i], high[i]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+        got = [compare(key[i], own[i:j], ids[i:j], comps[i:j], sigs[i:j], fine[i:j], low[i], high[i]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([g[k] for g in got])) for k in (0, 1)], ["a", "b"])
 
-    return placed.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(task, "a long, b long").distinct()
+    return placed.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(task, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, rules: NearRules = NearRules()) -> DataFrame:

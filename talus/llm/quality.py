@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talus.llm.shingles import CACHE_WORDS, _cache
-from talus.llm.subwords import in_chunks
+from talus.llm.subwords import in_chunks, text_chunks
 
 
 @dataclass(frozen=True)
@@ -201,9 +201,8 @@ def patterns_of(docs: DataFrame) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[bytes, int] = {}
         for batch in batches:
-            texts = [t or b"" for t in batch.column(0).cast(pa.binary()).to_pylist()]
-            for a, b in in_chunks(texts):
-                got, n = np.unique(votes(statistics(texts[a:b])[0]), axis=0, return_counts=True)
+            for _, _, texts in text_chunks(batch.column(0)):
+                got, n = np.unique(votes(statistics([t or b"" for t in texts])[0]), axis=0, return_counts=True)
                 for v, k in zip(got, n.tolist(), strict=True):
                     total[v.tobytes()] = total.get(v.tobytes(), 0) + k
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], ["votes", "n"])
@@ -242,9 +241,8 @@ def scored(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            for a, b in in_chunks(texts, 1_000_000):
-                s, flat, offsets = statistics(texts[a:b])
+            for a, b, texts in text_chunks(batch.column("text")):
+                s, flat, offsets = statistics([t or b"" for t in texts])
                 weak = posterior(votes(s), share, table)
                 score = 1 / (1 + np.exp(-np.clip(raw_scores(weights, *hashed(s, flat, offsets, rules.buckets)), -30, 30)))
                 score[s[:, 0] == 0] = 0.0

@@ -8,7 +8,7 @@ import numpy as np
 
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93)]
 #: Cached words in one worker; the cache starts anew when it is full.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -11,9 +11,11 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Cached pieces in one worker; the cache starts anew when it is full.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 300_000
 #: Pieces longer than this are encoded but never cached.
 LONG_PIECE = 200
 #: Python's str.split() also splits here, the tokenizer does not.
@@ -118,6 +120,17 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
+def text_chunks(column: pa.Array, size: int = 500_000):
+    """(a, b, texts a to b as bytes) of a text column, about so many bytes at a time, one text at least: no copy of a whole batch."""
+    raw = column.cast(pa.binary())
+    before = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(raw), 0).to_numpy().astype(np.int64) + 1)])
+    a = 0
+    while a < len(raw):
+        b = max(a + 1, int(np.searchsorted(before, before[a] + size, "right")) - 1)
+        yield a, b, raw.slice(a, b - a).to_pylist()
+        a = b
+
+
 def in_chunks(texts: list[str | None], chars: int = 2_000_000):
     """Ranges of texts of about so many characters, one text at least."""
     at, size = 0, 0
