@@ -1,7 +1,7 @@
 """Flat token files: writing them, and counting each document's tokens in them.
 
-A flat file is little-endian unsigned 32-bit ids and nothing else; a document
-ends with a separator id. ``write_flat`` tokenises documents and writes files
+A flat file is little-endian unsigned ids of two or four bytes and nothing else;
+a document ends with a separator id. ``write_flat`` tokenises documents and writes files
 of bounded size, a document running on from one file to the next within its
 task. ``document_lengths`` needs no index: each file is cut into blocks, a block
 searches its separators in one vectorised comparison, and a prefix scan over
@@ -38,12 +38,18 @@ from talus.llm.subwords import encoder, in_chunks
 class FlatRules:
     #: The separator: an id that the tokenizer gives to no ordinary text.
     separator: int = 49407
+    #: Bytes of an id; two hold a vocabulary of up to 65,536.
+    id_bytes: int = 2
     #: Ids of a file, and of a block in its scan.
     file_ids: int = 2_000_000
     block_ids: int = 250_000
     #: Files whose blocks are scanned in one group.
     group_files: int = 64
 
+    @property
+    def kind(self) -> str:
+        return f"<u{self.id_bytes}"
+
 
 def _filesystem(folder: str):
     from pyarrow import fs
@@ -70,7 +76,7 @@ def write_flat(docs: DataFrame, tokenizer_path: str, folder: str, rules: FlatRul
             nonlocal number
             name = f"{path}/tokens-{context.partitionId():06d}-{number:06d}"
             with where.open_output_stream(f"{name}.{context.taskAttemptId()}.part") as to:
-                to.write(ids.astype("<u4").tobytes())
+                to.write(ids.astype(rules.kind).tobytes())
             where.move(f"{name}.{context.taskAttemptId()}.part", f"{name}.bin")
             number += 1
 
@@ -80,6 +86,8 @@ def write_flat(docs: DataFrame, tokenizer_path: str, folder: str, rules: FlatRul
                 ids, offsets = encode.encode(texts[a:b])
                 if (ids == rules.separator).any():
                     raise ValueError("the separator occurs in a text")
+                if len(ids) and int(ids.max()) >> 8 * rules.id_bytes:
+                    raise ValueError("an id does not fit the files' width")
                 held.append(np.insert(ids, offsets[1:], rules.separator))
                 size += len(held[-1])
                 yield pa.RecordBatch.from_arrays([pa.array([context.partitionId()] * (b - a), pa.int64()), pa.array(range(place, place + b - a), pa.int64()), doc_ids.slice(a, b - a)], ["stream", "place", "doc_id"])
@@ -102,7 +110,7 @@ def read_blocks(spark: SparkSession, folder: str, rules: FlatRules = FlatRules()
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.frombuffer(content.as_buffer(), "<u4", len(content.as_buffer()) // 4)
+                ids = np.frombuffer(content.as_buffer(), rules.kind, len(content.as_buffer()) // rules.id_bytes)
                 for block, at in enumerate(range(0, len(ids), rules.block_ids)):
                     own = ids[at : at + rules.block_ids]
                     yield pa.RecordBatch.from_pydict({"file": [os.path.basename(path)], "block": [block], "n_ids": [len(own)], "separators": [np.flatnonzero(own == rules.separator).astype(np.int64)]}, schema=schema)

@@ -171,7 +171,7 @@ def test_flat_files_of_others(spark, tmp_path):
     ids = np.array([5, 9, 9, 7, 7, 7, 9, 1, 2], "<u4")
     for i, part in enumerate(np.split(ids, [2, 5])):
         part.tofile(tmp_path / f"tokens-000000-{i:06d}.bin")
-    rules = tokenfiles.FlatRules(separator=9, block_ids=2, group_files=1)
+    rules = tokenfiles.FlatRules(separator=9, id_bytes=4, block_ids=2, group_files=1)
     got = tokenfiles.document_lengths(tokenfiles.read_blocks(spark, str(tmp_path), rules), rules).orderBy("place").collect()
     assert [(r["place"], r["n_tokens"], r["start"], r["ended"]) for r in got] == [(0, 1, 0, True), (1, 0, 2, True), (2, 3, 3, True), (3, 2, 7, False)]
 
