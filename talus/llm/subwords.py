@@ -100,7 +100,7 @@ class WordEncoder:
         if missing := {p for p in pieces if p not in self._code}:
             self._learn(list(missing))
         code = self._code
-        codes = np.fromiter((code[p] for p in pieces), np.int64, len(pieces))
+        codes = np.fromiter(map(code.__getitem__, pieces), np.int64, len(pieces))
         lens = self._lens[codes]
         ends = np.cumsum(lens)
         total = int(ends[-1]) if len(ends) else 0
