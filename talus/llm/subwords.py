@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Cached pieces in one worker; the cache starts anew when it is full.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 200_000
 #: Pieces longer than this are encoded but never cached.
 LONG_PIECE = 200
 #: Python's str.split() also splits here, the tokenizer does not.
