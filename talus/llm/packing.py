@@ -30,7 +30,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from talus.llm.subwords import encoder, in_chunks
+from talus.llm.subwords import encoder, text_chunks
+
+
+#: Text encoded in one step; a longer text alone.
+CHUNK_BYTES = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -150,9 +154,9 @@ def pack(docs: DataFrame, tokenizer_path: str, rules: PackingRules = PackingRule
             return pa.RecordBatch.from_pydict(rows, schema=arrow)
 
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in in_chunks(texts):
-                ids, offsets = encode.encode(texts[a:b])
+            doc_ids = batch.column(0).to_pylist()
+            for a, b, texts in text_chunks(batch.column(1), CHUNK_BYTES):
+                ids, offsets = encode.encode(texts)
                 for k in range(a, b):
                     own = np.append(ids[offsets[k - a] : offsets[k - a + 1]], np.int32(rules.end_id))
                     for cut in range(0, len(own), rules.segment):

@@ -2,25 +2,44 @@
 
 The tokenizer's rules never look across white space: its normaliser composes
 characters, folds white space and lower-cases, and its pre-tokenizer drops
-white space. So a text's ids are those of its white-space-separated pieces in
-order, and each distinct piece is encoded once for as long as it stays cached.
+white space. So a text's ids are those of its pieces between ASCII white space,
+in order, and each distinct piece is encoded once for as long as it stays
+cached. As the normaliser lower-cases, A-Z are so before the look-up, but not in
+texts where that could change an id: with combining marks (a small letter may
+compose with one where a capital does not) or the strings of special tokens.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Cached pieces in one worker; the cache starts anew when it is full.
 CACHE_PIECES = 200_000
-#: Pieces longer than this are encoded but never cached.
-LONG_PIECE = 200
-#: Python's str.split() also splits here, the tokenizer does not.
-_ODD = re.compile("[\x1c-\x1f]")
+#: Cached ids for each of these pieces, at most: long pieces fill the cache sooner.
+PIECE_IDS = 16
+#: Pieces encoded as one string, with a mark after each.
+JOINED = 100
 _MARK = "\x01"
+_SPECIAL = "<|"
+
+
+def _ascii_lower(text: bytes) -> bytes:
+    """A-Z in lower case unless that could change ids. The lead bytes of U+0300 to U+036F stand for combining marks."""
+    return text if b"\xcc" in text or b"\xcd" in text or _SPECIAL.encode() in text else text.lower()
+
+
+class _Codes(dict):
+    """Codes of pieces in order of first sight; what is new since the last encoding is in ``new``."""
+
+    def __init__(self):
+        self.new: list[bytes] = []
+
+    def __missing__(self, piece: bytes) -> int:
+        n = self[piece] = len(self)
+        self.new.append(piece)
+        return n
 
 
 class WordEncoder:
@@ -38,7 +57,7 @@ class WordEncoder:
         return self._tokenizer.encode(piece, add_special_tokens=False).ids
 
     def _reset(self) -> None:
-        self._code: dict[str, int] = {}
+        self._code = _Codes()
         self._starts = np.zeros(1024, np.int64)
         self._lens = np.zeros(1024, np.int64)
         self._flat = np.zeros(8192, np.int32)
@@ -55,52 +74,52 @@ class WordEncoder:
         self._flat[self._used : used] = ids
         self._n, self._used = n, used
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode pieces that are not cached yet, many in one call, split again at a mark."""
-        plain = [p for p in pieces if len(p) <= LONG_PIECE and _MARK not in p and "<|" not in p] if self._mark is not None else []
-        for at in range(0, len(plain), 2000):
-            part = plain[at : at + 2000]
-            got = self._tokenizer.encode_batch_fast([f" {_MARK} ".join(part[i : i + 100]) + f" {_MARK}" for i in range(0, len(part), 100)], add_special_tokens=False)
-            ids = np.concatenate([np.array(e.ids, np.int32) for e in got])
-            ends = np.flatnonzero(ids == self._mark)
-            if len(ends) != len(part):  # an id of the mark inside a piece: take these one by one
-                self._slow(part)
-                continue
-            for p in part:
-                self._code[p] = len(self._code)
-            self._add(ids[ids != self._mark], np.diff(ends, prepend=-1) - 1)
-        self._slow([p for p in pieces if p not in self._code])
-
-    def _slow(self, pieces: list[str]) -> None:
-        for p in pieces:
-            ids = np.array(self._ids(p), np.int32)
-            self._code[p] = len(self._code)
-            self._add(ids, np.array([len(ids)], np.int64))
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after another (int32), and n + 1 offsets. Null is as empty."""
-        if len(self._code) > CACHE_PIECES:
-            self._reset()
-        pieces: list[str] = []
+    def _learn(self) -> None:
+        """Encode the new pieces in order of their codes, many in one call, split again at a mark."""
+        pieces = [p.decode(errors="replace") for p in self._code.new]
+        self._code.new.clear()
+        groups = [pieces[i : i + JOINED] for i in range(0, len(pieces), JOINED)]
+        for at in range(0, len(groups), 20):
+            some = groups[at : at + 20]
+            joined = [f" {_MARK} ".join([*g, ""]) for g in some]
+            plain = [self._mark is not None and _SPECIAL not in j and j.count(_MARK) == len(g) for g, j in zip(some, joined, strict=True)]
+            got = iter(self._tokenizer.encode_batch_fast([j for j, p in zip(joined, plain, strict=True) if p], add_special_tokens=False))
+            for group, is_plain in zip(some, plain, strict=True):
+                if is_plain:
+                    ids = np.array(next(got).ids, np.int32)
+                    ends = np.flatnonzero(ids == self._mark)
+                    if len(ends) == len(group):
+                        self._add(ids[ids != self._mark], np.diff(ends, prepend=-1) - 1)
+                        continue
+                for p in group:  # a mark's id or a special token's string inside a piece
+                    ids = np.array(self._ids(p), np.int32)
+                    self._add(ids, np.array([len(ids)], np.int64))
+
+    def encode(self, texts: list[str | bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (bytes: in UTF-8) one after another (int32), and n + 1 offsets. Null is as empty."""
+        pieces: list[bytes] = []
         counts = np.zeros(len(texts) + 1, np.int64)
         for i, t in enumerate(texts):
             if t:
-                pieces += [t] if _ODD.search(t) else t.split()
+                pieces += _ascii_lower(t.encode() if isinstance(t, str) else t).split()
             counts[i + 1] = len(pieces)
         return self._gathered(pieces, counts)
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """As ``encode``, of texts without ASCII white space: each is one cached piece."""
-        if len(self._code) > CACHE_PIECES:
-            self._reset()
-        return self._gathered(words, np.arange(len(words) + 1))
+        return self._gathered([w.encode() for w in words], np.arange(len(words) + 1))
 
-    def _gathered(self, pieces: list[str], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _gathered(self, pieces: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pieces, and offsets at these numbers of pieces."""
-        if missing := {p for p in pieces if p not in self._code}:
-            self._learn(list(missing))
-        code = self._code
-        codes = np.fromiter(map(code.__getitem__, pieces), np.int64, len(pieces))
+        if len(self._code) > CACHE_PIECES or self._used > PIECE_IDS * CACHE_PIECES:
+            self._reset()
+        try:
+            codes = np.fromiter(map(self._code.__getitem__, pieces), np.int64, len(pieces))
+            if self._code.new:
+                self._learn()
+        except BaseException:  # a worker serves further tasks: no code may stay without its ids
+            self._reset()
+            raise
         lens = self._lens[codes]
         ends = np.cumsum(lens)
         total = int(ends[-1]) if len(ends) else 0

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from talus.llm.shared import stored, work_dir
-from talus.llm.subwords import encoder, in_chunks
+from talus.llm.subwords import encoder, text_chunks
 
 
 @dataclass(frozen=True)
@@ -81,9 +81,9 @@ def write_flat(docs: DataFrame, tokenizer_path: str, folder: str, rules: FlatRul
             number += 1
 
         for batch in batches:
-            doc_ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in in_chunks(texts):
-                ids, offsets = encode.encode(texts[a:b])
+            doc_ids = batch.column(0)
+            for a, b, texts in text_chunks(batch.column(1), 2_000_000):
+                ids, offsets = encode.encode(texts)
                 if (ids == rules.separator).any():
                     raise ValueError("the separator occurs in a text")
                 if len(ids) and int(ids.max()) >> 8 * rules.id_bytes:
