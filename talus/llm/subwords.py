@@ -11,6 +11,8 @@ compose with one where a capital does not) or the strings of special tokens.
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -46,6 +48,7 @@ class WordEncoder:
     """Encodes lists of texts to one flat array of ids and the texts' offsets in it."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker for each core already
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
