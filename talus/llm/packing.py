@@ -35,6 +35,8 @@ from talus.llm.subwords import encoder, text_chunks
 
 #: Text encoded in one step; a longer text alone.
 CHUNK_BYTES = 2_000_000
+#: Cached pieces in one worker: packing holds little else, about 250 bytes a piece.
+CACHE_PIECES = 600_000
 
 
 @dataclass(frozen=True)
@@ -138,7 +140,7 @@ def pack(docs: DataFrame, tokenizer_path: str, rules: PackingRules = PackingRule
         return rows, first + len(cuts)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path)
+        encode = encoder(tokenizer_path, CACHE_PIECES)
         sentence_ids = sentence_end_ids(tokenizer_path)
         arrow = pa.schema([(n, pa.list_(pa.int32()) if n == "ids" else pa.int64()) for n in names])
         number = TaskContext.get().partitionId() << 36
@@ -173,5 +175,5 @@ def pack(docs: DataFrame, tokenizer_path: str, rules: PackingRules = PackingRule
 
 def sentence_end_ids(path: str) -> np.ndarray:
     """Ids whose string ends in a full stop, a question mark or an exclamation mark at a word's end."""
-    vocabulary = encoder(path)._tokenizer.get_vocab()
+    vocabulary = encoder(path, CACHE_PIECES)._tokenizer.get_vocab()
     return np.array(sorted(i for t, i in vocabulary.items() if t.removesuffix("</w>").endswith((".", "!", "?")) and t.endswith("</w>")), np.int32)

@@ -47,7 +47,8 @@ class _Codes(dict):
 class WordEncoder:
     """Encodes lists of texts to one flat array of ids and the texts' offsets in it."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_pieces: int = CACHE_PIECES):
+        self._cache_pieces = cache_pieces
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker for each core already
         from tokenizers import Tokenizer
 
@@ -114,7 +115,7 @@ class WordEncoder:
 
     def _gathered(self, pieces: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pieces, and offsets at these numbers of pieces."""
-        if len(self._code) > CACHE_PIECES or self._used > PIECE_IDS * CACHE_PIECES:
+        if len(self._code) > self._cache_pieces or self._used > PIECE_IDS * self._cache_pieces:
             self._reset()
         try:
             codes = np.fromiter(map(self._code.__getitem__, pieces), np.int64, len(pieces))
@@ -127,19 +128,19 @@ class WordEncoder:
         ends = np.cumsum(lens)
         total = int(ends[-1]) if len(ends) else 0
         ids = self._flat[np.repeat(self._starts[codes] - (ends - lens), lens) + np.arange(total)]
-        if len(self._code) > 2 * CACHE_PIECES:
+        if len(self._code) > 2 * self._cache_pieces:
             self._reset()
         return ids, np.concatenate([[0], ends])[counts]
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[tuple[str, int], WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, cache_pieces: int = CACHE_PIECES) -> WordEncoder:
     """This worker's encoder for a vocabulary file."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    if (path, cache_pieces) not in _encoders:
+        _encoders[path, cache_pieces] = WordEncoder(path, cache_pieces)
+    return _encoders[path, cache_pieces]
 
 
 def text_chunks(column: pa.Array, size: int = 500_000):
