@@ -8,7 +8,8 @@ two signatures at a distance of at most ``chunks * (errors + 1) - 1`` (19)
 agree in some chunk but for ``errors`` symbols (1), and the index holds each
 chunk once for each symbol left out, so every such pair shares a key. Of pairs
 beyond that distance most share one too: at a similarity of 0.85 a pair is
-missed with a probability of 3e-6.
+missed with a probability of 3e-6. Numbers of chunks and symbols and all bounds
+follow from the rules' percentage; those named here are of 85.
 
 Pairs that share a key are never listed as such. First every document is held
 against the smallest of each of its keys (a star), links are confirmed on the
@@ -20,7 +21,7 @@ confirmed. So each pair that shares a key is either
 confirmed, refuted, or in one component already.
 
 Defined results: null, empty or blank texts have an empty set and are linked
-with nothing; sets below six shingles can only be linked with equal ones;
+with nothing; sets below six shingles (four at 80 percent) can only be linked with equal ones;
 repeated rows are of one class; rows that share an id are one document; a row
 without id is linked with nothing, has no component and is kept; an empty table
 gives no rows; further columns are ignored; texts are taken whole.
@@ -28,6 +29,7 @@ gives no rows; further columns are ignored; texts are taken whole.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,22 +44,62 @@ from talus.llm.shingles import digests, minhashes, mixed, shingle_sets
 from talus.llm.subwords import text_chunks
 
 
+def _shape(like: float, symbols: int, miss: float) -> tuple[int, int]:
+    """chunks, width: the widest chunks of which so many as ``symbols`` hold leave a pair of this similarity without a shared key at most as often as ``miss``."""
+    for width in range(symbols, 1, -1):
+        apart = 1 - like**width - width * like ** (width - 1) * (1 - like)
+        chunks = math.ceil(math.log(miss) / math.log(apart)) if apart > 0 else 1
+        if chunks * width <= symbols:
+            return chunks, width
+    return symbols, 1
+
+
+def _most(symbols: int, bits: int, like: float, miss: float) -> int:
+    """The distance that pairs of this similarity exceed with a probability of at most ``miss`` (a binomial tail)."""
+    like += (1 - like) / 2**bits  # unlike symbols that are equal by chance
+    tail, k = 0.0, symbols
+    while k and tail + (term := math.comb(symbols, k) * (1 - like) ** k * like ** (symbols - k)) <= miss:
+        tail, k = tail + term, k - 1
+    return k
+
+
 @dataclass(frozen=True)
 class NearRules:
+    """Bounds that are not given follow from ``percent``."""
+
     words: int = 5
     #: Link if 100 * intersection >= percent * union.
     percent: int = 85
-    chunks: int = 10
-    width: int = 7
-    #: Pairs beyond this distance are not confirmed; at the least similarity more differ with a probability of 1e-6.
-    near: int = 27
+    #: Most symbols of a signature, and how often a pair at the least similarity may share no key.
+    symbols: int = 72
+    miss: float = 4e-6
+    chunks: int = 0
+    width: int = 0
+    #: Pairs beyond this distance are not confirmed; at the least similarity more differ with a probability of ``far``.
+    near: int = -1
     #: Symbols of 8 bits of the longer signature that documents between components get, and the distance beyond which
-    #: a pair of these is not confirmed; at the least similarity more differ with a probability of 1e-6.
+    #: a pair of these is not confirmed; at the least similarity more differ with a probability of ``far``.
     fine_symbols: int = 512
-    fine_near: int = 116
+    fine_near: int = -1
+    far: float = 1e-6
     #: Documents of a key in one block of the comparison.
     block: int = 2048
 
+    def __post_init__(self) -> None:
+        like = self.percent / 100
+        if not self.chunks or not self.width:
+            for name, value in zip(("chunks", "width"), _shape(like, self.symbols, self.miss), strict=True):
+                object.__setattr__(self, name, value)
+        if self.near < 0:
+            object.__setattr__(self, "near", _most(self.chunks * self.width, 16, like, self.far))
+        if self.fine_near < 0:
+            object.__setattr__(self, "fine_near", _most(self.fine_symbols, 8, like, self.far))
+
+    @property
+    def least(self) -> int:
+        """Shingles of the smallest set that can be linked with another one: n of n + 1 must reach the percentage."""
+        return -(-self.percent // max(1, 100 - self.percent))
+
 
 def signatures(docs: DataFrame, rules: NearRules) -> DataFrame:
     """doc_id, n_shingles, digest, sig of every row."""
@@ -104,7 +146,7 @@ def _index(classes: DataFrame, rules: NearRules) -> DataFrame:
             keys = mixed(terms.sum(2, dtype=np.uint64)[:, :, None] - terms + plus)
             yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), chunks * width))], ["key", "id"])
 
-    return classes.where("n_shingles > 5").select("id", "sig").mapInArrow(task, "key long, id long")
+    return classes.where(F.col("n_shingles") >= rules.least).select("id", "sig").mapInArrow(task, "key long, id long")
 
 
 def _distances(pairs: DataFrame, classes: DataFrame, rules: NearRules) -> DataFrame:
@@ -244,7 +286,7 @@ def near_duplicates(docs: DataFrame, rules: NearRules = NearRules()) -> DataFram
     first = stored(components(linked.unionByName(same)))
     labelled = shared.join(first.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     mixed_keys = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    left = labelled.join(mixed_keys, "key").join(classes.where("n_shingles > 5").select("id", "sig"), "id")
+    left = labelled.join(mixed_keys, "key").join(classes.where(F.col("n_shingles") >= rules.least).select("id", "sig"), "id")
     refuted = starred.select("a", "b")
     more = stored(_across(stored(_fine(stored(left), texts, rules)), rules)).join(refuted, ["a", "b"], "left_anti")
     linked_more = stored(_confirmed(more, texts, rules))
