@@ -11,7 +11,8 @@ within a group of files and groups, so no task sees all blocks.
 
 Defined results: a null or empty text is a document of no tokens (its separator
 alone); an id equal to the separator inside a text would end a document, so
-the writer refuses a separator that the tokenizer can produce; ids after the
+the separator lies beyond the vocabulary (a text that spells a special token is
+counted like any other), and the writer refuses one that occurs; ids after the
 last separator are a document that is not ended (``ended`` false); an empty
 table or folder gives no rows; further columns are ignored; a very long text
 runs over several files.
@@ -36,8 +37,8 @@ from talus.llm.subwords import encoder, text_chunks
 
 @dataclass(frozen=True)
 class FlatRules:
-    #: The separator: an id that the tokenizer gives to no ordinary text.
-    separator: int = 49407
+    #: The separator: an id beyond the vocabulary, so that no text can produce it.
+    separator: int = 65535
     #: Bytes of an id; two hold a vocabulary of up to 65,536.
     id_bytes: int = 2
     #: Ids of a file, and of a block in its scan.
