@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -25,10 +27,35 @@ def value_episodes(tx: DataFrame, rule: config.ValueRule, account: str = "sender
 
 
 def velocity_windows(tx: DataFrame, rule: config.VelocityRule, account: str = "sender_account", late: str = "1 day", slide: str = "1 day") -> DataFrame:
-    """account, start, end, n: sliding windows of the rule's days that hold enough transactions."""
-    windows = F.window("timestamp", f"{rule.days} days", slide)
-    counts = tx.withWatermark("timestamp", late).groupBy(F.col(account).alias("account"), windows.alias("w")).agg(F.count("*").alias("n"))
-    return counts.where(F.col("n") >= rule.least_count).select("account", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+    """account, start, end, n of every trigger: end is a transaction's time, n the account's transactions in the rule's days up to it, start the first of these.
+
+    Time windows are the rule's days and one slide long, so the days before each
+    time in a window's last slide lie within it; the exact trailing windows of
+    these times are counted once the window is complete. Equal times give one row.
+    """
+    span = rule.days * 86_400_000_000
+    rows = tx.withWatermark("timestamp", late).where(F.col(account).isNotNull() & F.col("timestamp").isNotNull())
+    windows = F.window("timestamp", f"{rule.days} days {slide}", slide)
+    times = rows.groupBy(F.col(account).alias("account"), windows.alias("w")).agg(F.collect_list(F.unix_micros("timestamp")).alias("times"))
+    kind = tx.schema[account].dataType.simpleString()
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, found = [], []
+            for i, (first, own) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2), strict=True)):
+                t = np.sort(own.values.to_numpy())
+                last = np.flatnonzero(np.append(t[1:] != t[:-1], True))
+                left = np.searchsorted(t, t[last] - span)
+                n = last + 1 - left
+                keep = (n >= rule.least_count) & (t[last] >= first + span)
+                owner += [i] * int(keep.sum())
+                found.append(np.stack([t[left], t[last], n])[:, keep])
+            start, end, n = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), pa.array(start), pa.array(end), pa.array(n)], ["account", "start", "end", "n"])
+
+    enough = times.where(F.size("times") >= rule.least_count).select("account", F.unix_micros("w.start").alias("first"), "times")
+    found = enough.mapInArrow(task, f"account {kind}, start long, end long, n long")
+    return found.select("account", F.timestamp_micros("start").alias("start"), F.timestamp_micros("end").alias("end"), "n")
 
 
 def first_arrivals(alerts: DataFrame, late: str = "1 day") -> DataFrame:
