@@ -1,0 +1,28 @@
+"""Pair counts of op1 cover every id of the vocabulary, with or without a row in the attention tables."""
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from talus.llm import lm
+from talus.llm.shared import stored
+
+
+def test_pairs_of_the_whole_vocabulary(spark, tokenizer):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer)
+    v = t.get_vocab_size()
+    rules = lm.LMRules(attention=lm.AttentionRules(rows=8, classes=4, states=4, steps=2), pair_states=2)
+    texts = ["the cat and the dog and the horse"] * 20 + ["a lion saw the tiger"] * 5 + ["one whale"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id LONG, text STRING").repartition(3).withColumn("held_out", F.lit(False)).withColumn("learn", F.lit(True))
+    model = lm.fitted(rows, tokenizer, rules)
+    pairs = lm.pair_counts(stored(lm.coded_blocks(rows, model, tokenizer, rules)), rules)
+    keys, counts = (np.concatenate([lm._unpacked(p[k], "<i8") for p in pairs]) for k in (0, 1))
+    got = np.bincount(keys % v, weights=counts, minlength=v)
+    want = np.bincount([i for x in texts for i in [*t.encode(x, add_special_tokens=False).ids, lm._end_id(tokenizer)]], minlength=v)
+    assert (got == want).all()
+    m = lm._load(model)
+    p = lm.PairModel(m, pairs, rules.attention)
+    for state in range(4):
+        mass = np.bincount(m.cls, weights=10.0 ** p.logs(np.full(v, state), np.arange(v)).astype(float), minlength=4)
+        assert all(abs(x - 1) < 1e-3 for x in mass[np.unique(m.cls)])
