@@ -25,6 +25,13 @@ PIECE_IDS = 16
 JOINED = 100
 _MARK = "\x01"
 _SPECIAL = "<|"
+_WORD_END = "</w>"
+_STOPS = frozenset(".,;:!?")
+
+
+def _word_parts(piece: str) -> int:
+    """Pre-tokenizer pieces of a word of letters (1), or of letters and a stop (2); 0: not known."""
+    return 1 if piece.isalpha() else 2 if piece[-1] in _STOPS and piece[:-1].isalpha() else 0
 
 
 def _ascii_lower(text: bytes) -> bytes:
@@ -55,11 +62,18 @@ class WordEncoder:
         self._tokenizer = Tokenizer.from_file(path)
         mark = self._ids(_MARK)
         self._mark = mark[0] if len(mark) == 1 else None
+        vocabulary = self._tokenizer.get_vocab()
+        ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        ends[[i for t, i in vocabulary.items() if t.endswith(_WORD_END)]] = True
+        self._ends = ends if ends.any() else None
         self._reset()
 
     def _ids(self, piece: str) -> list[int]:
         return self._tokenizer.encode(piece, add_special_tokens=False).ids
 
+    def _batch(self, texts: list[str]) -> list:
+        return self._tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []
+
     def _reset(self) -> None:
         self._code = _Codes()
         self._starts = np.zeros(1024, np.int64)
@@ -67,37 +81,59 @@ class WordEncoder:
         self._flat = np.zeros(8192, np.int32)
         self._n, self._used = 0, 0
 
-    def _add(self, ids: np.ndarray, lens: np.ndarray) -> None:
-        n, used = self._n + len(lens), self._used + len(ids)
-        if n > len(self._lens):
-            self._starts, self._lens = (np.resize(x, max(2 * len(x), n)) for x in (self._starts, self._lens))
+    def _add(self, at: np.ndarray, ids: np.ndarray, lens: np.ndarray) -> None:
+        """Ids of the pieces with these codes, one after another."""
+        used = self._used + len(ids)
         if used > len(self._flat):
             self._flat = np.resize(self._flat, max(2 * len(self._flat), used))
-        self._lens[self._n : n] = lens
-        self._starts[self._n : n] = self._used + np.cumsum(lens) - lens
+        self._lens[at] = lens
+        self._starts[at] = self._used + np.cumsum(lens) - lens
         self._flat[self._used : used] = ids
-        self._n, self._used = n, used
+        self._used = used
 
     def _learn(self) -> None:
-        """Encode the new pieces in order of their codes, many in one call, split again at a mark."""
+        """Encode the new pieces, many in one call.
+
+        Plain words and words with one stop have one and two pieces of the
+        pre-tokenizer, each of which ends in an id with the word end's suffix: these
+        ids part the words again. Other pieces get a mark after each.
+        """
         pieces = [p.decode(errors="replace") for p in self._code.new]
         self._code.new.clear()
-        groups = [pieces[i : i + JOINED] for i in range(0, len(pieces), JOINED)]
+        first, self._n = self._n, self._n + len(pieces)
+        if self._n > len(self._lens):
+            self._starts, self._lens = (np.resize(x, max(2 * len(x), self._n)) for x in (self._starts, self._lens))
+        parts = np.fromiter(map(_word_parts, pieces), np.int64, len(pieces)) if self._ends is not None else np.zeros(len(pieces), np.int64)
+        plain = np.flatnonzero(parts)
+        rest = np.flatnonzero(parts == 0).tolist()
+        groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
+        for at in range(0, len(groups), 20):
+            some = groups[at : at + 20]
+            for group, got in zip(some, self._batch([" ".join([pieces[i] for i in g.tolist()]) for g in some]), strict=True):
+                ids = np.array(got.ids, np.int32)
+                ends = np.flatnonzero(self._ends[ids])
+                last = np.cumsum(parts[group])
+                if len(ends) == last[-1]:  # no word has fewer, so each has its number
+                    self._add(first + group, ids, np.diff(ends[last - 1], prepend=-1))
+                else:
+                    rest += group.tolist()
+        groups = [rest[i : i + JOINED] for i in range(0, len(rest), JOINED)]
         for at in range(0, len(groups), 20):
             some = groups[at : at + 20]
-            joined = [f" {_MARK} ".join([*g, ""]) for g in some]
-            plain = [self._mark is not None and _SPECIAL not in j and j.count(_MARK) == len(g) for g, j in zip(some, joined, strict=True)]
-            got = iter(self._tokenizer.encode_batch_fast([j for j, p in zip(joined, plain, strict=True) if p], add_special_tokens=False))
-            for group, is_plain in zip(some, plain, strict=True):
-                if is_plain:
+            joined = [f" {_MARK} ".join([*(pieces[i] for i in g), ""]) for g in some]
+            marked = [self._mark is not None and _SPECIAL not in j and j.count(_MARK) == len(g) for g, j in zip(some, joined, strict=True)]
+            got = iter(self._batch([j for j, m in zip(joined, marked, strict=True) if m]))
+            for group, is_marked in zip(some, marked, strict=True):
+                where = first + np.array(group)
+                if is_marked:
                     ids = np.array(next(got).ids, np.int32)
                     ends = np.flatnonzero(ids == self._mark)
                     if len(ends) == len(group):
-                        self._add(ids[ids != self._mark], np.diff(ends, prepend=-1) - 1)
+                        self._add(where, ids[ids != self._mark], np.diff(ends, prepend=-1) - 1)
                         continue
-                for p in group:  # a mark's id or a special token's string inside a piece
-                    ids = np.array(self._ids(p), np.int32)
-                    self._add(ids, np.array([len(ids)], np.int64))
+                for i, p in zip(where.tolist(), group, strict=True):  # a mark's id or a special token's string inside a piece
+                    ids = np.array(self._ids(pieces[p]), np.int32)
+                    self._add(np.array([i]), ids, np.array([len(ids)], np.int64))
 
     def encode(self, texts: list[str | bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (bytes: in UTF-8) one after another (int32), and n + 1 offsets. Null is as empty."""
