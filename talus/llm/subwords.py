@@ -12,6 +12,7 @@ compose with one where a capital does not) or the strings of special tokens.
 from __future__ import annotations
 
 import os
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +27,13 @@ JOINED = 100
 _MARK = "\x01"
 _SPECIAL = "<|"
 _WORD_END = "</w>"
-_STOPS = frozenset(".,;:!?")
+#: Punctuation that may follow a word's letters.
+_TAIL = b'.,;:!?$%&*#"()-'
 
 
-def _word_parts(piece: str) -> int:
-    """Pre-tokenizer pieces of a word of letters (1), or of letters and a stop (2); 0: not known."""
-    return 1 if piece.isalpha() else 2 if piece[-1] in _STOPS and piece[:-1].isalpha() else 0
+def _letters(text: str) -> bool:
+    """Whether the text is letters and stays so in lower case and composed form (else a mark could join what follows)."""
+    return text.isalpha() and (text.isascii() or unicodedata.is_normalized("NFC", text) and text.lower().isalpha())
 
 
 def _ascii_lower(text: bytes) -> bytes:
@@ -94,29 +96,35 @@ class WordEncoder:
     def _learn(self) -> None:
         """Encode the new pieces, many in one call.
 
-        Plain words and words with one stop have one and two pieces of the
-        pre-tokenizer, each of which ends in an id with the word end's suffix: these
-        ids part the words again. Other pieces get a mark after each.
+        Letters with punctuation after them are looked up apart, as the pre-tokenizer
+        parts them. A word of letters alone ends in the only id with the word end's
+        suffix, which parts such words again. Other pieces get a mark after each.
         """
-        pieces = [p.decode(errors="replace") for p in self._code.new]
-        self._code.new.clear()
-        first, self._n = self._n, self._n + len(pieces)
+        new, code = self._code.new, self._code
+        first, plain, rest, joint = self._n, [], [], []
+        for i, piece in enumerate(new):  # grows by heads and tails
+            head = piece.rstrip(_TAIL)
+            if self._ends is None or not _letters(head.decode(errors="replace")):
+                rest.append(i)
+            elif len(head) == len(piece):
+                plain.append(i)
+            else:
+                joint += (first + i, code[head], code[piece[len(head) :]])
+        pieces = [p.decode(errors="replace") for p in new]
+        new.clear()
+        self._n += len(pieces)
         if self._n > len(self._lens):
             self._starts, self._lens = (np.resize(x, max(2 * len(x), self._n)) for x in (self._starts, self._lens))
-        parts = np.fromiter(map(_word_parts, pieces), np.int64, len(pieces)) if self._ends is not None else np.zeros(len(pieces), np.int64)
-        plain = np.flatnonzero(parts)
-        rest = np.flatnonzero(parts == 0).tolist()
         groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
         for at in range(0, len(groups), 20):
             some = groups[at : at + 20]
-            for group, got in zip(some, self._batch([" ".join([pieces[i] for i in g.tolist()]) for g in some]), strict=True):
+            for group, got in zip(some, self._batch([" ".join([pieces[i] for i in g]) for g in some]), strict=True):
                 ids = np.array(got.ids, np.int32)
                 ends = np.flatnonzero(self._ends[ids])
-                last = np.cumsum(parts[group])
-                if len(ends) == last[-1]:  # no word has fewer, so each has its number
-                    self._add(first + group, ids, np.diff(ends[last - 1], prepend=-1))
+                if len(ends) == len(group):  # no word has fewer, so each has one
+                    self._add(first + np.array(group), ids, np.diff(ends, prepend=-1))
                 else:
-                    rest += group.tolist()
+                    rest += group
         groups = [rest[i : i + JOINED] for i in range(0, len(rest), JOINED)]
         for at in range(0, len(groups), 20):
             some = groups[at : at + 20]
@@ -134,6 +142,15 @@ class WordEncoder:
                 for i, p in zip(where.tolist(), group, strict=True):  # a mark's id or a special token's string inside a piece
                     ids = np.array(self._ids(pieces[p]), np.int32)
                     self._add(np.array([i]), ids, np.array([len(ids)], np.int64))
+        if joint:
+            whole, parts = np.array(joint).reshape(-1, 3)[:, 0], np.array(joint).reshape(-1, 3)[:, 1:]
+            self._add(whole, self._expanded(parts.ravel()), self._lens[parts].sum(1))
+
+    def _expanded(self, codes: np.ndarray) -> np.ndarray:
+        """The ids of the pieces with these codes, one after another."""
+        lens = self._lens[codes]
+        ends = np.cumsum(lens)
+        return self._flat[np.repeat(self._starts[codes] - (ends - lens), lens) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
     def encode(self, texts: list[str | bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (bytes: in UTF-8) one after another (int32), and n + 1 offsets. Null is as empty."""
@@ -160,10 +177,8 @@ class WordEncoder:
         except BaseException:  # a worker serves further tasks: no code may stay without its ids
             self._reset()
             raise
-        lens = self._lens[codes]
-        ends = np.cumsum(lens)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self._flat[np.repeat(self._starts[codes] - (ends - lens), lens) + np.arange(total)]
+        ends = np.cumsum(self._lens[codes])
+        ids = self._expanded(codes)
         if len(self._code) > 2 * self._cache_pieces:
             self._reset()
         return ids, np.concatenate([[0], ends])[counts]
