@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from talus.llm import gif, langid, lm, media, mixing, neardup, packing, quality, sharding, tokenfiles, vectors
+from talus.llm import gif, langid, media, mixing, neardup, packing, quality, sharding, tokenfiles, vectors
 from talus.llm.links import components
 from talus.llm.queries import fold
 
@@ -23,46 +23,6 @@ def words(t):
     return (t or "").encode().lower().split()
 
 
-def test_lm(spark, docs, empty, tokenizer):
-    rules = lm.LMRules(attention=lm.AttentionRules(steps=40), block_words=300)
-    run = lambda df: lm.score(df, tokenizer, learn=fold(7) != 2, held_out=fold(7) == 2, rules=rules)
-    rows, got = docs.collect(), run(docs).collect()
-    count = collections.Counter()
-    for r in rows:
-        if r["doc_id"] is not None and not held(r["doc_id"], 7):
-            count.update([*words(r["text"]), None])
-    n, v = sum(count.values()), len(count)
-    want = sorted(
-        ((-1 if r["doc_id"] is None else r["doc_id"]), held(r["doc_id"], 7), len(w), sum(count[x] > 0 for x in w), n, round(sum(math.log10((count[x] + 1) / (n + v + 1)) for x in w), 5))
-        for r in rows for w in [[*words(r["text"]), None]]
-    )
-    assert sorted(((-1 if g["doc_id"] is None else g["doc_id"]), g["held_out"], g["n_tokens"], g["n_known"], g["train_tokens"], round(g["base_score"], 5)) for g in got) == want
-    assert all(g["score"] < 0 for g in got) and len({round(g["score"], 6) for g in got if g["doc_id"] == 71}) == 1
-    usual = [g for g in got if g["held_out"] and g["doc_id"] < 60]  # the very long text's words are all its own
-    assert usual and sum(g["score"] for g in usual) > sum(g["base_score"] for g in usual)
-    assert run(empty).count() == 0
-
-
-def test_attention_windows_equal_whole_text():
-    """Each id's class probability against a plain loop over its own window."""
-    rules = lm.AttentionRules(rows=64, classes=8, states=8, steps=20, window=12, stride=8)
-    rng = np.random.default_rng(0)
-    ids = rng.integers(0, 50, 500).astype(np.int32)
-    m = lm.fit(ids, 60, rules)
-    lengths = np.array([1, 7, 8, 9, 40, 0, 100])
-    starts = np.cumsum(lengths) - lengths
-    got = lm.class_logs(m, ids[: lengths.sum()], starts, lengths, 5, rules, windows=3)
-    for s, n in zip(starts, lengths, strict=True):
-        x = m.row[np.concatenate([[5], ids[s : s + n]])]
-        for t in range(n):
-            first = max(0, t // 8 * 8 - 4)
-            seen = x[first : t + 1]
-            a = m.query[x[t]] @ m.key[seen].T + m.distance[np.arange(len(seen))[::-1]]
-            a = np.exp(a - a.max())
-            z = (a / a.sum()) @ m.value[seen] @ m.out + m.direct[x[t]]
-            assert abs(z[m.cls[ids[s + t]]] - np.log(np.exp(z - z.max()).sum()) - z.max() - got[s + t]) < 1e-3
-
-
 def test_gif_round_trips():
     rng = np.random.default_rng(1)
     cases = [b"", b"a", b"ab" * 5000, bytes(range(256)) * 40, rng.integers(0, 256, 30000, np.uint8).tobytes(), b"the of and " * 9000, bytes(70000)]
