@@ -58,7 +58,7 @@ def model_of(ids, v, rules):
     follow = np.zeros((rules.rows, rules.classes))
     np.add.at(follow, (m.row[ids[:-1]], m.cls[ids[1:]]), 1)
     m = attention.with_direct(m, follow)
-    at = attention.training_windows(np.array([len(ids)]), 0.5, rules)[:, None] + np.arange(rules.window)
+    at = attention.training_windows(np.array([len(ids)]), 0.5, rules.every)[:, None] + np.arange(rules.window)
     at = np.minimum(at, len(ids) - 2)
     batches = [(m.row[ids[at]], m.cls[ids[at + 1]])] * 20
     return attention.averaged(m, attention.weighted(*attention.train(m, iter(batches), rules)))
@@ -116,9 +116,8 @@ def test_training_gradient():
 
 
 def test_every_text_trains():
-    rules = attention.AttentionRules(every=64)
     sizes = np.array([1, 5, 64, 127, 128, 1000])
-    at = attention.training_windows(sizes, 0.3, rules)
+    at = attention.training_windows(sizes, 0.3, 64)
     owner = np.searchsorted(np.cumsum(sizes), at, "right")
     assert np.bincount(owner).tolist() == [1, 1, 1, 1, 2, 15]
 
@@ -136,7 +135,7 @@ def test_counts_are_those_of_all_texts(learnt, tokenizer):
     from tokenizers import Tokenizer
 
     texts, rules, model, counts, ids = learnt
-    t, a, v = Tokenizer.from_file(tokenizer), rules.attention, len(ids)
+    t, a, v = Tokenizer.from_file(tokenizer), rules.attention, len(ids) // 2
     end = t.token_to_id("<|endoftext|>")
     want, ends, each = collections.Counter(), np.zeros(v), np.zeros(v)
     for x in texts:
@@ -149,8 +148,26 @@ def test_counts_are_those_of_all_texts(learnt, tokenizer):
                 each[i] += 1
                 before = i
             ends[own[-1]] += w is not None
-    assert (each == ids).all() and (counts[-v:] == ends).all()
-    assert {int(k): counts[k] for k in np.flatnonzero(counts[:-v])} == want
+    assert (np.concatenate([each, ends]) == ids).all()
+    assert {int(k): counts[k] for k in np.flatnonzero(counts)} == want
+
+
+def test_windows_are_those_of_the_stream(spark, learnt, tokenizer):
+    _, rules, *_ = learnt
+    texts = ["one two three", "", "a\u00a0b \u00a0 c", "the whale and the lion saw it"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id LONG, text STRING").coalesce(1).withColumn("held_out", F.lit(False)).withColumn("learn", F.lit(True))
+    b = lm.Block(lm.coded_blocks(rows, tokenizer, rules).first().asDict(), tokenizer)
+    words, count = b.to_learn()
+    stream = b.expand(words)
+    closed = np.append(lm._end_id(tokenizer), stream)
+    sizes = np.diff(np.cumsum(b.lens[words])[words == b.end], prepend=0)
+    at = attention.training_windows(sizes, 0.5, 2)
+    assert (b.windows(words, 2, 0.5, 6) == closed[(at[:, None] + np.arange(6)) % len(closed)]).all() and len(at) >= 4
+    before, ids, times = b.pairs(words, count)
+    got = collections.Counter()
+    for x, y, k in zip(before.tolist(), ids.tolist(), times.tolist(), strict=True):
+        got[x, y] += k
+    assert got == collections.Counter(zip(closed.tolist(), stream.tolist(), strict=False))
 
 
 def test_probabilities_sum_to_at_most_one(learnt, tokenizer):
@@ -158,7 +175,7 @@ def test_probabilities_sum_to_at_most_one(learnt, tokenizer):
     texts, rules, model, counts, ids = learnt
     from tokenizers import Tokenizer
 
-    t, v = Tokenizer.from_file(tokenizer), len(ids)
+    t, v = Tokenizer.from_file(tokenizer), len(ids) // 2
     end = lm._end_id(tokenizer)
     m = lm.WordModel(model, counts, ids, end, rules)
     for context in ("", "the", "a lion saw", "whale don't"):
@@ -194,6 +211,7 @@ def test_attention_helps_on_held_out_texts(spark, tokenizer):
     end = lm._end_id(tokenizer)
     b = lm.Block(blocks.first().asDict(), tokenizer)
     out = b.flags % 2 == 1
-    stream, n = b.stream(b.codes[np.repeat(out, b.lengths)], b.lengths[out], end)
+    words = b.closed(b.codes[np.repeat(out, b.lengths)], b.lengths[out])
+    stream, n = b.expand(words), np.diff(np.cumsum(b.lens[words])[words == b.end], prepend=0)
     logs = [lm.WordModel(m, counts, ids, end, rules).id_logs(stream, np.cumsum(n) - n, n).mean() for m in (model, dataclasses.replace(model, out=np.zeros_like(model.out)))]
     assert logs[0] > logs[1] + 0.02
