@@ -7,10 +7,11 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from talus.llm import gif, langid, media, mixing, neardup, packing, quality, sharding, tokenfiles, vectors
+from talus.llm import gif, langid, media, mixing, neardup, packing, quality, sharding, shared, tokenfiles, vectors
 from talus.llm.links import components
 from talus.llm.queries import fold
 
@@ -198,23 +199,49 @@ def test_components(spark):
     assert got == {i: 1 for i in range(1, 41)} | {99: 99, 100: 99, 101: 99}
 
 
-def test_vectors(spark):
+def test_vectors(spark, monkeypatch):
     rng = np.random.default_rng(2)
     v = [(i, x.tolist()) for i, x in enumerate(rng.normal(0, 1, (330, 8)).round(2))]
     v += [(400, v[0][1]), (500, v[0][1]), (500, v[0][1]), (600, None), (601, [1.0, None] + [0.0] * 6), (602, [float("nan")] * 8), (603, []), (None, v[3][1]), (700, [1.0, 2.0]), (701, [2.0, 1.0])]
-    df = spark.createDataFrame(v, "vec_id LONG, embedding ARRAY<DOUBLE>").withColumn("row", F.lit(1)).repartition(3)
-    good = {(i, tuple(x)) for i, x in v if i is not None and x and all(c is not None and math.isfinite(c) for c in x)}
-    ints = [(i, [math.floor(1024 * c) for c in x]) for i, x in sorted(good)]
+    v += [(800, [0.0] * 8), (900, [1e300] * 8), (901, [-1e200, *[1.0] * 7]), (902, [3e9, *[-1.0] * 7]), (903, [1e307] * 8)]
+    v += [(1000, [1.0]), (1001, [200000.0]), (1002, [300000.0]), (1100, [-1e250]), (1101, [1e250]), (1102, [2e250])]
+    df = spark.createDataFrame(v, "vec_id LONG, embedding ARRAY<DOUBLE>").withColumn("row", F.lit(1)).withColumn("q_row", F.lit(2)).repartition(3)
+    good = {(i, tuple(x)) for i, x in v if i is not None and x and all(c is not None and math.isfinite(1024 * c) for c in x)}
+    ints = [(i, [int(math.floor(1024 * c)) for c in x]) for i, x in sorted(good)]
     want = []
     for q, a in ints:
         if q % 100 == 0:
             scores = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in ints if i != q and len(b) == len(a))[:10]
-            want += [(q, n, i, -s) for n, (s, i) in enumerate(scores, 1)]
+            want += [(q, n, i, max(-(2**63), min(2**63 - 1, -s))) for n, (s, i) in enumerate(scores, 1)]
     got = vectors.top_k(df, df.where("vec_id % 100 = 0")).collect()
     assert sorted(map(tuple, got)) == sorted(want)
+    for name, small in (("BLOCK", 16), ("QUERY_BYTES", 100), ("FIRST", 20), ("CANDIDATES", 5)):
+        monkeypatch.setattr(vectors, name, small)
+    assert sorted(map(tuple, vectors.top_k(df, df.where("vec_id % 100 = 0")).collect())) == sorted(want)
     assert vectors.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_vector_bounds_hold():
+    rng = np.random.default_rng(5)
+    for scale in (1, 1e3, 1e9, 1e100):
+        x, q = np.floor(rng.normal(0, scale, (40, 6))), np.floor(rng.normal(0, scale, (7, 6)))
+        rows = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array([6] * 40, pa.int32()), pa.array([r.tobytes() for r in x], pa.binary())], ["row", "dim", "vec"])
+        grid = next(vectors._approximations(iter([rows]))).to_pylist()[0]
+        lower, upper = vectors.bounds(q, *vectors._grid(grid)[1:])
+        for i in range(7):
+            for j in range(40):
+                exact = sum(int(a) * int(b) for a, b in zip(q[i].tolist(), x[j].tolist(), strict=True))
+                assert int(lower[i, j]) - 1 <= exact <= int(upper[i, j]) + 1 and upper[i, j] - lower[i, j] < 0.2 * 36 * scale**2 + 4
+
+
+def test_spread_join(spark):
+    many = spark.createDataFrame([(i % 3 if i < 90 else None, i) for i in range(100)], "k LONG, n LONG")
+    one = spark.createDataFrame([(0, "a"), (1, "b"), (5, "c")], "k LONG, v STRING")
+    for how in ("inner", "left"):
+        want = sorted(map(str, many.join(one, "k", how).select("k", "n", "v").collect()))
+        assert sorted(map(str, shared.spread_join(many, one, "k", "n", how, most=7).select("k", "n", "v").collect())) == want
+
+
 def test_sharding(spark, docs, empty):
     got = sharding.shard(docs, 4000)
     rows = got.collect()
