@@ -4,22 +4,25 @@ A document's set are its distinct five-word shingles. Documents of equal sets
 form a class (by a 128-bit digest); one of each class goes on. Its signature
 has ``chunks * width`` minhash symbols of 16 bits. The distance of two
 signatures is the number of symbols that differ. By the pigeonhole principle,
-two signatures at a distance of at most ``chunks * (errors + 1) - 1`` (19)
-agree in some chunk but for ``errors`` symbols (1), and the index holds each
-chunk once for each symbol left out, so every such pair shares a key. Of pairs
-beyond that distance most share one too: at a similarity of 0.85 a pair is
-missed with a probability of 3e-6. Numbers of chunks and symbols and all bounds
-follow from the rules' percentage; those named here are of 85.
+two signatures at a distance of at most ``2 * chunks - 1`` agree in some chunk
+but for one symbol, and the index holds each chunk once for each symbol left
+out: all pairs within that distance share a key. The rules choose chunks so that
+this covers ``near``, beyond which no pair is confirmed, and ``near`` so that a
+pair at the least similarity lies beyond it with a probability of ``far``.
 
 Pairs that share a key are never listed as such. First every document is held
 against the smallest of each of its keys (a star), links are confirmed on the
 full sets and joined to components. Then only keys whose documents lie in
 several components are left. Their documents get a longer signature, and within
-these keys signatures are compared in numpy, blocks of one key against blocks;
-only pairs of different components that are near by both signatures are
-confirmed. So each pair that shares a key is either
+these keys signatures are compared in numpy, blocks of one key against blocks,
+those of large keys by size of the set (sets whose sizes differ by more than the
+percentage cannot be linked); only pairs of different components that are near
+by both signatures are confirmed. So each pair that shares a key is either
 confirmed, refuted, or in one component already.
 
+A document that many others are held against meets them in several groups, once
+in each; rows of a text that very many documents share are dealt out likewise.
+
 Defined results: null, empty or blank texts have an empty set and are linked
 with nothing; sets below six shingles (four at 80 percent) can only be linked with equal ones;
 repeated rows are of one class; rows that share an id are one document; a row
@@ -37,23 +40,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from talus.llm.links import components
-from talus.llm.shared import checked_broadcast, stored
+from talus.llm.shared import checked_broadcast, spread_join, stored, with_row
 from talus.llm.shingles import digests, minhashes, mixed, shingle_sets
 from talus.llm.subwords import text_chunks
 
 
-def _shape(like: float, symbols: int, miss: float) -> tuple[int, int]:
-    """chunks, width: the widest chunks of which so many as ``symbols`` hold leave a pair of this similarity without a shared key at most as often as ``miss``."""
-    for width in range(symbols, 1, -1):
-        apart = 1 - like**width - width * like ** (width - 1) * (1 - like)
-        chunks = math.ceil(math.log(miss) / math.log(apart)) if apart > 0 else 1
-        if chunks * width <= symbols:
-            return chunks, width
-    return symbols, 1
-
-
 def _most(symbols: int, bits: int, like: float, miss: float) -> int:
     """The distance that pairs of this similarity exceed with a probability of at most ``miss`` (a binomial tail)."""
     like += (1 - like) / 2**bits  # unlike symbols that are equal by chance
@@ -63,6 +57,15 @@ def _most(symbols: int, bits: int, like: float, miss: float) -> int:
     return k
 
 
+def _shape(like: float, symbols: int, far: float) -> tuple[int, int]:
+    """chunks, width: the widest chunks, and as few of them as guarantee a shared key to pairs that are near by so many symbols."""
+    for width in range(symbols, 0, -1):
+        for chunks in range(1, symbols // width + 1):
+            if 2 * chunks - 1 >= _most(chunks * width, 16, like, far):
+                return chunks, width
+    return symbols, 1
+
+
 @dataclass(frozen=True)
 class NearRules:
     """Bounds that are not given follow from ``percent``."""
@@ -70,9 +73,8 @@ class NearRules:
     words: int = 5
     #: Link if 100 * intersection >= percent * union.
     percent: int = 85
-    #: Most symbols of a signature, and how often a pair at the least similarity may share no key.
+    #: Most symbols of a signature.
     symbols: int = 72
-    miss: float = 4e-6
     chunks: int = 0
     width: int = 0
     #: Pairs beyond this distance are not confirmed; at the least similarity more differ with a probability of ``far``.
@@ -82,13 +84,14 @@ class NearRules:
     fine_symbols: int = 512
     fine_near: int = -1
     far: float = 1e-6
-    #: Documents of a key in one block of the comparison.
+    #: Documents of a key in one block of the comparison, and those held against one document in one group.
     block: int = 2048
+    group: int = 4096
 
     def __post_init__(self) -> None:
         like = self.percent / 100
         if not self.chunks or not self.width:
-            for name, value in zip(("chunks", "width"), _shape(like, self.symbols, self.miss), strict=True):
+            for name, value in zip(("chunks", "width"), _shape(like, self.symbols, self.far), strict=True):
                 object.__setattr__(self, name, value)
         if self.near < 0:
             object.__setattr__(self, "near", _most(self.chunks * self.width, 16, like, self.far))
@@ -149,42 +152,70 @@ def _index(classes: DataFrame, rules: NearRules) -> DataFrame:
     return classes.where(F.col("n_shingles") >= rules.least).select("id", "sig").mapInArrow(task, "key long, id long")
 
 
+def _beside(pairs: DataFrame, values: DataFrame, rules: NearRules) -> DataFrame:
+    """a, part, b, value in order: for each document a (in each of its groups) first its own value (b is null), then those of all b. values: id, value."""
+    pairs = stored(pairs.select("a", "b"))
+    hot = stored(pairs.groupBy("a").agg(F.ceil(F.count("*") / rules.group).cast("int").alias("groups")).where("groups > 1"))
+    dealt = pairs.join(checked_broadcast(hot, hot.count()), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("groups", F.lit(1))).cast("int").alias("part"))
+    others = dealt.join(values.withColumnRenamed("id", "b"), "b").select("a", "part", "b", "value")
+    own = dealt.select("a", "part").distinct().join(values.withColumnRenamed("id", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "value")
+    return own.unionByName(others).repartition("a", "part").sortWithinPartitions("a", "part", "b")
+
+
 def _distances(pairs: DataFrame, classes: DataFrame, rules: NearRules) -> DataFrame:
     """The pairs (a, b) whose signatures are near."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, held = None, []  # the group that goes on from batch to batch, and its own values
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in (2, 3))
-            yield batch.select([0, 1]).filter(pa.array((x != y).sum(1) <= rules.near))
-
-    sig = classes.select("id", "sig")
-    with_b = pairs.join(sig.withColumnsRenamed({"id": "b", "sig": "sig_b"}), "b")
-    return with_b.join(sig.withColumnsRenamed({"id": "a", "sig": "sig_a"}), "a").select("a", "b", "sig_a", "sig_b").mapInArrow(task, "a long, b long")
+            raw, own = batch.column(3).to_pylist(), batch.column(2).is_null().to_numpy(zero_copy_only=False)
+            if not raw:
+                continue
+            group = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in (0, 1)], 1)
+            if before != tuple(group[0]):
+                held = []
+            n = len(held)
+            sig = np.frombuffer(b"".join([*held, *raw]), np.uint16).reshape(n + len(raw), -1)
+            place = np.arange(n + len(raw))
+            starts = np.concatenate([np.arange(n) == 0, [n == 0], (group[1:] != group[:-1]).any(1)])
+            first = np.maximum.accumulate(np.where(starts, place, 0))
+            last = np.maximum.accumulate(np.where(np.append(np.ones(n, bool), own), place, 0))
+            near = np.zeros(len(place), bool)
+            for k in range(int((last - first).max()) + 1):  # one, but for documents of several texts
+                near |= (sig != sig[np.minimum(first + k, last)]).sum(1) <= rules.near
+            before, held = tuple(group[-1]), [sig[i].tobytes() for i in range(first[-1], last[-1] + 1)]
+            yield batch.select([0, 2]).filter(pa.array(near[n:] & ~own))
+
+    sig = classes.select("id", F.col("sig").alias("value"))
+    return _beside(pairs, sig, rules).mapInArrow(task, "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, rules: NearRules) -> DataFrame:
     """The pairs (a, b) linked by their full sets. texts: id, text."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, last_set = None, None
+        before, own = None, []
         for batch in batches:
-            a, first = batch.column(0).to_pylist(), batch.column(2).cast(pa.binary())
+            a, part, first = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).is_null().to_pylist()
             good = np.zeros(batch.num_rows, bool)
-            for i, j, second in text_chunks(batch.column(3)):
-                sets, offsets = shingle_sets(second, rules.words)
+            for i, j, some in text_chunks(batch.column(3)):
+                sets, offsets = shingle_sets(some, rules.words)
                 for k in range(i, j):
-                    if a[k] != last or last is None:
-                        last, last_set = a[k], shingle_sets([first[k].as_py()], rules.words)[0]
                     other = sets[offsets[k - i] : offsets[k - i + 1]]
-                    both = len(np.intersect1d(last_set, other, assume_unique=True))
-                    good[k] = 100 * both >= rules.percent * (len(last_set) + len(other) - both) and both > 0
-            yield batch.select([0, 1]).filter(pa.array(good))
+                    if before != (a[k], part[k]):
+                        before, own = (a[k], part[k]), []
+                    if first[k]:
+                        own.append(other)
+                        continue
+                    for one in own:  # several only if a document has several texts
+                        both = len(np.intersect1d(one, other, assume_unique=True))
+                        good[k] |= 100 * both >= rules.percent * (len(one) + len(other) - both) and both > 0
+            yield batch.select([0, 2]).filter(pa.array(good))
 
     pairs = stored(pairs)
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    asked = stored(texts.join(checked_broadcast(ids, ids.count()), "id", "left_semi"))
-    with_b = pairs.join(asked.withColumnsRenamed({"id": "b", "text": "text_b"}), "b")
-    return with_b.join(asked.withColumnsRenamed({"id": "a", "text": "text_a"}), "a").select("a", "b", "text_a", "text_b").mapInArrow(task, "a long, b long")
+    asked = stored(texts.join(checked_broadcast(ids, ids.count()), "id", "left_semi").select("id", F.col("text").alias("value")).distinct())
+    return _beside(pairs, asked, rules).mapInArrow(task, "a long, b long")
 
 
 def _fine(rows: DataFrame, texts: DataFrame, rules: NearRules) -> DataFrame:
@@ -197,41 +228,50 @@ def _fine(rows: DataFrame, texts: DataFrame, rules: NearRules) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([f.tobytes() for f in fine], pa.binary())], ["id", "fine"])
 
     ids = stored(rows.select("id").distinct())
-    asked = texts.join(checked_broadcast(ids, ids.count()), "id", "left_semi")
+    asked = texts.join(checked_broadcast(ids, ids.count()), "id", "left_semi").distinct()
     return rows.join(stored(asked.mapInArrow(task, "id long, fine binary")), "id")
 
 
 def _across(rows: DataFrame, rules: NearRules) -> DataFrame:
-    """a, b (a < b): near signatures of different components within a key. rows: key, id, component, sig, fine.
+    """a, b (a < b): near signatures of different components within a key. rows: key, id, component, n_shingles, sig, fine.
 
-    A key of more documents than a block is compared block against block, each
-    pair of blocks in a group of its own. A pair comes from the first key that it
-    shares alone, so no pair is given twice.
+    A key of more documents than a block is parted by bands of set sizes, so that
+    linked pairs lie in one band or in neighbouring ones (a document stands in its
+    own band and, as ``lower``, in the next), and compared block against block,
+    each pair of blocks in a group of its own. A pair comes from the first key that
+    it shares alone, so no pair is given twice.
     """
-    size = rows.groupBy("key").agg(F.count("*").alias("n"))
-    parts = F.ceil(F.col("n") / rules.block).cast("int")
+    size = stored(rows.groupBy("key").agg(F.count("*").alias("n")))
+    own_band = F.floor(F.log("n_shingles") / F.lit(1.001 * math.log(100 / min(rules.percent, 99)))).cast("int")
+    large = F.col("n") > rules.block
     placed = (
-        rows.join(size, "key")
-        .withColumn("parts", parts)
+        spread_join(rows, size, "key", "id", counts=size)
+        .withColumn("parts", F.ceil(F.col("n") / rules.block).cast("int"))
         .withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+        .withColumn("band", F.explode(F.when(large, F.array(own_band, own_band + 1)).otherwise(F.array(F.lit(0)))))
+        .withColumn("lower", large & (F.col("band") != own_band))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "component", "sig", "fine")
+        .select("key", "band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "lower", "id", "component", "n_shingles", "sig", "fine")
     )
 
     def close(sigs: np.ndarray, x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
         return np.concatenate([(sigs[x[k : k + 20_000]] != sigs[y[k : k + 20_000]]).sum(1) <= most for k in range(0, len(x), 20_000)])
 
-    def compare(key: int, own: np.ndarray, ids: np.ndarray, comps: np.ndarray, sigs: np.ndarray, fine: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
-        left = np.flatnonzero(own == low)
-        right = left if low == high else np.flatnonzero(own == high)
+    def compare(key: int, low: int, high: int, own: np.ndarray, lower: np.ndarray, ids: np.ndarray, comps: np.ndarray, sizes: np.ndarray, sigs: np.ndarray, fine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(sizes, kind="stable")
+        left = order[own[order] == low]
+        right = left if low == high else order[own[order] == high]
+        least, most = -(-sizes * rules.percent // 100), sizes * 100 // rules.percent  # sizes of sets that may be linked
         found = []
         for at in range(0, len(left), 64):
             i = left[at : at + 64]
-            apart = comps[i][:, None] != comps[right][None, :]
+            near = right[np.searchsorted(sizes[right], least[i[0]]) : np.searchsorted(sizes[right], most[i[-1]], "right")]
+            apart = (comps[i][:, None] != comps[near][None, :]) & ~(lower[i][:, None] & lower[near][None, :])
+            apart &= (sizes[near][None, :] >= least[i][:, None]) & (sizes[near][None, :] <= most[i][:, None])
             if low == high:
-                apart &= ids[i][:, None] < ids[right][None, :]
+                apart &= ids[i][:, None] < ids[near][None, :]
             x, y = np.nonzero(apart)
-            x, y = i[x], right[y]
+            x, y = i[x], near[y]
             if len(x):
                 keep = close(sigs, x, y, rules.near)
                 x, y = x[keep], y[keep]
@@ -251,7 +291,7 @@ def _across(rows: DataFrame, rules: NearRules) -> DataFrame:
             table = pa.Table.from_batches([batch])
             if rest is not None:
                 table = pa.concat_tables([rest, table]).combine_chunks()
-            keys = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("key", "low", "high")])
+            keys = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("key", "band", "low", "high")])
             cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
             done = int(cuts[-1]) if len(cuts) else 0
             rest = table.slice(done)
@@ -261,44 +301,57 @@ def _across(rows: DataFrame, rules: NearRules) -> DataFrame:
             yield runs(rest, [0, rest.num_rows])
 
     def runs(table: pa.Table, cuts: list[int]) -> pa.RecordBatch:
-        key, own, ids, comps, low, high = (table.column(c).to_numpy() for c in ("key", "own", "id", "component", "low", "high"))
-        sigs, fine = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind).reshape(len(ids), -1) for c, kind in (("sig", np.uint16), ("fine", np.uint8)))
-        got = [compare(key[i], own[i:j], ids[i:j], comps[i:j], sigs[i:j], fine[i:j], low[i], high[i]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+        column = lambda c: table.column(c).to_numpy()
+        key, low, high = column("key"), column("low"), column("high")
+        rows_ = [column(c) for c in ("own", "lower", "id", "component", "n_shingles")]
+        rows_ += [np.frombuffer(b"".join(table.column(c).to_pylist()), kind).reshape(len(key), -1) for c, kind in (("sig", np.uint16), ("fine", np.uint8))]
+        got = [compare(key[i], low[i], high[i], *(r[i:j] for r in rows_)) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([g[k] for g in got])) for k in (0, 1)], ["a", "b"])
 
-    return placed.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(task, "a long, b long")
+    return placed.repartition("key", "band", "low", "high").sortWithinPartitions("key", "band", "low", "high").mapInArrow(task, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, rules: NearRules = NearRules()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs."""
-    rows = stored(signatures(docs, rules))
+    return _labelled(docs, stored(signatures(docs, rules)), rules)
+
+
+def _labelled(docs: DataFrame, rows: DataFrame, rules: NearRules) -> DataFrame:
     with_id = rows.where("doc_id IS NOT NULL AND digest IS NOT NULL")
-    classes = stored(with_id.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")))
+    classes = stored(with_id.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("n")))
     index = _index(classes, rules)
-    star = index.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("m")).where("a <> m").select("key", "a")
-    shared = stored(index.join(star, "key"))  # keys of at least two documents
+    star = stored(index.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n"), F.max("id").alias("m")).where("a <> m").select("key", "a", "n"))
+    shared = stored(spread_join(index, star.select("key", "a"), "key", "id", counts=star))  # keys of at least two documents
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     starred = stored(_distances(shared.where("a <> id").select("a", F.col("id").alias("b")).distinct(), classes, rules))
     linked = stored(_confirmed(starred, texts, rules))
-    # rows of one id with several texts are one document
-    one = with_id.join(classes.select("digest", "id"), "digest").groupBy("doc_id").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
-    same = stored(one.select(F.col("doc_id").alias("a"), F.col("low").alias("b")).unionByName(one.select(F.col("doc_id").alias("a"), F.col("high").alias("b"))))
+    # rows of one id with several texts are one document: it is linked with the class of each
+    several = with_id.groupBy("doc_id").agg(F.min("digest").alias("d0"), F.max("digest").alias("d1")).where("d0 <> d1").select("doc_id")
+    same = stored(with_id.join(several, "doc_id").select("doc_id", "digest").distinct().join(classes.select("digest", "id"), "digest").select(F.col("doc_id").alias("a"), F.col("id").alias("b")))
     first = stored(components(linked.unionByName(same)))
-    labelled = shared.join(first.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    labelled = stored(shared.join(first.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")))
     mixed_keys = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    left = labelled.join(mixed_keys, "key").join(classes.where(F.col("n_shingles") >= rules.least).select("id", "sig"), "id")
-    refuted = starred.select("a", "b")
-    more = stored(_across(stored(_fine(stored(left), texts, rules)), rules)).join(refuted, ["a", "b"], "left_anti")
+    left = spread_join(labelled, mixed_keys, "key", "id", counts=star).join(classes.where(F.col("n_shingles") >= rules.least).select("id", "n_shingles", "sig"), "id")
+    more = stored(_across(stored(_fine(stored(left), texts, rules)), rules)).join(starred, ["a", "b"], "left_anti")
     linked_more = stored(_confirmed(more, texts, rules))
     last = stored(components(linked.unionByName(same).unionByName(linked_more)))
     class_of = classes.join(last.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
-    out = rows.select("doc_id", "n_shingles", "digest").join(class_of, "digest", "left")
+    plain = rows.where("digest IS NULL").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
+    out = spread_join(rows.where("digest IS NOT NULL"), class_of, "digest", "doc_id", "left", counts=classes).select("doc_id", "n_shingles", "component_id").unionByName(plain)
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def deduplicated(docs: DataFrame, rules: NearRules = NearRules()) -> DataFrame:
-    """The rows of docs that stay: one of each group, with its own columns."""
-    kept = near_duplicates(docs, rules).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    stay = docs.join(kept, docs["doc_id"].cast("long") == kept["doc_id"], "left_semi").dropDuplicates(["doc_id"])
+    """The rows of docs that stay: one of each group, with its own columns, and those without id.
+
+    Of rows that share the id that stays, it is the one whose text comes first in
+    order of bytes (a null last), then the one whose other columns do as JSON.
+    """
+    found = near_duplicates(docs, rules)
+    kept = found.where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("id")).distinct()
+    others = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"], F.lit(0)))
+    rows = with_row(docs, id=F.col("doc_id").cast("long"), text=F.col("text"), others=others)
+    first = F.row_number().over(W.partitionBy("id").orderBy(F.col("text").asc_nulls_last(), "others"))
+    stay = rows.join(kept, "id", "left_semi").withColumn("place", first).where("place = 1").select("row.*")
     return stay.unionByName(docs.where("doc_id IS NULL"))

@@ -45,15 +45,17 @@ def checked_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def spread_join(many: DataFrame, one: DataFrame, key: str, by: str, how: str = "inner", most: int = KEY_ROWS) -> DataFrame:
+def spread_join(many: DataFrame, one: DataFrame, key: str, by: str, how: str = "inner", most: int = KEY_ROWS, counts: DataFrame | None = None) -> DataFrame:
     """many joined with one (a row for each key) where a key may have very many rows in many.
 
     The right rows of keys with more than ``most`` rows are copied, and the left rows
     are dealt to the copies by a hash of ``by``. Keys are counted first, with partial
     counts; there are at most so many hot ones as ``most`` goes into all rows, and they
     are broadcast within the bound (beyond it, adaptive execution has to split them).
+    counts: key and its rows ``n``, if they are known.
     """
-    hot = stored(many.groupBy(key).agg(F.count("*").alias("_rows")).where(F.col("_rows") > most).select(key, F.ceil(F.col("_rows") / most).cast("int").alias("_copies")))
+    counts = many.groupBy(key).agg(F.count("*").alias("_rows")) if counts is None else counts.select(key, F.col("n").alias("_rows"))
+    hot = stored(counts.where(F.col("_rows") > most).select(key, F.ceil(F.col("_rows") / most).cast("int").alias("_copies")))
     n = hot.where(F.col(key).isNotNull()).count()
     if not 0 < n <= BROADCAST_ROWS:
         return many.join(one, key, how)

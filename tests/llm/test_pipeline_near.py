@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from talus.llm import neardup
 
@@ -23,8 +25,47 @@ def kept(rows, percent):
 
 def test_rules_follow_from_the_percentage():
     op8, stage = neardup.NearRules(), corpus_pipeline.NEAR
-    assert (op8.percent, op8.chunks, op8.width, op8.near, op8.fine_near, op8.least) == (85, 10, 7, 27, 117, 6)
-    assert (stage.percent, stage.chunks, stage.width, stage.least) == (80, 12, 6, 4) and stage.near > op8.near and stage.fine_near > op8.fine_near
+    assert (op8.percent, op8.least, stage.percent, stage.least) == (85, 6, 80, 4)
+    for rules in (op8, stage):  # all pairs within the threshold share a key
+        assert 2 * rules.chunks - 1 >= rules.near and rules.chunks * rules.width <= rules.symbols
+
+
+def test_pairs_within_the_threshold_share_a_key(spark):
+    rules, rng = neardup.NearRules(), np.random.default_rng(4)
+    n = rules.chunks * rules.width
+    sig = rng.integers(0, 1 << 16, n).astype(np.uint16)
+    rows = [(0, 9, sig.tobytes())]
+    for i in range(1, 60):
+        other = sig.copy()
+        other[rng.permutation(n)[: rules.near]] += 1
+        rows.append((i, 9, other.tobytes()))
+    keys = {}
+    for r in neardup._index(spark.createDataFrame(rows, "id LONG, n_shingles LONG, sig BINARY"), rules).collect():
+        keys.setdefault(r["id"], set()).add(r["key"])
+    assert all(keys[0] & keys[i] for i in range(1, 60))
+
+
+def test_hot_documents_and_keys(spark, monkeypatch):
+    """Many copies of one text, many near copies of another, many documents of one id: as without groups, bands and copies of rows."""
+    from talus.llm import shared
+
+    r = random.Random(5)
+    base = [f"w{r.randrange(400)}" for _ in range(120)]
+    rows = [(i, " ".join(base)) for i in range(200, 260)] + [(7, "one id with many different texts number " + str(i)) for i in range(30)]
+    for i in range(120):
+        w = list(base)
+        for _ in range(r.randrange(9)):
+            w[r.randrange(len(w))] = f"x{r.randrange(9999)}"
+        rows.append((i + 20, " ".join(w[: r.randrange(60, 121)])))
+    rows += [(500 + i, None if i % 2 else " ") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id LONG, text STRING").repartition(5)
+    want = sorted(map(str, neardup.near_duplicates(df).collect()))
+    monkeypatch.setattr(shared, "KEY_ROWS", 7)
+    monkeypatch.setattr(shared.spread_join, "__defaults__", ("inner", 7, None))
+    got = neardup.near_duplicates(df, neardup.NearRules(block=10, group=5)).collect()
+    assert sorted(map(str, got)) == want
+    stay = [neardup.deduplicated(df.repartition(n)).collect() for n in (2, 9)]
+    assert sorted(map(tuple, stay[0])) == sorted(map(tuple, stay[1])) and [t for i, t in map(tuple, stay[0]) if i == 7] == ["one id with many different texts number 0"]
 
 
 def test_stage_drops_copies_at_four_fifths(spark):
