@@ -16,6 +16,8 @@ from dataclasses import dataclass
 import numpy as np
 
 MOST_CODES = 4096
+#: Pixels of the largest canvas or frame that is decoded: 64 MB of RGBA. A header can name 65535 x 65535 in a few bytes.
+MOST_PIXELS = 1 << 24
 
 
 def _widths(min_size: int, n: int) -> np.ndarray:
@@ -24,7 +26,7 @@ def _widths(min_size: int, n: int) -> np.ndarray:
     return np.minimum(12, np.frexp(size.astype(np.float64))[1]).astype(np.int64)
 
 
-_WIDTHS = {m: _widths(m, MOST_CODES + 2) for m in range(2, 9)}
+_WIDTHS = {m: _widths(m, MOST_CODES + 2) for m in range(1, 9)}
 _PLACES = {m: np.concatenate([[0], np.cumsum(w)]) for m, w in _WIDTHS.items()}
 
 
@@ -87,6 +89,8 @@ def _strings(codes: np.ndarray, clear: int) -> np.ndarray:
 
 def lzw_decode(raw: bytes, min_size: int, pixels: int) -> np.ndarray:
     """At most so many pixels of a code stream; a stream that breaks off gives what it has."""
+    if min_size not in _WIDTHS:
+        raise ValueError(f"an LZW code size of {min_size}")
     clear, widths, places = 1 << min_size, _WIDTHS[min_size], _PLACES[min_size]
     b = np.frombuffer(raw + bytes(4), np.uint8).astype(np.uint32)
     window = b[:-2] | b[1:-1] << 8 | b[2:] << 16
@@ -135,6 +139,8 @@ class Frame:
 def _blocks(media: bytes, at: int) -> tuple[bytes, int]:
     parts = []
     while (n := media[at]) != 0:
+        if at + 1 + n > len(media):
+            raise ValueError("a block breaks off")
         parts.append(media[at + 1 : at + 1 + n])
         at += 1 + n
     return b"".join(parts), at + 1
@@ -145,7 +151,7 @@ _PASSES = ((0, 8), (4, 8), (2, 4), (1, 2))
 
 def decode(media: bytes) -> Iterator[Frame]:
     """The frames in order, each as the whole canvas shows it."""
-    if media[:6] not in (b"GIF87a", b"GIF89a"):
+    if media[:6] not in (b"GIF87a", b"GIF89a") or len(media) < 13:
         raise ValueError("not a GIF")
     width, height, flags = int.from_bytes(media[6:8], "little"), int.from_bytes(media[8:10], "little"), media[10]
     at = 13
@@ -159,6 +165,8 @@ def decode(media: bytes) -> Iterator[Frame]:
         return table
 
     overall = palette(flags & 7) if flags & 0x80 else np.zeros((256, 3), np.uint8)
+    if width * height > MOST_PIXELS:
+        raise ValueError(f"a canvas of {width} x {height}")
     canvas = np.zeros((height, width, 4), np.uint8)
     delay, disposal, clear_index = 0, 0, None
     while at < len(media) and media[at] != 0x3B:
@@ -177,9 +185,11 @@ def decode(media: bytes) -> Iterator[Frame]:
         colours = palette(own_flags & 7) if own_flags & 0x80 else overall
         min_size = media[at]
         data, at = _blocks(media, at + 1)
-        index = np.zeros(w * h, np.uint8)
-        got = lzw_decode(data, min_size, w * h)
-        index[: len(got)] = got
+        if w * h > MOST_PIXELS:
+            raise ValueError(f"a frame of {w} x {h}")
+        index = lzw_decode(data, min_size, w * h)
+        if len(index) < w * h:
+            raise ValueError("a code stream breaks off")
         index = index.reshape(h, w)
         if own_flags & 0x40:
             rows = np.concatenate([np.arange(a, h, b) for a, b in _PASSES])

@@ -16,8 +16,8 @@ tree of sums adds the tasks' tables, which are bounded by languages times
 Defined results: a null text, or one without a letter, is ``und`` with score 0
 and ambiguous; without any language learnt all are ``und``; rows without
 language or id teach nothing; repeated rows count and are predicted each; long
-texts are taken whole; an empty table gives no rows; further columns are
-ignored; ties go to the first language in alphabetical order.
+texts are taken whole; an empty table gives no rows; further columns, of
+whatever names, are ignored by ``identify`` and kept by ``identified``; ties go to the first language in alphabetical order.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talus.llm.shared import stored
+from talus.llm.shared import stored, with_row
 from talus.llm.subwords import text_chunks
 
 
@@ -137,29 +137,49 @@ class Decoder:
         return loss.argmin(1), (two[:, 1] - two[:, 0]) / (two[:, 1] + two[:, 0])
 
 
-def _predicted(docs: DataFrame, decoder: Decoder | None, rules: LanguageRules) -> DataFrame:
-    """docs with lang_pred, score and ambiguous; the text stays as it is."""
-    own = [c for c in docs.columns if c not in ("lang_pred", "score", "ambiguous")]
+def _predicted(rows: DataFrame, decoder: Decoder | None, rules: LanguageRules) -> DataFrame:
+    """rows (any column ``row``, text) with lang_pred, score and ambiguous; the text goes."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             lang, score = np.full(n, "und", object), np.zeros(n)
-            for a, _, texts in text_chunks(batch.column("_lower")) if decoder else ():
+            for a, _, texts in text_chunks(batch.column("text")) if decoder else ():
                 some = np.flatnonzero([t is not None for t in texts])
                 if not len(some):
                     continue
-                h, offsets = _trigrams([texts[i] for i in some], rules.buckets)
-                sums = np.add.reduceat(decoder.weight[h], offsets[:-1], axis=0)
-                told = np.add.reduceat((h != rules.buckets - 1).astype(np.int64), offsets[:-1])
-                best, score[a + some] = decoder.decode(sums / np.maximum(1, told)[:, None])
+                best, score[a + some] = decoder.decode(np.concatenate([_margins(decoder, part, rules) for part in _parts([texts[i] for i in some])]))
                 lang[a + some] = np.array(decoder.languages, object)[best]
             found = [pa.array(lang, pa.string()), pa.array(score), pa.array((lang == "und") | (score < rules.least_score))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), *found], [*own, "lang_pred", "score", "ambiguous"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *found], ["row", "lang_pred", "score", "ambiguous"])
 
-    schema = docs.select(*own).schema.add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
-    with_text = docs.select(*own, F.when(F.col("text").rlike(r"\p{L}"), F.lower("text")).alias("_lower"))
-    return with_text.mapInArrow(task, schema)
+    schema = rows.select("row").schema.add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
+    return rows.select("row", F.when(F.col("text").rlike(r"\p{L}"), F.lower("text")).alias("text")).mapInArrow(task, schema)
+
+
+def _parts(texts: list[bytes], size: int = 500_000) -> Iterator[list[bytes]]:
+    """Lists of texts of about so many bytes, one text at least."""
+    own: list[bytes] = []
+    held = 0
+    for t in texts:
+        if own and held + len(t) > size:
+            yield own
+            own, held = [], 0
+        own.append(t)
+        held += len(t)
+    if own:
+        yield own
+
+
+def _margins(decoder: Decoder, texts: list[bytes], rules: LanguageRules, piece: int = 1_000_000) -> np.ndarray:
+    """The bits' margins of each text; a long text's trigrams are weighed piece by piece."""
+    h, offsets = _trigrams(texts, rules.buckets)
+    if len(texts) > 1:
+        sums = np.add.reduceat(decoder.weight[h], offsets[:-1], axis=0)
+    else:
+        sums = sum(decoder.weight[h[i : i + piece]].sum(0, keepdims=True, dtype=np.float64) for i in range(0, len(h), piece))
+    told = np.add.reduceat((h != rules.buckets - 1).astype(np.int64), offsets[:-1])
+    return sums / np.maximum(1, told)[:, None]
 
 
 def learnt(docs: DataFrame, learn: Column, rules: LanguageRules = LanguageRules()) -> Decoder | None:
@@ -171,10 +191,11 @@ def learnt(docs: DataFrame, learn: Column, rules: LanguageRules = LanguageRules(
 
 def identify(docs: DataFrame, learn: Column, held_out: Column, rules: LanguageRules = LanguageRules()) -> DataFrame:
     """doc_id, held_out, lang_pred, score, ambiguous of every row of docs."""
-    asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    return _predicted(asked, learnt(docs, learn, rules), rules).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+    own = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out")).alias("row")
+    found = _predicted(docs.select(own, "text"), learnt(docs, learn, rules), rules)
+    return found.select("row.doc_id", "row.held_out", "lang_pred", "score", "ambiguous")
 
 
 def identified(docs: DataFrame, learn: Column, rules: LanguageRules = LanguageRules()) -> DataFrame:
-    """The rows of docs that have a language, without those whose language is ambiguous; all columns."""
-    return _predicted(docs, learnt(docs, learn, rules), rules).where("NOT ambiguous").select(*docs.columns)
+    """The rows of docs that have a language, without those whose language is ambiguous; docs' own columns as they are."""
+    return _predicted(with_row(docs, text=F.col("text")), learnt(docs, learn, rules), rules).where("NOT ambiguous").select("row.*")

@@ -7,8 +7,10 @@ decodes stored media, composes the frames and gives one row for each medium;
 
 Defined results: a null text is empty and has one row of zero pixels; repeated
 rows and equal texts give equal values; very long texts have more frames; an
-empty table gives no rows; further columns are ignored; broken media have their
-error in the column ``error`` and no frames.
+empty table gives no rows; further columns are ignored; broken media (a stream
+or block that breaks off, an invalid code size, a canvas above
+``gif.MOST_PIXELS``) have their error in the column ``error`` and no features;
+``frames`` gives the frames before the fault.
 """
 
 from __future__ import annotations
@@ -46,6 +48,7 @@ def _feature(frames: int, delay_cs: int, counts: np.ndarray) -> str:
     return f"{frames} frames {delay_cs} cs " + " ".join(f"{i:02d}:{n}" for i, n in enumerate(share.tolist()) if counts[i])
 
 
+_BROKEN = (ValueError, IndexError, OverflowError)
 _FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames int, histogram array<long>, error string"
 
 
@@ -65,7 +68,7 @@ def features(media: DataFrame) -> DataFrame:
                 tail, size = (tail + own)[-64:], size + len(own)
                 counts += gif.histogram(frame.canvas[frame.top : frame.top + frame.height, frame.left : frame.left + frame.width])
                 n, delay = n + 1, delay + frame.delay_cs
-        except (ValueError, IndexError) as e:
+        except _BROKEN as e:
             return {"error": str(e)}
         return {"payload_bytes": size, "payload_sha256": sha.hexdigest(), "tail_crc32": zlib.crc32(tail), "feature": _feature(n, delay, counts), "n_frames": n, "histogram": counts.tolist()}
 
@@ -95,7 +98,7 @@ def frames(media: DataFrame) -> DataFrame:
                         row = {"doc_id": doc, "frame": i, "left": f.left, "top": f.top, "width": f.width, "height": f.height, "start_cs": start, "delay_cs": f.delay_cs, "disposal": f.disposal}
                         yield pa.RecordBatch.from_pylist([row | {"histogram": gif.histogram(f.canvas).tolist(), "rgba": f.canvas.tobytes()}], schema=schema)
                         start += f.delay_cs
-                except (ValueError, IndexError):
+                except _BROKEN:
                     continue  # features() names the error
 
     ddl = "doc_id long, frame int, left int, top int, width int, height int, start_cs long, delay_cs int, disposal int, histogram array<long>, rgba binary"

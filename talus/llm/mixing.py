@@ -14,8 +14,8 @@ count), so that a source with a third of all rows stays spread out.
 Defined results: a null source is a source of its own; a null or empty text
 counts one byte, as every text has one more for its end; a null id takes its
 text's hash; repeated rows draw the same number; a source without a target has
-weight 0 and goes; an empty table gives no rows; columns called ``copy`` or
-``shuffle_key`` are replaced, all others stay.
+weight 0 and goes; an empty table gives no rows; in ``mix``, columns called
+``copy`` or ``shuffle_key`` are replaced, all others stay; ``replicated`` keeps all.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talus.llm.shared import checked_broadcast, stored
+from talus.llm.shared import checked_broadcast, stored, with_row
 
 
 @dataclass(frozen=True)
@@ -49,10 +49,11 @@ def rates(docs: DataFrame, weights: DataFrame | None, rules: MixingRules) -> Dat
     else:
         given = weights.select(F.col("source").alias("_source"), F.col("weight").cast("double"))
         sums = sums.join(given, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source").fillna(0.0, ["weight"])
-    total = sums.agg(F.sum("own").alias("all_own"), F.sum("weight").alias("all_weight"))
+    sums = stored(sums)
+    all_own, all_weight = sums.agg(F.sum("own"), F.sum("weight")).first()
+    rate = F.lit(all_own) * rules.epochs * F.col("weight") / F.lit(all_weight) / F.col("own") if all_weight else F.lit(0.0)
     rated = (
-        sums.join(F.broadcast(total))  # one row
-        .withColumn("rate", F.when(F.col("all_weight") > 0, F.col("all_own") * rules.epochs * F.col("weight") / F.col("all_weight") / F.col("own")).otherwise(0.0))
+        sums.withColumn("rate", rate)
         .withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / rules.part_mean)).cast("int"))
         .withColumn("mean", F.col("rate") / F.col("parts"))
     )
@@ -75,32 +76,43 @@ def _hex(*parts, digits: int):
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, digits), 16, 10).cast("long")
 
 
-def mix(docs: DataFrame, weights: DataFrame | None = None, rules: MixingRules = MixingRules()) -> DataFrame:
-    """All columns of docs, ``copy`` (from 1) and ``shuffle_key``; each document as often as drawn."""
+def _copies(docs: DataFrame, weights: DataFrame | None, rules: MixingRules) -> DataFrame:
+    """row (docs' columns), copy (from 1) and shuffle_key, each document as often as drawn, dealt out and sorted by the key."""
     source_rates = stored(rates(docs, weights, rules))
-    side = source_rates.select(F.col("source").alias("_source"), "parts", "cdf")
+    side = source_rates.select(F.col("source").alias("rated"), "parts", "cdf")
     key = F.coalesce(F.col("doc_id").cast("string"), F.md5("text"), F.lit("null"))
-    uniform = lambda part: _hex(F.lit(str(rules.seed)), F.col("_key"), part.cast("string"), digits=13) / F.lit(float(2**52))
+    uniform = lambda part: _hex(F.lit(str(rules.seed)), F.col("key"), part.cast("string"), digits=13) / F.lit(float(2**52))
     drawn = F.aggregate(
         F.sequence(F.lit(1), F.col("parts")),
         F.lit(0),
         lambda acc, part: acc + F.size(F.filter(F.col("cdf"), lambda c: c <= uniform(part))),
     )
-    own = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
     return (
-        docs.select(*own)
-        .withColumn("_key", key)
-        .join(checked_broadcast(side, source_rates.count()), F.col("source").eqNullSafe(F.col("_source")))
-        .withColumn("_n", drawn)
-        .where("_n > 0")
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
-        .withColumn("shuffle_key", _hex(F.lit(str(rules.seed)), F.lit("order"), F.col("_key"), F.col("copy").cast("string"), digits=15))
-        .select(*own, "copy", "shuffle_key")
+        with_row(docs, key=key, own=F.col("source"))
+        .join(checked_broadcast(side, source_rates.count()), F.col("own").eqNullSafe(F.col("rated")))
+        .withColumn("n", drawn)
+        .where("n > 0")
+        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
+        .select("row", "copy", _hex(F.lit(str(rules.seed)), F.lit("order"), F.col("key"), F.col("copy").cast("string"), digits=15).alias("shuffle_key"))
         .repartition("shuffle_key")
         .sortWithinPartitions("shuffle_key", "copy")
     )
 
 
+ADDED = ("copy", "shuffle_key")
+
+
+def mix(docs: DataFrame, weights: DataFrame | None = None, rules: MixingRules = MixingRules()) -> DataFrame:
+    """All columns of docs, ``copy`` and ``shuffle_key`` (columns of these names are replaced); each document as often as drawn."""
+    found = _copies(docs, weights, rules)
+    return found.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c.lower() not in ADDED], *ADDED)
+
+
+def replicated(docs: DataFrame, weights: DataFrame | None = None, rules: MixingRules = MixingRules()) -> DataFrame:
+    """The rows of docs, each as often as drawn, shuffled; docs' own columns as they are."""
+    return _copies(docs, weights, rules).select("row.*")
+
+
 ORACLE_SQL = """
 WITH sums AS (
   SELECT source, SUM(COALESCE(strlen(text), 0) + 1)::DOUBLE AS own FROM documents GROUP BY source

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talus.llm.shingles import CACHE_WORDS, _cache
+from talus.llm.shared import with_row
 from talus.llm.subwords import in_chunks, text_chunks
 
 
@@ -221,8 +222,10 @@ def labeller_model(docs: DataFrame) -> tuple[float, np.ndarray]:
 def trained(docs: DataFrame, rules: QualityRules = QualityRules()) -> tuple[float, np.ndarray, np.ndarray]:
     """Share of good documents, vote tables, and the scorer's weights, which one task fits on the bounded sample."""
     share, table = labeller_model(docs)
-    part = min(1.0, rules.sample_rows / max(1, docs.count()))
-    sample = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < F.lit(math.ceil(part * 1_000_000))).select("text").where("text IS NOT NULL")
+    n = docs.count()
+    # about sample_rows of any number of rows: those whose hash (63 bits) is below the share
+    below = min(2**63 - 1, rules.sample_rows * 2**63 // max(1, n))
+    sample = docs.where(F.xxhash64("doc_id", "text").bitwiseAND(F.lit(2**63 - 1)) <= F.lit(below)).select("text").where("text IS NOT NULL")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = sorted(t for b in batches for t in b.column(0).cast(pa.binary()).to_pylist())
@@ -234,10 +237,9 @@ def trained(docs: DataFrame, rules: QualityRules = QualityRules()) -> tuple[floa
     return share, table, np.load(io.BytesIO(got[0])) if got else np.zeros(rules.buckets, np.float32)
 
 
-def scored(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """doc_id, weak_label (posterior of the labellers), score, kept of every row, and its other columns."""
-    share, table, weights = trained(docs, rules)
-    own = [c for c in docs.columns if c not in ("weak_label", "score", "kept")]
+def _scored(rows: DataFrame, model: tuple[float, np.ndarray, np.ndarray], rules: QualityRules) -> DataFrame:
+    """rows (any column ``row``, text) with weak_label, score and kept; the text goes."""
+    share, table, weights = model
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -246,13 +248,21 @@ def scored(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
                 weak = posterior(votes(s), share, table)
                 score = 1 / (1 + np.exp(-np.clip(raw_scores(weights, *hashed(s, flat, offsets, rules.buckets)), -30, 30)))
                 score[s[:, 0] == 0] = 0.0
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(weak), pa.array(score), pa.array(score >= rules.keep)], [*own, "weak_label", "score", "kept"])
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(a, b - a), pa.array(weak), pa.array(score), pa.array(score >= rules.keep)], ["row", "weak_label", "score", "kept"])
 
-    schema = docs.select(*own).schema.add("weak_label", "double").add("score", "double").add("kept", "boolean")
-    return docs.select(*own).mapInArrow(task, schema)
+    schema = rows.select("row").schema.add("weak_label", "double").add("score", "double").add("kept", "boolean")
+    return rows.select("row", "text").mapInArrow(task, schema)
 
 
-def filtered(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """The rows of docs that are not rejected."""
-    return scored(docs, rules).where("kept").select(*docs.columns)
+ADDED = ("weak_label", "score", "kept")
 
+
+def scored(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
+    """weak_label (posterior of the labellers), score, kept of every row, and its columns; those of the same names are replaced."""
+    own = docs.select(*[c for c in docs.columns if c.lower() not in ADDED])
+    return _scored(with_row(own, text=F.col("text")), trained(docs, rules), rules).select("row.*", *ADDED)
+
+
+def filtered(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
+    """The rows of docs that are not rejected; docs' own columns as they are."""
+    return _scored(with_row(docs, text=F.col("text")), trained(docs, rules), rules).where("kept").select("row.*")
