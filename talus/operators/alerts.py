@@ -51,17 +51,17 @@ def episodes(tx: DataFrame, rule: config.ValueRule | config.VelocityRule, accoun
     """
     days = rule.days
     rows = tx.select(F.col(account).alias("account"), "timestamp", "amount_brl").where("account IS NOT NULL AND timestamp IS NOT NULL")
+    named = lambda df: df.select("account", F.lit(rule.rule_id).alias("rule_id"), "start", F.col("timestamp").alias("end")).distinct()
+    more = F.count(F.when(F.col("trigger"), 1)).over(_ahead("account", days))
     if isinstance(rule, config.ValueRule):
-        marked = in_buckets(rows, days).withColumn("trigger", value_trigger(rule))
-    else:
-        # a trigger ahead looks back itself, which the halo of one window on both sides covers
-        marked = in_buckets(rows, days).withColumn("trigger", F.count("*").over(_back("account", days)) >= rule.least_count)
-    seen = (
-        marked.withColumn("start", F.min("timestamp").over(_back("account", days)))
-        .withColumn("more", F.count(F.when(F.col("trigger"), 1)).over(_ahead("account", days)))
-        .where("own AND trigger AND more = 0")
-    )
-    return seen.select("account", F.lit(rule.rule_id).alias("rule_id"), "start", F.col("timestamp").alias("end")).distinct()
+        # triggers are few and known from their own row: ends come from them alone, and only their windows are looked up
+        hits = in_buckets(rows.where(value_trigger(rule)).select("account", "timestamp").distinct(), days).withColumn("trigger", F.lit(True))
+        ends = hits.withColumn("more", more).where("own AND more = 0").select(F.col("account").alias("_account"), (F.col("timestamp") - F.expr(f"INTERVAL {days} DAYS")).alias("_from"), F.col("timestamp").alias("_to"))
+        first = within(rows.select("account", "timestamp"), ends, "account", days).groupBy("_account", "_to").agg(F.min("timestamp").alias("start"))
+        return named(first.select(F.col("_account").alias("account"), "start", F.col("_to").alias("timestamp")))
+    # a trigger ahead looks back itself, which the halo of one window on both sides covers
+    marked = in_buckets(rows, days).withColumn("trigger", F.count("*").over(_back("account", days)) >= rule.least_count)
+    return named(marked.withColumn("start", F.min("timestamp").over(_back("account", days))).withColumn("more", more).where("own AND trigger AND more = 0"))
 
 
 def alerts(tx: DataFrame, rules: list[config.ValueRule | config.VelocityRule], account: str = "sender_account", accounts: DataFrame | None = None, customers: DataFrame | None = None) -> DataFrame:
@@ -80,12 +80,26 @@ def account_customers(accounts: DataFrame, customers: DataFrame) -> DataFrame:
     return accounts.join(customers.select("customer_id", "name", "cpf_cnpj"), "customer_id").select("account", "customer_id", "name", "cpf_cnpj")
 
 
-def alert_transactions(found: DataFrame, tx: DataFrame, account: str = "sender_account") -> DataFrame:
+def within(tx: DataFrame, spans: DataFrame, account: str, days: int, last: bool = True) -> DataFrame:
+    """tx joined with spans (_account, _from, _to) of its account that hold its time, ``_to`` itself too if last.
+
+    The join is on account and bucket of time, so an account with very many rows
+    and spans meets them bucket by bucket.
+    """
+    width = F.lit(days * _DAY)
+    bucket = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / width)
+    side = spans.withColumn("_bucket", F.explode(F.sequence(bucket("_from"), bucket("_to"))))
+    rows = tx.withColumn("_bucket", bucket("timestamp"))
+    upper = rows["timestamp"] <= side["_to"] if last else rows["timestamp"] < side["_to"]
+    return rows.join(side, (rows[account] == side["_account"]) & (rows["_bucket"] == side["_bucket"]) & (rows["timestamp"] >= side["_from"]) & upper).drop("_bucket")
+
+
+def alert_transactions(found: DataFrame, tx: DataFrame, account: str = "sender_account", days: int = 30) -> DataFrame:
     """alert_id, holder, selected_at, seq and the transactions of the account within [start, end], in order of time."""
-    side = found.select("alert_id", F.col("account").alias("_account"), "start", "end", "selected_at")
-    inside = tx.join(side, (tx[account] == side["_account"]) & tx["timestamp"].between(side["start"], side["end"]))
+    side = found.select("alert_id", F.col("account").alias("_account"), F.col("start").alias("_from"), F.col("end").alias("_to"), "selected_at")
     order = W.partitionBy("alert_id").orderBy("timestamp", "transaction_id")
-    return inside.drop("holder").withColumnRenamed("_account", "holder").withColumn("seq", F.row_number().over(order)).drop("start", "end")
+    inside = within(tx, side, account, days)
+    return inside.drop("holder").withColumnRenamed("_account", "holder").withColumn("seq", F.row_number().over(order)).drop("_from", "_to")
 
 
 def false_positives(found: DataFrame, alert_tx: DataFrame) -> DataFrame:

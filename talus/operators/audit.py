@@ -21,7 +21,7 @@ HASHED = [
 
 
 def event_hash(columns: list[str] | None = None) -> Column:
-    """SHA-256 of the canonical JSON: sorted keys, no blanks, nulls written. Equal to the appended hash for ASCII text."""
+    """SHA-256 of the canonical JSON: sorted keys, no blanks, nulls written."""
     return F.sha2(F.to_json(F.struct(*(columns or HASHED)), {"ignoreNullFields": "false"}), 256)
 
 
@@ -41,12 +41,16 @@ def verify(events: DataFrame, chain: str | None = None) -> DataFrame:
     return (rows.groupBy(*keys) if keys else rows.groupBy()).agg(F.coalesce(F.bool_and("_good"), F.lit(True)).alias("valid"), F.count("*").alias("n_events"), first)
 
 
-def append(events: DataFrame, chain: str, last: DataFrame | None = None) -> DataFrame:
+def append(events: DataFrame, chain: str, last: DataFrame | None = None, log: DataFrame | None = None) -> DataFrame:
     """Events with seq, prev_hash and hash, chained in order of occurred_at and event_key within each chain.
 
     A chain is one fold, so a chain is one group; many chains run in parallel. last:
-    chain, seq, hash of what is stored. Repeated event keys count once, the first.
+    chain, seq, hash of what is stored (by default those of log). Repeated event keys
+    count once, the first, and keys that log holds already are not appended again.
     """
+    if log is not None:
+        events = events.join(log.select("event_key").distinct(), "event_key", "left_anti")
+        last = last_events(log, chain) if last is None else last
     wanted = [c.strip().split(" ")[0] for c in AUDIT_EVENTS.split(", ")]
     own = [c for c in wanted if c not in ("seq", "prev_hash", "hash")]
     first = W.partitionBy("event_key").orderBy("occurred_at")

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from talus.config import TriageRules
 from talus.functions.dates import duration_days
+from talus.operators.alerts import within
 from talus.operators.triage import below, cash_deposit, cash_then_abroad, counterparties, cross_border, outbound_transfer
 
 
@@ -59,9 +60,9 @@ def ranked_counterparties(alert_tx: DataFrame) -> DataFrame:
 
 
 def history(alerts: DataFrame, tx: DataFrame, account: str = "sender_account", days: int = 180) -> DataFrame:
-    """alert_id, history_brl: the account's total in [selected_at - days, selected_at)."""
-    side = alerts.select("alert_id", F.col("account").alias("_account"), "selected_at")
-    past = tx.join(side, (tx[account] == side["_account"]) & (tx["timestamp"] >= side["selected_at"] - F.expr(f"INTERVAL {days} DAYS")) & (tx["timestamp"] < side["selected_at"]))
+    """alert_id, history_brl: the account's total in [selected_at - days, selected_at), joined by month."""
+    side = alerts.select("alert_id", F.col("account").alias("_account"), (F.col("selected_at") - F.expr(f"INTERVAL {days} DAYS")).alias("_from"), F.col("selected_at").alias("_to"))
+    past = within(tx.select(account, "timestamp", "amount_brl"), side, account, 30, last=False)
     return alerts.select("alert_id").join(past.groupBy("alert_id").agg(F.sum("amount_brl").alias("history_brl")), "alert_id", "left").fillna(0, ["history_brl"])
 
 

@@ -38,9 +38,10 @@ def vector_top_k(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """
     check_search(k)
     parts = 16
-    q = queries.select("query_id", F.col("vector").alias("q"), "corpus_version").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    c = chunks.select("chunk_id", F.col("vector").alias("c"), "corpus_version").withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int"))
-    scored = q.join(c, ["corpus_version", "part"]).select("query_id", "part", "chunk_id", cosine(F.col("q"), F.col("c")).alias("score"))
+    length = lambda v: F.sqrt(dot(F.col(v), F.col(v)))  # noqa: E731  once for each vector, not for each pair
+    q = queries.select("query_id", F.col("vector").alias("q"), length("vector").alias("q_length"), "corpus_version").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    c = chunks.select("chunk_id", F.col("vector").alias("c"), length("vector").alias("c_length"), "corpus_version").withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int"))
+    scored = q.join(c, ["corpus_version", "part"]).select("query_id", "part", "chunk_id", F.try_divide(dot(F.col("q"), F.col("c")), F.col("q_length") * F.col("c_length")).alias("score"))
     best = lambda *by: F.row_number().over(W.partitionBy(*by).orderBy(F.desc("score"), "chunk_id"))
     near = scored.withColumn("pos", best("query_id", "part")).where(F.col("pos") <= k)
     return near.withColumn("pos", best("query_id")).where(F.col("pos") <= k).select("query_id", "chunk_id", "score", "pos")
@@ -89,7 +90,8 @@ def select_citations(candidates: DataFrame, preferred: DataFrame, min_score: flo
     """
     good = candidates.where(F.col("score") >= min_score).join(preferred.where("applicability IS NOT NULL"), "query_id")
     scores = bm25(good, F.col("tokens"), F.col("query_tokens"))
-    both = ranked(ranked(good.join(scores, ["query_id", "chunk_id"]), "score", "rank_vector"), "bm25", "rank_words")
+    rounded = scores.withColumn("bm25", F.round("bm25", 9))  # sums of equal terms in any order are equal
+    both = ranked(ranked(good.join(rounded, ["query_id", "chunk_id"]), "score", "rank_vector"), "bm25", "rank_words")
     rows = fused(both, ["rank_vector", "rank_words"]).withColumn("preferred", F.array_contains("refs", F.col("article_ref")))
     order = W.partitionBy("query_id").orderBy(F.desc("preferred"), F.desc("rrf"), "pos")
     return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("query_id", "chunk_id", "article_ref", "text", "applicability", F.col("place").alias("pos"))

@@ -25,11 +25,24 @@ def normal_accounts(tx: DataFrame, account: str = "sender_account") -> DataFrame
     return account_classes(tx, account).where("NOT suspicious").select("account")
 
 
-def first_by_hash(rows: DataFrame, n: int, seed: int, key: str) -> DataFrame:
-    """The n rows of least hash (ties by key): a top-n, merged partition by partition."""
+def first_by_hash(rows: DataFrame, n: int, seed: int, key: str, digits: int = 4) -> DataFrame:
+    """The n rows of least hash (ties by key).
+
+    Rows are counted by the hash's first digits (at most 16**digits counts); whole
+    prefixes are taken below the one in which the n-th row lies, and only within
+    that one rows are ranked. So no task sorts more than one prefix.
+    """
     if n < 0:
         raise ValueError("a sample's size is not negative")
-    return rows.orderBy(hash_order(seed, F.col(key)), key).limit(n)
+    hashed = rows.withColumn("_order", hash_order(seed, F.col(key))).withColumn("_prefix", F.substring("_order", 1, digits))
+    counts = hashed.groupBy("_prefix").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_prefix").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    edge = counts.select("_prefix", "_n", before.alias("_before")).where((F.col("_before") < n) & (F.col("_before") + F.col("_n") >= n)).first()
+    if edge is None:  # all rows, or none
+        return rows if n else rows.limit(0)
+    place = F.row_number().over(W.partitionBy("_prefix").orderBy("_order", key))
+    last = hashed.where(F.col("_prefix") == edge["_prefix"]).withColumn("_place", place).where(F.col("_place") <= n - edge["_before"])
+    return hashed.where(F.col("_prefix") < edge["_prefix"]).select(*rows.columns).unionByName(last.select(*rows.columns))
 
 
 def sample_accounts(classes: DataFrame, rules: SplitRules = SplitRules()) -> DataFrame:
@@ -95,9 +108,36 @@ def quotas(sizes: DataFrame, rules: SplitRules = SplitRules()) -> dict[str, int]
 
 
 def stratified(strata_: DataFrame, quota: DataFrame, seed: int) -> DataFrame:
-    """alert_id, stratum, place: the first of each stratum in hash order, up to its quota (stratum, quota)."""
+    """alert_id, stratum, place: the first of each stratum in hash order, up to its quota (stratum, quota).
+
+    The largest quota limits every stratum's rows before they are shuffled.
+    """
+    most = quota.agg(F.max("quota")).first()[0] or 0
     order = W.partitionBy("stratum").orderBy(hash_order(seed, F.col("alert_id")), "alert_id")
-    return strata_.join(F.broadcast(quota), "stratum").withColumn("place", F.row_number().over(order)).where("place <= quota").select("alert_id", "stratum", "place")
+    first = strata_.where("stratum IS NOT NULL").withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    return first.join(F.broadcast(quota), "stratum").where("place <= quota").select("alert_id", "stratum", "place")
+
+
+def development(strata_: DataFrame, alerts_of: DataFrame, accounts: DataFrame) -> DataFrame:
+    """alert_id, stratum, account of the alerts of development accounts (account, golden): none of these is in a golden sample."""
+    mine = alerts_of.select("alert_id", "account").join(accounts.where("NOT golden").select("account"), "account", "left_semi")
+    return strata_.join(mine, "alert_id").select("alert_id", "stratum", "account")
+
+
+def development_sizes(development_: DataFrame, labels: DataFrame) -> DataFrame:
+    """label, available: development alerts of each stratum, 0 included."""
+    return pool_sizes(development_.select("alert_id", "stratum"), labels).select("label", "available")
+
+
+def golden_set(alerts_of: DataFrame, alert_tx: DataFrame, classes: DataFrame, labels: DataFrame, rules: SplitRules = SplitRules()) -> tuple[DataFrame, DataFrame]:
+    """(golden sample: alert_id, stratum, place; development alerts: alert_id, stratum, account): accounts are split, golden ones' alerts drawn by quota."""
+    accounts = split_accounts(classes, rules)
+    all_ = strata(alert_tx, labels)
+    golden_alerts = alerts_of.join(accounts.where("golden").select("account"), "account", "left_semi")
+    own = all_.join(golden_alerts.select("alert_id"), "alert_id", "left_semi")
+    sizes = quotas(pool_sizes(own, labels), rules)
+    quota = alerts_of.sparkSession.createDataFrame(sorted(sizes.items()), "stratum STRING, quota INT")
+    return stratified(own, quota, rules.seed), development(all_, alerts_of, accounts)
 
 
 def manifest(chosen: DataFrame, payload: DataFrame, versions: dict[str, object]) -> dict:

@@ -70,11 +70,13 @@ def cash_then_abroad(alert_tx: DataFrame, rules: TriageRules = TriageRules()) ->
 
     A deposit that is itself cross-border pairs with itself.
     """
-    d = alert_tx.where(cash_deposit()).select("alert_id", F.col("seq").alias("d_seq"), F.col("timestamp").alias("d_at"), F.col("transaction_id").alias("deposit_id"))
-    s = alert_tx.where(cross_border() & (F.col("sender_account") == F.col("holder"))).select("alert_id", F.col("seq").alias("s_seq"), F.col("timestamp").alias("s_at"), F.col("transaction_id").alias("sending_id"))
-    pairs = d.join(s, "alert_id").where((F.col("s_at") >= F.col("d_at")) & (F.col("s_at") <= F.col("d_at") + F.expr(f"INTERVAL {rules.abroad_days} DAYS")))
-    first = F.min(F.struct("d_at", "d_seq", "s_at", "s_seq", "deposit_id", "sending_id")).alias("p")
-    return pairs.groupBy("alert_id").agg(first).select("alert_id", "p.deposit_id", "p.sending_id")
+    # the first sending at or after each deposit's time, by one window over both, instead of all pairs
+    send = cross_border() & (F.col("sender_account") == F.col("holder"))
+    item = F.struct(F.col("timestamp").alias("s_at"), F.col("seq").alias("s_seq"), F.col("transaction_id").alias("sending_id"))
+    ahead = W.partitionBy("alert_id").orderBy(F.unix_micros(F.col("timestamp").cast("timestamp"))).rangeBetween(0, rules.abroad_days * 86_400_000_000)
+    rows = alert_tx.where(cash_deposit() | send).withColumn("s", F.min(F.when(send, item)).over(ahead)).where(cash_deposit() & F.col("s").isNotNull())
+    first = F.min(F.struct(F.col("timestamp").alias("d_at"), F.col("seq").alias("d_seq"), "s.s_at", "s.s_seq", F.col("transaction_id").alias("deposit_id"), "s.sending_id")).alias("p")
+    return rows.groupBy("alert_id").agg(first).select("alert_id", "p.deposit_id", "p.sending_id")
 
 
 def restriction(alerts: DataFrame, customers: DataFrame, rules: TriageRules = TriageRules()) -> DataFrame:

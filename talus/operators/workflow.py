@@ -168,3 +168,75 @@ def new_alerts(arriving: DataFrame, known: DataFrame) -> DataFrame:
     rows = first.join(old, "alert_id", "left")
     status = F.when((F.col("payload_sha256") != F.col("_most")) | (F.col("_sha") != F.col("payload_sha256")), F.lit("conflict")).when(F.col("_sha").isNotNull(), F.lit("repeated")).otherwise(F.lit("created"))
     return rows.select("alert_id", "payload_sha256", status.alias("status"))
+
+
+def typology_incisos(typologies: DataFrame, labels: DataFrame) -> DataFrame:
+    """typologies (typology) with its label, incisos and whether it is critical; null for NENHUMA. 17 labels."""
+    side = labels.where("typology IS NOT NULL").select("typology", F.col("label").alias("source_label"), "incisos", "critical")
+    known = typologies.where(F.col("typology").isin(config.TYPOLOGIES) | F.col("typology").isNull()).join(F.broadcast(side), "typology", "left")
+    unknown = typologies.where(~F.col("typology").isin(config.TYPOLOGIES)).count()
+    if unknown:
+        raise ValueError(f"{unknown} rows of an unknown typology")
+    return known
+
+
+def duplicates(items: Column) -> Column:
+    """The items of an array that occur more than once, each once, in order of first appearance."""
+    return F.filter(F.array_distinct(items), lambda x: F.size(F.filter(items, lambda y: y == x)) > 1)
+
+
+def disjoint_violations(verdict_rows: DataFrame) -> DataFrame:
+    """verdict rows (alert_id, verified and rejected arrays of chunk ids) with ``violations``: ids on both sides, ids given twice."""
+    both = F.array_intersect("verified", "rejected")
+    checks = F.array(
+        F.when(F.size(both) > 0, F.concat(F.lit("verified and rejected: "), F.array_join(both, ","))),
+        F.when(F.size(duplicates(F.concat("verified", "rejected"))) > F.size(both), F.lit("given twice")),
+    )
+    return verdict_rows.withColumn("violations", F.filter(checks, lambda v: v.isNotNull()))
+
+
+def node_step(records: DataFrame, node: str, outcomes: DataFrame, most: int = 3) -> tuple[DataFrame, DataFrame]:
+    """One node over all alerts that stand before it: (records afterwards, audit events).
+
+    records: alert_id, node (the next one), state, level, failure_reason, occurred_at;
+    outcomes: alert_id, attempt, state, level, error (null: the attempt succeeded),
+    occurred_at. The first success among the first ``most`` attempts counts. Without
+    one the alert fails closed: NEEDS_HUMAN with the last error. Each attempt that
+    was used gives an event under its node key, so a step that runs again gives the
+    same keys and an append refuses them. Records of other nodes stay as they are.
+    """
+    tried = outcomes.where(F.col("attempt") <= most)
+    good = F.min(F.when(F.col("error").isNull(), F.struct("attempt", "state", "level", "occurred_at")))
+    bad = F.max(F.when(F.col("error").isNotNull(), F.struct("attempt", "error", "occurred_at")))
+    best = tried.groupBy("alert_id").agg(good.alias("_good"), bad.alias("_bad"))
+    here = records.where((F.col("node") == node) & (F.col("state") != "NEEDS_HUMAN"))
+    ran = here.join(best, "alert_id", "left")
+    failed = F.col("_good").isNull()
+    after = ran.select(
+        "alert_id", F.lit(node).alias("node"), F.when(failed, F.lit("NEEDS_HUMAN")).otherwise(F.col("_good.state")).alias("state"), F.when(failed, F.col("level")).otherwise(F.coalesce("_good.level", "level")).alias("level"),
+        F.when(failed, F.coalesce("_bad.error", F.lit(f"{node}: no outcome"))).alias("failure_reason"), F.coalesce("_good.occurred_at", "_bad.occurred_at", "occurred_at").alias("occurred_at"),
+    )
+    moved = routed(after).withColumn("node", F.col("next_node")).select("alert_id", "node", "state", "level", "failure_reason", "occurred_at")
+    rest = records.join(here.select("alert_id"), "alert_id", "left_anti").select(*moved.columns)
+    used = tried.join(ran.select("alert_id", F.col("state").alias("state_from"), F.coalesce("_good.attempt", F.lit(most)).alias("_last")), "alert_id").where(F.col("attempt") <= F.col("_last"))
+    kind = F.when(F.col("error").isNull(), F.lit("NODE_COMPLETED")).otherwise(F.lit("NODE_FAILED"))
+    key = F.concat_ws("_", "alert_id", F.lit(node), F.col("attempt").cast("string"), kind)
+    events = used.select("alert_id", key.alias("event_key"), "occurred_at", kind.alias("event_type"), F.lit(node).alias("actor"), "state_from", F.when(F.col("error").isNull(), F.col("state")).otherwise(F.col("state_from")).alias("state_to"))
+    return moved.unionByName(rest), events
+
+
+def run_nodes(records: DataFrame, outcomes: DataFrame, checkpoint, nodes: list[str] = config.NODES) -> tuple[DataFrame, DataFrame]:
+    """All nodes in their order (outcomes with ``node``): final records and all events. checkpoint(df, name) stores a table and returns it read back, so that a run that broke off goes on from the last node."""
+    events = None
+    for node in nodes:
+        records, own = node_step(records, node, outcomes.where(F.col("node") == node).drop("node"))
+        records, own = checkpoint(records, f"records-{node}"), checkpoint(own, f"events-{node}")
+        events = own if events is None else events.unionByName(own)
+    return records, events
+
+
+def to_records(final: DataFrame, alerts: DataFrame) -> DataFrame:
+    """Alert records of final states (alert_id, state, level, failure_reason, occurred_at), with the alert's window, deadlines and ``violations`` of the contracts."""
+    rows = final.join(alerts.select("alert_id", "account", "rule_id", "start", "end", "selected_at"), "alert_id").withColumnRenamed("level", "triage_level")
+    checked = record_violations(rows.withColumn("amount", F.lit(1))).drop("amount")
+    return checked.select("*", *deadlines(F.col("selected_at")), F.col("occurred_at").alias("updated_at")).drop("occurred_at")

@@ -98,6 +98,13 @@ def _atx(spark: SparkSession, d: str) -> DataFrame:
     return A.alert_transactions(A.alerts(tx.select("holder", "timestamp", "amount_brl"), [VALUE], "holder"), tx, "holder")
 
 
+def _staged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Transactions, alerts and alerts' transactions; the last two, a small part of the first, are stored once for all that is derived from them."""
+    tx = D.transactions(spark, d)
+    found = store.staged(A.alerts(tx.select("holder", "timestamp", "amount_brl"), [VALUE], "holder"))
+    return tx, found, store.staged(A.alert_transactions(found, tx, "holder"))
+
+
 @query(f"{TX} SELECT laundering_type AS label, COUNT(*) AS n, MAX(is_laundering) = 1 AS suspicious FROM tx GROUP BY 1")
 def scan_profile(spark: SparkSession, d: str) -> DataFrame:
     return saml.profile(_tx(spark, d).select(F.col("laundering_type").alias("label"), (F.col("is_laundering") == 1).alias("suspicious")))
@@ -271,7 +278,8 @@ decision AS (SELECT alert_id, CASE WHEN rules = '' THEN 'PROPOR_ARQUIVAMENTO' EL
 
 
 def _decision(spark: SparkSession, d: str) -> DataFrame:
-    return triage.decide(_atx(spark, d), _lists(spark, d, _alerts(spark, d)))
+    _, found, atx = _staged(spark, d)
+    return triage.decide(atx, _lists(spark, d, found)).join(found.select("alert_id", "selected_at"), "alert_id")
 
 
 @query(f"{_DECISION} SELECT alert_id, level, state, rules FROM decision")
@@ -313,9 +321,8 @@ def customer_history(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _features(spark: SparkSession, d: str) -> DataFrame:
-    tx = D.transactions(spark, d)
-    found = A.alerts(tx, [VALUE], "holder")
-    return features.indicators(found, A.alert_transactions(found, tx, "holder"), features.history(found, tx, "holder"), _lists(spark, d, found))
+    _, found, atx = _staged(spark, d)
+    return features.indicators(found, atx, features.history(found, _tx(spark, d), "holder"), _lists(spark, d, found))
 
 
 @query(f"""{_LAYERS} {_CASH} {_LISTS}, {_TOP}, b AS ({_BASIC}), c6 AS (SELECT alert_id, COUNT(DISTINCT counterparty) FILTER (direction = 'in') AS f06, COUNT(DISTINCT counterparty) FILTER (direction = 'out') AS f07 FROM cp GROUP BY 1),
@@ -326,7 +333,9 @@ def features_long(spark: SparkSession, d: str) -> DataFrame:
     return _features(spark, d).where("feature_id <> 'F11'").select("alert_id", "feature_id", features.rendered().alias("value"))
 
 
-@query()
+@query(f"""{ATX} {_PAST}, t AS (SELECT alert_id, SUM(amount_brl) AS total FROM atx GROUP BY 1),
+v AS (SELECT alert_id, total::DOUBLE / greatest(history_brl::DOUBLE * round(greatest(epoch_us("end") - epoch_us(start), 86400) / 86400000000.0, 6) / 180, 0.01) AS r FROM alerts JOIN t USING (alert_id) JOIN past USING (alert_id))
+SELECT alert_id, printf('%.1fx', round_even(r, 1)) AS value_str FROM v""")
 def features_volume_ratio(spark: SparkSession, d: str) -> DataFrame:
     return _features(spark, d).where("feature_id = 'F11'").select("alert_id", "value_str")
 
@@ -346,7 +355,7 @@ def pii_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""{ATX} {CUSTOMERS}, n AS (SELECT alert_id, COUNT(*) AS n FROM atx GROUP BY 1) SELECT alert_id, CASE WHEN cpf_cnpj = repeat('0', 11) THEN 'NEEDS_HUMAN' ELSE 'SANITIZED' END AS state, CASE WHEN cpf_cnpj <> repeat('0', 11) THEN 3 + 2 * n END AS pii_token_count FROM alerts JOIN n USING (alert_id) JOIN cust USING (account)""")
 def pii_sanitised(spark: SparkSession, d: str) -> DataFrame:
-    found, atx = _alerts(spark, d), _atx(spark, d)
+    _, found, atx = _staged(spark, d)
     named = found.join(D.customers(spark, d), "account").select("alert_id", "name", "cpf_cnpj")
     head, _ = sanitize.sanitised(named, atx, sanitize.token_table(named, atx))
     return head.select("alert_id", "state", "pii_token_count")
@@ -363,53 +372,53 @@ def text_norm_hash(spark: SparkSession, d: str) -> DataFrame:
     return D.read(spark, d, "documents").select("doc_id", text.text_sha256(F.col("text")).alias("text_sha256"))
 
 
-_BM = r"""WITH q AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text[1:60]), '[a-z0-9]+')) AS qt FROM benchmark), d AS (SELECT item_id AS chunk_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS tokens FROM benchmark),
-cand AS (SELECT query_id, chunk_id, tokens, qt, ((chunk_id - query_id + 1000000) % 8) AS pos FROM q JOIN d ON chunk_id // 8 = query_id // 8),
+_VEC = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, c.vec_id::VARCHAR AS chunk_id, list_dot_product(q.e, c.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(c.e, c.e))) AS score
+ FROM v q JOIN v c ON q.vec_id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS pos FROM s), near AS (SELECT * FROM r WHERE pos <= 8)"""
+
+
+def _near(spark: SparkSession, d: str) -> DataFrame:
+    e = D.read(spark, d, "embeddings")
+    chunks = e.select(F.col("vec_id").cast("string").alias("chunk_id"), F.col("embedding").alias("vector"), F.lit("v1").alias("corpus_version"))
+    asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), F.lit("v1").alias("corpus_version"))
+    return retrieval.vector_top_k(asked, chunks, 8)
+
+
+@query(f"{_VEC} SELECT query_id, chunk_id, round(score, 6) AS score, pos FROM near")
+def vector_topk(spark: SparkSession, d: str) -> DataFrame:
+    return _near(spark, d).withColumn("score", F.round(F.col("score"), 6))
+
+
+_BM = r""", d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS tokens FROM documents), cand AS (SELECT query_id, chunk_id, pos, score, c.tokens, q.tokens AS qt, vec_id FROM near JOIN d c ON c.doc_id = vec_id JOIN d q ON q.doc_id = query_id {where}),
 tfs AS (SELECT query_id, chunk_id, word, COUNT(*) AS tf, MAX(size) AS size FROM (SELECT query_id, chunk_id, len(tokens) AS size, unnest(tokens) AS word FROM cand) GROUP BY 1, 2, 3),
 n AS (SELECT query_id, COUNT(*) AS n, AVG(len(tokens)) AS mean_size FROM cand GROUP BY 1), dfs AS (SELECT query_id, word, COUNT(*) AS df FROM tfs GROUP BY 1, 2),
 raw AS (SELECT query_id, word, mean_size, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM dfs JOIN n USING (query_id)), m AS (SELECT query_id, AVG(raw) AS mr FROM raw GROUP BY 1),
-idf AS (SELECT query_id, word, mean_size, CASE WHEN raw < 0 THEN 0.25 * mr ELSE raw END AS idf FROM raw JOIN m USING (query_id)), qw AS (SELECT query_id, unnest(qt) AS word FROM q),
-bm AS (SELECT query_id, chunk_id, SUM(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * size / mean_size))) AS bm25 FROM tfs JOIN idf USING (query_id, word) JOIN qw USING (query_id, word) GROUP BY 1, 2),
-sc AS (SELECT query_id, chunk_id, round(COALESCE(bm25, 0), 6) AS bm25 FROM cand LEFT JOIN bm USING (query_id, chunk_id))"""
+idf AS (SELECT query_id, word, mean_size, CASE WHEN raw < 0 THEN 0.25 * mr ELSE raw END AS idf FROM raw JOIN m USING (query_id)),
+qw AS (SELECT query_id, word, COUNT(*) AS times FROM (SELECT doc_id AS query_id, unnest(tokens) AS word FROM d WHERE doc_id % 100 = 0) GROUP BY 1, 2),
+bm AS (SELECT query_id, chunk_id, SUM(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * size / mean_size))) AS bm25 FROM tfs JOIN idf USING (query_id, word) JOIN qw USING (query_id, word) GROUP BY 1, 2),
+sc AS (SELECT query_id, chunk_id, vec_id, pos, score, COALESCE(bm25, 0) AS bm25 FROM cand LEFT JOIN bm USING (query_id, chunk_id))"""
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Each benchmark item against the eight items of its group of numbers."""
-    b = D.read(spark, d, "benchmark")
-    tokens = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
-    q = b.select(F.col("item_id").alias("query_id"), F.array_distinct(tokens(F.substring("text", 1, 60))).alias("qt"), F.floor(F.col("item_id") / 8).alias("g"))
-    c = b.select(F.col("item_id").alias("chunk_id"), tokens(F.col("text")).alias("tokens"), F.floor(F.col("item_id") / 8).alias("g"))
-    return q.join(c, "g").drop("g")
+    """The eight passages nearest to each query by vector, of all documents, with both whole texts as words."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))
+    doc = D.read(spark, d, "documents").select("doc_id", words.alias("tokens"), "text")
+    found = store.staged(_near(spark, d))
+    with_text = found.join(doc.select(F.col("doc_id").cast("string").alias("chunk_id"), "tokens", "text"), "chunk_id")
+    return with_text.join(doc.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("tokens").alias("query_tokens")), "query_id")
 
 
-def _bm25(spark: SparkSession, d: str) -> DataFrame:
-    scores = retrieval.bm25(_candidates(spark, d), F.col("tokens"), F.col("qt"))
-    return scores.withColumn("bm25", F.round(F.col("bm25"), 6))
-
-
-@query(f"{_BM} SELECT query_id, chunk_id, bm25 FROM sc")
+@query(f"{_VEC}{_BM.format(where='')} SELECT query_id, chunk_id, round(bm25, 6) AS bm25 FROM sc")
 def bm25_rank(spark: SparkSession, d: str) -> DataFrame:
-    return _bm25(spark, d)
-
-
-@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, c.vec_id::VARCHAR AS chunk_id, list_dot_product(q.e, c.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(c.e, c.e))) AS score
- FROM v q JOIN v c ON q.vec_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS pos FROM s) SELECT query_id, chunk_id, round(score, 6) AS score, pos FROM r WHERE pos <= 8""")
-def vector_topk(spark: SparkSession, d: str) -> DataFrame:
-    e = D.read(spark, d, "embeddings")
-    chunks = e.select(F.col("vec_id").cast("string").alias("chunk_id"), F.col("embedding").alias("vector"), F.lit("v1").alias("corpus_version"))
-    asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), F.lit("v1").alias("corpus_version"))
-    return retrieval.vector_top_k(asked, chunks, 8).withColumn("score", F.round(F.col("score"), 6))
+    return retrieval.bm25(_candidates(spark, d), F.col("tokens"), F.col("query_tokens")).withColumn("bm25", F.round(F.col("bm25"), 6))
 
 
-@query(f"""{_BM}, r AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY abs(chunk_id - query_id), chunk_id) AS rv, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, chunk_id) AS rb FROM sc),
-f AS (SELECT query_id, chunk_id, 1.0::DOUBLE / (60 + rv) + 1.0::DOUBLE / (60 + rb) AS rrf, chunk_id % 5 = 0 AS pref FROM r), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pref DESC, rrf DESC, chunk_id) AS pos FROM f)
-SELECT query_id, chunk_id, round(rrf, 9) AS rrf, pos FROM o WHERE pos <= 3""")
+@query(f"""{_VEC}{_BM.format(where='WHERE score >= 0.35')}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS rv, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, pos) AS rb FROM sc),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY vec_id % 5 = 0 DESC, 1.0::DOUBLE / (60 + rv) + 1.0::DOUBLE / (60 + rb) DESC, pos) AS place FROM k) SELECT query_id, chunk_id, 'art' || (vec_id % 5) AS article_ref, place AS pos FROM o WHERE place <= 3""")
 def rrf_select(spark: SparkSession, d: str) -> DataFrame:
-    rows = _bm25(spark, d).withColumn("near", -F.abs(F.col("chunk_id") - F.col("query_id")))
-    rows = retrieval.ranked(retrieval.ranked(rows, "near", "rv", order="chunk_id"), "bm25", "rb", order="chunk_id")
-    rows = retrieval.fused(rows, ["rv", "rb"])
-    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.col("chunk_id") % 5 == 0), F.desc("rrf"), "chunk_id"))
-    return rows.withColumn("pos", place).where("pos <= 3").select("query_id", "chunk_id", F.round("rrf", 9).alias("rrf"), "pos")
+    """Passages of article 0 are preferred."""
+    c = _candidates(spark, d).withColumn("article_ref", F.concat(F.lit("art"), (F.col("chunk_id").cast("long") % 5).cast("string")))
+    preferred = D.read(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.lit("applies").alias("applicability"), F.array(F.lit("art0")).alias("refs"))
+    return retrieval.select_citations(c, preferred, 0.35).select("query_id", "chunk_id", "article_ref", "pos")
 
 
 _REVIEW = """WITH c AS (SELECT 'a' || (doc_id % 50) AS alert_id, 'c' || doc_id AS chunk_id, doc_id % 7 <> 0 AS retrieved, doc_id % 11 <> 0 AS known, doc_id % 13 <> 0 AS same FROM documents),
@@ -425,7 +434,9 @@ def citation_review(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.verdicts(retrieval.reviewed(cited, c.where("doc_id % 7 <> 0"), chunks, "v1", F.col("quoted")))
 
 
-@query()
+@query(r"""WITH l AS (SELECT 'D' || doc_id AS doc, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+p AS (SELECT doc, doc || '/art1/p' || i AS ref, regexp_replace(line, '^\s+|\s+$', '', 'g') AS t FROM l UNION ALL SELECT 'D' || doc_id, 'D' || doc_id || '/art1/caput', 'caput' FROM documents WHERE text IS NOT NULL)
+SELECT doc || ':' || ref || ':v1' AS chunk_id, ref AS article_ref, sha256(trim(regexp_replace(nfc_normalize(t), '\s+', ' ', 'g'))) AS text_sha256 FROM p WHERE t <> ''""")
 def norm_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Documents set as articles with paragraphs, one for each line."""
     body = F.array_join(F.transform(F.split("text", "\n"), lambda line, i: F.concat(F.lit("§ "), (i + 1).cast("string"), F.lit("º "), line)), "\n")
@@ -459,7 +470,7 @@ _OUT = """, o AS (SELECT alert_id, state, level, list_extract(['COMUNICAR','ARQU
 @query(f"""{_DECISION} {_OUT} SELECT alert_id, CASE WHEN level = 'PROPOR_ARQUIVAMENTO' THEN 'ARQUIVAMENTO' WHEN recommendation = 'INCONCLUSIVO' OR recommendation = 'COMUNICAR' AND n_verified = 0 THEN NULL WHEN recommendation = 'COMUNICAR' THEN 'COS' ELSE 'ARQUIVAMENTO' END AS dossier_type,
  CASE WHEN level = 'INVESTIGAR' AND (recommendation = 'INCONCLUSIVO' OR recommendation = 'COMUNICAR' AND n_verified = 0) THEN 'NEEDS_HUMAN' ELSE 'DRAFT_READY' END AS state FROM o""")
 def dossier_type(spark: SparkSession, d: str) -> DataFrame:
-    decision = _decision(spark, d).join(_alerts(spark, d).select("alert_id", "selected_at"), "alert_id")
+    decision = _decision(spark, d)
     digit = lambda i: F.conv(F.substring("alert_id", i, 1), 16, 10).cast("int")
     recommendation = F.element_at(F.array(*[F.lit(x) for x in config.RECOMMENDATIONS]), digit(1) % 3 + 1)
     outputs = decision.select("alert_id", F.lit("Structuring").alias("typology"), F.lit(0.5).alias("confidence"), recommendation.alias("recommendation"))
@@ -479,14 +490,33 @@ def _audit_events(spark: SparkSession, d: str) -> DataFrame:
     return e.select(user.alias("alert_id"), F.concat_ws("_", user, F.col("event_id").cast("string")).alias("event_key"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("occurred_at"), F.col("event_type"), F.lit("system").alias("actor"))
 
 
-@query()
+def _json(before: str, of: str = "") -> str:
+    """SQL for the canonical JSON of an event."""
+    fields = {k: "'null'" for k in audit.HASHED} | {"actor": "'\"system\"'", "prev_hash": before, "seq": f"{of}seq"}
+    fields |= {k: f"'\"' || {of}{k} || '\"'" for k in ("alert_id", "event_key", "event_type", "occurred_at")}
+    return "'{' || " + " || ',' || ".join(f"'\"{k}\":' || {v}" for k, v in fields.items()) + " || '}'"
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT 'a' || user_id AS alert_id, 'a' || user_id || '_' || event_id AS event_key, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS occurred_at, event_type FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY alert_id ORDER BY occurred_at, event_key) AS seq FROM e), c AS (SELECT alert_id, seq, event_key, NULL::VARCHAR AS prev_hash, sha256({_json("'null'")}) AS hash FROM n WHERE seq = 1
+UNION ALL SELECT n.alert_id, n.seq, n.event_key, c.hash, sha256({_json("'" + '"' + "' || c.hash || '" + '"' + "'", "n.")}) FROM n JOIN c ON n.alert_id = c.alert_id AND n.seq = c.seq + 1) SELECT * FROM c""")
 def audit_chain_append(spark: SparkSession, d: str) -> DataFrame:
-    return audit.append(_audit_events(spark, d), "alert_id").select("alert_id", "seq", "event_key", "prev_hash", "hash")
+    """The log so far holds the chains' first halves; all events come again, and only new keys are appended."""
+    events = _audit_events(spark, d)
+    each = W.partitionBy("alert_id")
+    placed = events.withColumn("p", F.row_number().over(each.orderBy("occurred_at", "event_key"))).withColumn("n", F.count("*").over(each))
+    log = store.staged(audit.append(placed.where("p <= n / 2").drop("p", "n"), "alert_id"))
+    return log.unionByName(audit.append(events, "alert_id", log=log)).select("alert_id", "seq", "event_key", "prev_hash", "hash")
 
 
-@query("SELECT 'a' || user_id AS alert_id, TRUE AS valid, COUNT(*) AS n_events, CAST(NULL AS BIGINT) AS first_invalid FROM events GROUP BY 1")
+@query("""WITH u AS (SELECT user_id, COUNT(*) AS n, user_id % 5 = 1 AS changed, user_id % 5 = 2 AS cut FROM events GROUP BY 1)
+SELECT 'a' || user_id AS alert_id, NOT (changed AND n >= 2 OR cut AND n >= 3) AS valid, CASE WHEN cut AND n >= 2 THEN n - 1 ELSE n END AS n_events, CASE WHEN changed AND n >= 2 THEN 2 WHEN cut AND n >= 3 THEN 3 END::BIGINT AS first_invalid FROM u""")
 def audit_chain_verify(spark: SparkSession, d: str) -> DataFrame:
-    return audit.verify(audit.append(_audit_events(spark, d), "alert_id"), "alert_id")
+    """Chains as appended, chains with a changed second event, chains without their second event."""
+    log = audit.append(_audit_events(spark, d), "alert_id").withColumn("kind", F.substring("alert_id", 2, 19).cast("long") % 5)
+    second = F.col("seq") == 2
+    log = log.withColumn("actor", F.when((F.col("kind") == 1) & second, F.lit("changed")).otherwise(F.col("actor"))).where(~((F.col("kind") == 2) & second))
+    return audit.verify(log, "alert_id")
 
 
 @query("SELECT event_type, COUNT(value) AS n, round(AVG(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_disc(value, 0.95), 6) AS p95_nearest FROM events GROUP BY 1")
@@ -497,19 +527,20 @@ def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT 'velocidade' AS gate, round(120 / (AVG(value * 100) / 60000 + 15), 6) AS value, CASE WHEN 120 / (AVG(value * 100) / 60000 + 15) >= 3 THEN 'aprovada' ELSE 'reprovada' END AS status FROM events
 UNION ALL SELECT 'latencia_p95_ms', round(quantile_cont(value * 100, 0.95), 6), CASE WHEN quantile_cont(value * 100, 0.95) < 20000 THEN 'aprovada' ELSE 'reprovada' END FROM events
-UNION ALL SELECT 'auditoria', 1, 'aprovada' UNION ALL SELECT 'recall', round(AVG((event_id % 10 <> 0)::INT), 6), CASE WHEN AVG((event_id % 10 <> 0)::INT) >= 0.95 THEN 'aprovada' ELSE 'reprovada' END FROM events WHERE event_id % 3 = 0
+UNION ALL SELECT 'auditoria', MIN((event_id % 1009 <> 8)::INT), CASE WHEN MIN((event_id % 1009 <> 8)::INT) = 1 THEN 'aprovada' ELSE 'reprovada' END FROM events UNION ALL SELECT 'recall', round(AVG((event_id % 10 <> 0)::INT), 6), CASE WHEN AVG((event_id % 10 <> 0)::INT) >= 0.95 THEN 'aprovada' ELSE 'reprovada' END FROM events WHERE event_id % 3 = 0
 UNION ALL SELECT 'reducao_falso_positivo', round(1 - AVG((event_id % 10 <> 0)::INT), 6), CASE WHEN 1 - AVG((event_id % 10 <> 0)::INT) >= 0.3 THEN 'aprovada' ELSE 'reprovada' END FROM events WHERE event_id % 3 <> 0
 UNION ALL SELECT 'grounding', round(SUM(event_id % 3) / SUM(3.0), 6), 'reprovada' FROM events UNION ALL SELECT 'tokens_p95', round(quantile_cont(event_id % 3000, 0.95), 6), CASE WHEN quantile_cont(event_id % 3000, 0.95) <= 2000 THEN 'aprovada' ELSE 'reprovada' END FROM events
-UNION ALL SELECT 'prazo_interno', 1, 'aprovada' UNION ALL SELECT 'privacidade', 0, 'aprovada'""")
+UNION ALL SELECT 'prazo_interno', round(AVG((event_id % 7 <= 5)::INT), 6), CASE WHEN AVG((event_id % 7 <= 5)::INT) >= 1 THEN 'aprovada' ELSE 'reprovada' END FROM events
+UNION ALL SELECT 'privacidade', COUNT(*) FILTER (contains(CAST(event_id AS VARCHAR), '77')), CASE WHEN COUNT(*) FILTER (contains(CAST(event_id AS VARCHAR), '77')) = 0 THEN 'aprovada' ELSE 'reprovada' END FROM events""")
 def gate_report(spark: SparkSession, d: str) -> DataFrame:
     e = D.read(spark, d, "events")
     level = F.when(F.col("event_id") % 10 == 0, F.lit("PROPOR_ARQUIVAMENTO")).otherwise(F.lit("INVESTIGAR"))
     golden = e.select((F.col("event_id") % 3 == 0).alias("is_suspicious"), level.alias("level"))
     review = e.select((F.col("event_id") % 3).alias("n_verified"), F.lit(3).alias("n_proposed"))
     calls = e.select("event_id", (F.col("event_id") % 3000).alias("tokens"))
-    records = e.select(F.col("ts").alias("decided_at"), (F.col("ts") + F.expr("INTERVAL 5 DAYS")).alias("prazo_interno"))
-    leaks = sanitize.canary_scan(e.select("event_type"), "events", ["529.982.247-25"])
-    rows = evaluation.gates(e.select((F.col("value") * 100).alias("latency_ms")), e.select(F.lit(True).alias("valid")), golden, review, calls, records, leaks)
+    records = e.select((F.col("ts") + F.make_dt_interval((F.col("event_id") % 7).cast("int"))).alias("decided_at"), (F.col("ts") + F.expr("INTERVAL 5 DAYS")).alias("prazo_interno"))
+    leaks = sanitize.canary_scan(e.select(F.col("event_id").cast("string").alias("text")), "events", ["77", "529.982.247-25"])
+    rows = evaluation.gates(e.select((F.col("value") * 100).alias("latency_ms")), e.select((F.col("event_id") % 1009 != 8).alias("valid")), golden, review, calls, records, leaks)
     return rows.select("gate", F.round("value", 6).alias("value"), "status")
 
 
@@ -547,19 +578,36 @@ def roman_numerals(spark: SparkSession, d: str) -> DataFrame:
     return df.select(text.roman(F.col("roman")).alias("number"), "roman")
 
 
-@query("""SELECT 'a' || (event_id % 100) AS alert_id, CASE WHEN COUNT(DISTINCT event_type) > 1 THEN 'conflict' ELSE 'created' END AS status FROM events GROUP BY 1""")
+@query("""WITH a AS (SELECT event_id % 1000 AS k, CASE WHEN event_id % 1000 % 3 = 0 AND event_id % 7 = 0 THEN 'q' ELSE 'p' END AS p FROM events), g AS (SELECT k, MIN(p) AS lo, MAX(p) AS hi FROM a GROUP BY 1)
+SELECT 'a' || k AS alert_id, CASE WHEN lo <> hi OR k < 500 AND lo <> CASE WHEN k % 2 = 0 THEN 'p' ELSE 'z' END THEN 'conflict' WHEN k < 500 THEN 'repeated' ELSE 'created' END AS status FROM g""")
 def alert_idempotency(spark: SparkSession, d: str) -> DataFrame:
-    arriving = D.read(spark, d, "events").select(F.concat(F.lit("a"), (F.col("event_id") % 100).cast("string")).alias("alert_id"), F.sha2("event_type", 256).alias("payload_sha256"))
-    return workflow.new_alerts(arriving, arriving.limit(0)).select("alert_id", "status")
+    """Half of the alerts are known, every second of these under another payload."""
+    k = F.col("event_id") % 1000
+    name, sha = F.concat(F.lit("a"), k.cast("string")).alias("alert_id"), lambda c: F.sha2(c, 256).alias("payload_sha256")
+    e = D.read(spark, d, "events")
+    arriving = e.select(name, sha(F.when((k % 3 == 0) & (F.col("event_id") % 7 == 0), F.lit("q")).otherwise(F.lit("p"))))
+    known = e.where(k < 500).select(name, sha(F.when(k % 2 == 0, F.lit("p")).otherwise(F.lit("z")))).distinct()
+    return workflow.new_alerts(arriving, known).select("alert_id", "status")
+
 
+def _digit(base: str, weights: list[int]) -> str:
+    total = " + ".join(f"CAST({base}[{i}] AS INT) * {w}" for i, w in enumerate(weights, 1))
+    return f"CASE WHEN ({total}) % 11 < 2 THEN '0' ELSE CAST(11 - ({total}) % 11 AS VARCHAR) END"
 
-@query()
+
+@query(f"""WITH a AS (SELECT 'C' || c_custkey AS account, c_custkey AS n FROM customer), r AS (SELECT *, {', '.join(f"('0x' || substr(md5('20260916|' || account || '|{k}'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u_{k}" for k in ('kind', 'pep', 'ceis', 'cnep'))} FROM a),
+b AS (SELECT *, u_kind < 0.2 AS company, lpad(CAST(n + 1 AS VARCHAR), 9, '0') AS p, lpad(CAST(n + 1 AS VARCHAR), 8, '0') || '0001' AS j FROM r), c AS (SELECT *, p || {_digit('p', list(range(10, 1, -1)))} AS p1, j || {_digit('j', [5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2])} AS j1 FROM b),
+e AS (SELECT *, p1 || {_digit('p1', list(range(11, 1, -1)))} AS p2, j1 || {_digit('j1', [6, 5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2])} AS j2 FROM c)
+SELECT printf('CUST-%07d', n) AS customer_id, CASE WHEN company THEN 'Empresa ' ELSE 'Cliente ' END || printf('%07d', n) AS name, CASE WHEN company THEN j2 ELSE p2 END AS cpf_cnpj, CASE WHEN company THEN 'PJ' ELSE 'PF' END AS segment,
+ concat_ws(',', CASE WHEN u_pep < 0.01 THEN 'pep' END, CASE WHEN u_ceis < 0.005 THEN 'ceis' END, CASE WHEN u_cnep < 0.005 THEN 'cnep' END) AS flags, account, CASE WHEN company THEN j2 <> repeat(j2[1], 14) ELSE p2 <> repeat(p2[1], 11) END AS valid FROM e""")
 def synthetic_customers(spark: SparkSession, d: str) -> DataFrame:
     accounts = D.read(spark, d, "customer").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("account"), F.col("c_custkey").alias("n"))
-    return sampling.synthetic_customers(accounts, config.SplitRules().seed).withColumn("valid", checkdigits.valid_document(F.col("cpf_cnpj")))
+    c = sampling.synthetic_customers(accounts, config.SplitRules().seed)
+    return c.select("customer_id", "name", "cpf_cnpj", "segment", F.array_join("restriction_flags", ",").alias("flags"), F.col("accounts")[0].alias("account"), checkdigits.valid_document(F.col("cpf_cnpj")).alias("valid"))
 
 
-@query()
+@query("""WITH e AS (SELECT 'U' || user_id AS account, ts, COUNT(*) OVER w AS n, MIN(ts) OVER w AS start FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW))
+SELECT DISTINCT account, CAST(start AS TIMESTAMP) AS start, CAST(ts AS TIMESTAMP) AS "end", n FROM e WHERE n >= 6""")
 def stream_alerts(spark: SparkSession, d: str) -> DataFrame:
     """The streaming rule's plan on a batch of the same events; tests run it as a stream."""
     from talus.streaming.alerts import velocity_windows
@@ -567,6 +615,31 @@ def stream_alerts(spark: SparkSession, d: str) -> DataFrame:
     return velocity_windows(D.events(spark, d).withColumn("timestamp", F.col("timestamp").cast("timestamp")), VELOCITY)
 
 
+@query(f"""{_STRATA}, c AS (SELECT holder AS account, MAX(is_laundering) = 1 AS suspicious FROM tx GROUP BY 1), n AS (SELECT suspicious, round_even(COUNT(*) * CASE WHEN suspicious THEN 0.5 ELSE 0.3 END, 0) AS k FROM c GROUP BY 1),
+r AS (SELECT account, suspicious, row_number() OVER (PARTITION BY suspicious ORDER BY sha256('20260916|' || account), account) AS p FROM c), dev AS (SELECT account FROM r JOIN n USING (suspicious) WHERE p > k)
+SELECT alert_id, stratum, account FROM st JOIN alerts USING (alert_id) JOIN dev USING (account)""")
+def development_alerts(spark: SparkSession, d: str) -> DataFrame:
+    accounts = sampling.split_accounts(sampling.account_classes(_tx(spark, d), "holder"))
+    return sampling.development(_strata(spark, d), _alerts(spark, d), accounts)
+
+
+@query("""WITH r AS (SELECT event_id, 'a' || event_id AS alert_id, CASE WHEN event_id % 2 = 0 THEN 'triage' ELSE 'sanitizer' END AS node FROM events), b AS (SELECT *, node = 'triage' AND event_id % 4 <> 2 AS good, node = 'triage' AS ran FROM r)
+SELECT alert_id, CASE WHEN NOT ran THEN node WHEN NOT good THEN 'human_handoff' WHEN event_id % 3 = 0 THEN 'investigation' ELSE 'dossier' END AS node, CASE WHEN NOT ran THEN 'RECEIVED' WHEN good THEN 'TRIAGED' ELSE 'NEEDS_HUMAN' END AS state,
+ CASE WHEN ran AND NOT good THEN 'attempt 3 failed' END AS failure_reason, CASE WHEN NOT ran THEN 0 WHEN good THEN event_id % 3 + 1 ELSE 3 END AS n_events FROM b""")
+def node_run(spark: SparkSession, d: str) -> DataFrame:
+    """Triage over the alerts that stand before it: three attempts each, of which some succeed at the first, second or third."""
+    e = D.read(spark, d, "events").select("event_id", F.concat(F.lit("a"), F.col("event_id").cast("string")).alias("alert_id"), F.col("ts").cast("string").alias("occurred_at"))
+    waits = F.col("event_id") % 2 == 0
+    records = e.select("alert_id", F.when(waits, F.lit("triage")).otherwise(F.lit("sanitizer")).alias("node"), F.when(waits, F.lit("SANITIZED")).otherwise(F.lit("RECEIVED")).alias("state"), F.lit(None).cast("string").alias("level"), F.lit(None).cast("string").alias("failure_reason"), "occurred_at")
+    fails = (F.col("event_id") % 4 == 2) | (F.col("attempt") <= F.col("event_id") % 3)
+    tries = e.withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(4))))
+    level = F.when(F.col("event_id") % 3 == 0, F.lit("INVESTIGAR")).otherwise(F.lit("PROPOR_ARQUIVAMENTO"))
+    outcomes = tries.select("alert_id", "attempt", F.lit("TRIAGED").alias("state"), level.alias("level"), F.when(fails, F.format_string("attempt %d failed", "attempt")).alias("error"), "occurred_at")
+    after, events = workflow.node_step(records, "triage", outcomes)
+    n = events.groupBy("alert_id").agg(F.count_distinct("event_key").alias("n_events"))
+    return after.join(n, "alert_id", "left").fillna(0, ["n_events"]).select("alert_id", "node", "state", "failure_reason", "n_events")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: high-value alerts with their transactions' count and total."""
     tx = _tx(spark, sf_dir).select("transaction_id", "timestamp", "amount_brl", "holder")

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from talus import config
 from talus.functions.checkdigits import account_number
@@ -94,10 +95,18 @@ def convert(amount: Column, rate: Column) -> Column:
 
 
 def with_position(rows: DataFrame) -> DataFrame:
-    """rows with ``position``, the 1-based place in the file; the file's order is Spark's row order."""
-    spark = rows.sparkSession
-    numbered = rows.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1))
-    return spark.createDataFrame(numbered, rows.schema.add("position", "long"))
+    """rows (a scan) with ``position``, the 1-based place in the file.
+
+    A row's number within its input partition is in the lower 33 bits of
+    ``monotonically_increasing_id``; partitions follow each other in the file, so
+    the rows before each one come from a running sum over one count a partition.
+    """
+    numbered = rows.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftrightunsigned("_at", 33))
+    counts = numbered.groupBy("_part").agg(F.count("*").alias("_n"))  # as many rows as input partitions
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("_part", before.alias("_before"))
+    inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return numbered.join(offsets, "_part").withColumn("position", F.col("_before") + inside + 1).drop("_at", "_part", "_before")
 
 
 def transactions(rows: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,14 @@ def write_transactions(tx: DataFrame, path: str) -> None:
     tx.repartition("sender_account").sortWithinPartitions("sender_account", "timestamp").write.mode("overwrite").parquet(path)
 
 
+def accounts_in_order(spark: SparkSession, path: str, first: str | None = None, last: str | None = None) -> DataFrame:
+    """The stored transactions of the accounts from first to last, in order of account and time: range partitions, each sorted."""
+    tx = spark.read.parquet(path)
+    tx = tx if first is None else tx.where(F.col("sender_account") >= first)
+    tx = tx if last is None else tx.where(F.col("sender_account") <= last)
+    return tx.repartitionByRange("sender_account", "timestamp").sortWithinPartitions("sender_account", "timestamp", "transaction_id")
+
+
 def write_customers(customers: DataFrame, path: str) -> None:
     """customers (with an ``accounts`` array) as two tables: customers, and one row for each account."""
     customers.drop("accounts").write.mode("overwrite").parquet(f"{path}/customers")
@@ -37,18 +47,26 @@ def constraint_violations(tx: DataFrame, customers: DataFrame, accounts: DataFra
     )
 
 
-def content_sha256(tables: list[tuple[DataFrame, list[str]]]) -> str:
-    """Hash of all rows in order of the given keys, unit separators between fields and record separators after rows.
+def staged(df: DataFrame) -> DataFrame:
+    """df written once below the folder that ``spark.checkpoint.dir`` names and read back, for plans that use it several times.
 
-    The order makes this one stream through the driver, row by row; ``content_sum``
-    is the distributed form.
+    Without that setting, and on one machine alone, a temporary folder takes its place.
     """
-    h = hashlib.sha256()
-    for df, keys in tables:
-        line = F.concat(F.array_join(F.array(*[F.col(c).cast("string") for c in df.columns]), "\x1f", ""), F.lit("\x1e"))
-        for row in df.orderBy(*keys).select(line).toLocalIterator(prefetchPartitions=False):
-            h.update(row[0].encode())
-    return h.hexdigest()
+    spark = df.sparkSession
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("talus.work.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
+        root = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("talus.work.dir", root)
+    path = f"{root.rstrip('/')}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def content_sha256(tables: list[DataFrame]) -> str:
+    """SHA-256 over each table's row count and sum of row hashes (``content_sum``): no row passes through the driver, and no order is needed."""
+    return hashlib.sha256("|".join(f"{r['n']}:{r['content_hash']}" for r in (content_sum(df).first() for df in tables)).encode()).hexdigest()
 
 
 def content_sum(df: DataFrame) -> DataFrame:
@@ -73,6 +91,13 @@ def upsert(table: DataFrame, news: DataFrame, key: list[str]) -> DataFrame:
     return table.join(news.select(*key).distinct(), key, "left_anti").unionByName(news)
 
 
+def refreshed(table: DataFrame, news: DataFrame, key: list[str]) -> DataFrame:
+    """Like upsert, but selected_at of a key that is known is overwritten too, while created_at stays the table's."""
+    old = table.select(*key, F.col("created_at").alias("_created"))
+    merged = news.join(old, key, "left").withColumn("created_at", F.coalesce("_created", "created_at")).drop("_created")
+    return table.join(news.select(*key).distinct(), key, "left_anti").unionByName(merged.select(*table.columns))
+
+
 def write_golden(manifest: dict, payloads: DataFrame, path: str) -> None:
     """Payloads as JSON files and the manifest as one."""
     payloads.write.mode("overwrite").json(f"{path}/payloads")

@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from talus import config
+from talus.operators.alerts import within
 
 
 def value_episodes(tx: DataFrame, rule: config.ValueRule, account: str = "sender_account", late: str = "1 day") -> DataFrame:
     """account, start, end, n_triggers, total_brl of episodes of high-value triggers: sessions with the rule's days as the gap.
 
-    A session's end is the gap's end, so the last trigger is the maximum time.
+    A session's end is the gap's end, so the last trigger is the maximum time. Its
+    start is the first trigger; ``episode_starts`` gives the batch rule's, the
+    account's first transaction in the window that the end closes.
     """
     hits = tx.where(F.col("amount_brl") >= F.lit(rule.least_brl)).withWatermark("timestamp", late)
     session = F.session_window("timestamp", f"{rule.days} days")
@@ -26,6 +29,13 @@ def value_episodes(tx: DataFrame, rule: config.ValueRule, account: str = "sender
     ).drop("w")
 
 
+def episode_starts(ended: DataFrame, tx: DataFrame, rule: config.ValueRule, account: str = "sender_account") -> DataFrame:
+    """account, rule_id, start, end as the batch rule gives them: ended episodes (of a micro-batch) looked up in the stored transactions."""
+    spans = ended.select(F.col("account").alias("_account"), (F.col("end") - F.expr(f"INTERVAL {rule.days} DAYS")).alias("_from"), F.col("end").alias("_to"))
+    first = within(tx.select(account, "timestamp"), spans, account, rule.days).groupBy("_account", "_to").agg(F.min("timestamp").alias("start"))
+    return first.select(F.col("_account").alias("account"), F.lit(rule.rule_id).alias("rule_id"), "start", F.col("_to").alias("end"))
+
+
 def velocity_windows(tx: DataFrame, rule: config.VelocityRule, account: str = "sender_account", late: str = "1 day", slide: str = "1 day") -> DataFrame:
     """account, start, end, n of every trigger: end is a transaction's time, n the account's transactions in the rule's days up to it, start the first of these.
 
@@ -72,7 +82,10 @@ NEXT = {
 
 
 def state_machine(events: DataFrame) -> DataFrame:
-    """alert_id, state, accepted of each arriving event (alert_id, at, state): the state is kept for each alert, and a step that may not follow is refused."""
+    """alert_id, state, accepted of each arriving event (alert_id, at, state): the state is kept for each alert, and a step that may not follow is refused.
+
+    An alert's state, one short text, is kept for good: a decision may come after years.
+    """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now = state.get[0] if state.exists else ""

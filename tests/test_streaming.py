@@ -2,6 +2,7 @@ import datetime as dt
 from decimal import Decimal
 
 from talus import config
+from talus.operators.alerts import episodes
 from talus.streaming import alerts as S
 
 SCHEMA = "sender_account STRING, timestamp TIMESTAMP, amount_brl DECIMAL(18,2)"
@@ -22,6 +23,8 @@ def test_sessions_equal_batch_rule(spark, tmp_path):
     df.unionByName(end).coalesce(1).write.parquet(str(tmp_path / "seed"))
     got = run(spark, df.unionByName(end), tmp_path, lambda s: S.value_episodes(s, config.ValueRule()), "value_stream")
     assert {(r["start"].day, r["end"].day, r["n_triggers"]) for r in got.where("account = 'a'").collect()} == {(2, 6, 2), (21, 21, 1)}
+    batch = {tuple(r) for r in episodes(df, config.ValueRule()).collect()}
+    assert {tuple(r) for r in S.episode_starts(got.where("account = 'a'"), df, config.ValueRule()).collect()} == batch and len(batch) == 2
 
 
 def test_velocity_and_duplicates(spark, tmp_path):
