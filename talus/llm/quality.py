@@ -156,6 +156,11 @@ def hashed(s: np.ndarray, flat: np.ndarray, offsets: np.ndarray, buckets: int) -
     shape = np.where(kind == _UPPER, 1, np.where(kind == _DIGIT, 2, np.where(kind == _SPACE, 3, flat))).astype(np.uint32)
     x = np.zeros(len(flat), np.uint32)
     x[:-2] = shape[:-2] << 16 | shape[1:-1] << 8 | shape[2:]
+    # what follows a text's line feed is no part of it: blanks stand for it
+    last = offsets[1:] - 1
+    x[last] = shape[last] << 16 | 0x0303
+    last = last[np.diff(offsets) > 1]
+    x[last - 1] = shape[last - 1] << 16 | shape[last] << 8 | 3
     bits = (buckets - 1).bit_length()
     grams = (x * np.uint32(2654435761)) >> np.uint32(32 - bits)
     steps = np.floor(np.log2(1 + np.maximum(s, 0) * np.where(np.array(STATISTICS) == "words", 1, 64))).astype(np.uint32)
