@@ -45,7 +45,7 @@ BLOCK = 16_384
 QUERY_BYTES = 16_000_000
 FIRST = 16_384
 #: A query's candidates that are read in one group.
-CANDIDATES = 4096
+CANDIDATES = 256
 #: Beyond this, components have no bounds (their products could leave a double's range) and are always read exactly.
 _BOUNDED = 2.0**400
 
