@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talus.llm import mixing, neardup, sharding, vectors
+from talus.llm import decontaminate, mixing, neardup, repeats, sharding, turns, vectors
 from talus.llm.shared import table
 
 #: A shard's byte limit.
@@ -83,6 +83,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repair(table(spark, sf_dir, "conversations"))
+
+
+def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.periodic_runs(table(spark, sf_dir, "documents"))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_media": op2_media,
@@ -94,10 +106,16 @@ QUERIES = {
     "op8_neardup": op8_neardup,
     "op9_mixing": op9_mixing,
     "op10_packing": op10_packing,
+    "op11_repair": op11_repair,
+    "op12_repeats": op12_repeats,
+    "op13_decontamination": op13_decontamination,
 }
 
 ORACLE_SQL = {
     "op4_vectors": vectors.ORACLE_SQL,
     "op5_sharding": sharding.ORACLE_SQL,
     "op9_mixing": mixing.ORACLE_SQL,
+    "op11_repair": turns.ORACLE_SQL,
+    "op12_repeats": repeats.ORACLE_SQL,
+    "op13_decontamination": decontaminate.ORACLE_SQL,
 }
