@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from talus import config
 from talus.functions import checkdigits, dates, text
 from talus.operators import alerts as A
-from talus.operators import audit, evaluation, features, norms, retrieval, sampling, sanitize, triage, workflow
+from talus.operators import audit, evaluation, features, norms, pivots, retrieval, sampling, sanitize, triage, workflow
 from talus.plans import driver_tables as D
 from talus.sources import saml, store
 
@@ -388,6 +388,34 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     return _near(spark, d).withColumn("score", F.round(F.col("score"), 6))
 
 
+@query(f"{_VEC} SELECT query_id, chunk_id, round(score, 6) AS score, pos FROM near")
+def vector_index(spark: SparkSession, d: str) -> DataFrame:
+    """The index as built from two thirds of the vectors, some of them wrong, then brought up to date; the same queries as ``vector_topk``."""
+    e = D.read(spark, d, "embeddings").select("vec_id", F.col("vec_id").cast("string").alias("chunk_id"), F.col("embedding").alias("vector"), F.lit("v1").alias("corpus_version"))
+    wrong = F.transform("vector", lambda x: -x)
+    path = store.work_path(spark, "index")
+    pivots.build(e.where("vec_id % 3 <> 0").withColumn("vector", F.when(F.col("vec_id") % 7 == 0, wrong).otherwise(F.col("vector"))), path)
+    pivots.upsert(e.where("vec_id % 3 = 0 OR vec_id % 7 = 0"), path)
+    asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "vector", "corpus_version")
+    return pivots.search(asked, path, 8).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "pos")
+
+
+_CACHE = """WITH a AS (SELECT vec_id, 'v' || vec_id % 2 AS v, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+q AS (SELECT vec_id, v, list_transform(e, lambda x, i: CASE WHEN vec_id % 5 = 0 AND i % 2 = 0 THEN x * 0.3::DOUBLE WHEN i % 4 = 0 THEN x * 0.5::DOUBLE ELSE x END) AS e FROM a),
+s AS (SELECT q.vec_id AS query_id, a.vec_id AS answer_id, list_dot_product(q.e, a.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(a.e, a.e))) AS score FROM q JOIN a USING (v)),
+h AS (SELECT query_id, COUNT(*) AS n_links, arg_min(answer_id, (-round(score, 9), answer_id)) AS answer_id, MAX(score) AS score FROM s WHERE score >= 0.92 GROUP BY 1)"""
+
+
+@query(f"{_CACHE} SELECT vec_id AS query_id, v AS corpus_version, answer_id, round(score, 6) AS score, COALESCE(n_links, 0) AS n_links FROM q LEFT JOIN h ON vec_id = query_id")
+def similarity_cache(spark: SparkSession, d: str) -> DataFrame:
+    """Every vector, changed a little, as a question to the answers stored under the vectors; a fifth is changed beyond the threshold."""
+    e = D.read(spark, d, "embeddings").select(F.col("vec_id").alias("answer_id"), F.col("embedding").alias("vector"), F.concat(F.lit("v"), (F.col("vec_id") % 2).cast("string")).alias("corpus_version"))
+    far = F.col("answer_id") % 5 == 0
+    changed = F.transform("vector", lambda x, i: F.when(far & (i % 2 == 1), x.cast("double") * 0.3).when(i % 4 == 3, x.cast("double") * 0.5).otherwise(x.cast("double")))
+    asked = e.select(F.col("answer_id").alias("query_id"), changed.alias("vector"), "corpus_version")
+    return pivots.cached_answers(asked, e, 0.92).withColumn("score", F.round("score", 6))
+
+
 _BM = r""", d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS tokens FROM documents), cand AS (SELECT query_id, chunk_id, pos, score, c.tokens, q.tokens AS qt, vec_id FROM near JOIN d c ON c.doc_id = vec_id JOIN d q ON q.doc_id = query_id {where}),
 tfs AS (SELECT query_id, chunk_id, word, COUNT(*) AS tf, MAX(size) AS size FROM (SELECT query_id, chunk_id, len(tokens) AS size, unnest(tokens) AS word FROM cand) GROUP BY 1, 2, 3),
 n AS (SELECT query_id, COUNT(*) AS n, AVG(len(tokens)) AS mean_size FROM cand GROUP BY 1), dfs AS (SELECT query_id, word, COUNT(*) AS df FROM tfs GROUP BY 1, 2),

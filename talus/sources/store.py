@@ -47,21 +47,25 @@ def constraint_violations(tx: DataFrame, customers: DataFrame, accounts: DataFra
     )
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """df written once below the folder that ``spark.checkpoint.dir`` names and read back, for plans that use it several times.
+def work_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the one that ``spark.checkpoint.dir`` names.
 
     Without that setting, and on one machine alone, a temporary folder takes its place.
     """
-    spark = df.sparkSession
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("talus.work.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
         root = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("talus.work.dir", root)
-    path = f"{root.rstrip('/')}/staged-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """df written once to the work folder and read back, for plans that use it several times."""
+    path = work_path(df.sparkSession, "staged")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def content_sha256(tables: list[DataFrame]) -> str:
