@@ -13,12 +13,19 @@ pair at the least similarity lies beyond it with a probability of ``far``.
 Pairs that share a key are never listed as such. First every document is held
 against the smallest of each of its keys (a star), links are confirmed on the
 full sets and joined to components. Then only keys whose documents lie in
-several components are left. Their documents get a longer signature, and within
-these keys signatures are compared in numpy, blocks of one key against blocks,
-those of large keys by size of the set (sets whose sizes differ by more than the
-percentage cannot be linked); only pairs of different components that are near
-by both signatures are confirmed. So each pair that shares a key is either
-confirmed, refuted, or in one component already.
+several components are left. Within those of at most ``large`` documents signatures
+are compared in numpy. Larger ones are met where many texts share a template or
+passages without being near copies, and nearly all of their pairs would be refuted.
+Their documents are keyed once more, by the shingles of a prefix: shingles are
+ordered by how many of these documents have them (counted by remainder of their hash,
+so the counts are bounded), rarest first, and two sets that are linked share one of
+their first ``n - ceil(n * percent / 100) + 1``, which lies even earlier in the smaller
+set (it leads there); the places also bound how much both can share. So no linked pair
+is lost, and texts that only share what very many have do not meet. Keys that are large even so are compared
+in blocks, by size of the set (sets whose sizes differ by more than the percentage
+cannot be linked). Pairs of different components that are near by the signature, then
+by a longer one, are confirmed. So each pair that shares a key is either confirmed,
+refuted, or in one component already.
 
 A document that many others are held against meets them in several groups, once
 in each; rows of a text that very many documents share are dealt out likewise.
@@ -40,7 +47,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from talus.llm.links import components
 from talus.llm.shared import checked_broadcast, spread_join, stored, with_row
@@ -84,6 +90,10 @@ class NearRules:
     fine_symbols: int = 512
     fine_near: int = -1
     far: float = 1e-6
+    #: Documents of a key beyond which they are keyed by the shingles of a prefix.
+    large: int = 64
+    #: Remainders of hashes by which shingles are counted for the order of prefixes.
+    counters: int = 1 << 18
     #: Documents of a key in one block of the comparison, and those held against one document in one group.
     block: int = 2048
     group: int = 4096
@@ -152,18 +162,18 @@ def _index(classes: DataFrame, rules: NearRules) -> DataFrame:
     return classes.where(F.col("n_shingles") >= rules.least).select("id", "sig").mapInArrow(task, "key long, id long")
 
 
-def _beside(pairs: DataFrame, values: DataFrame, rules: NearRules) -> DataFrame:
+def _beside(pairs: DataFrame, values: DataFrame, most: int) -> DataFrame:
     """a, part, b, value in order: for each document a (in each of its groups) first its own value (b is null), then those of all b. values: id, value."""
     pairs = stored(pairs.select("a", "b"))
-    hot = stored(pairs.groupBy("a").agg(F.ceil(F.count("*") / rules.group).cast("int").alias("groups")).where("groups > 1"))
+    hot = stored(pairs.groupBy("a").agg(F.ceil(F.count("*") / most).cast("int").alias("groups")).where("groups > 1"))
     dealt = pairs.join(checked_broadcast(hot, hot.count()), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("groups", F.lit(1))).cast("int").alias("part"))
     others = dealt.join(values.withColumnRenamed("id", "b"), "b").select("a", "part", "b", "value")
     own = dealt.select("a", "part").distinct().join(values.withColumnRenamed("id", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "value")
     return own.unionByName(others).repartition("a", "part").sortWithinPartitions("a", "part", "b")
 
 
-def _distances(pairs: DataFrame, classes: DataFrame, rules: NearRules) -> DataFrame:
-    """The pairs (a, b) whose signatures are near."""
+def _distances(pairs: DataFrame, values: DataFrame, most: int, kind: type, group: int) -> DataFrame:
+    """The pairs (a, b) whose signatures (values: id, value, symbols of a kind) differ in at most so many symbols."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, held = None, []  # the group that goes on from batch to batch, and its own values
@@ -175,19 +185,18 @@ def _distances(pairs: DataFrame, classes: DataFrame, rules: NearRules) -> DataFr
             if before != tuple(group[0]):
                 held = []
             n = len(held)
-            sig = np.frombuffer(b"".join([*held, *raw]), np.uint16).reshape(n + len(raw), -1)
+            sig = np.frombuffer(b"".join([*held, *raw]), kind).reshape(n + len(raw), -1)
             place = np.arange(n + len(raw))
             starts = np.concatenate([np.arange(n) == 0, [n == 0], (group[1:] != group[:-1]).any(1)])
             first = np.maximum.accumulate(np.where(starts, place, 0))
             last = np.maximum.accumulate(np.where(np.append(np.ones(n, bool), own), place, 0))
             near = np.zeros(len(place), bool)
             for k in range(int((last - first).max()) + 1):  # one, but for documents of several texts
-                near |= (sig != sig[np.minimum(first + k, last)]).sum(1) <= rules.near
+                near |= (sig != sig[np.minimum(first + k, last)]).sum(1) <= most
             before, held = tuple(group[-1]), [sig[i].tobytes() for i in range(first[-1], last[-1] + 1)]
             yield batch.select([0, 2]).filter(pa.array(near[n:] & ~own))
 
-    sig = classes.select("id", F.col("sig").alias("value"))
-    return _beside(pairs, sig, rules).mapInArrow(task, "a long, b long")
+    return _beside(pairs, values, group).mapInArrow(task, "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, rules: NearRules) -> DataFrame:
@@ -213,33 +222,87 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, rules: NearRules) -> DataFram
             yield batch.select([0, 2]).filter(pa.array(good))
 
     pairs = stored(pairs)
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    asked = stored(texts.join(checked_broadcast(ids, ids.count()), "id", "left_semi").select("id", F.col("text").alias("value")).distinct())
-    return _beside(pairs, asked, rules).mapInArrow(task, "a long, b long")
+    asked = stored(_ends(pairs, texts).withColumnRenamed("text", "value"))
+    return _beside(pairs, asked, rules.group).mapInArrow(task, "a long, b long")
+
+
+def _ends(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """id, text of the documents of pairs (a, b)."""
+    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    return texts.join(checked_broadcast(ids, ids.count()), "id", "left_semi").distinct()
 
 
-def _fine(rows: DataFrame, texts: DataFrame, rules: NearRules) -> DataFrame:
-    """rows (with an id) and the longer signature of each one's text, ``fine``."""
+def _fine(asked: DataFrame, rules: NearRules) -> DataFrame:
+    """id and the longer signature, ``value``, of texts (id, text)."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, asked in text_chunks(batch.column(1)):
-                fine = minhashes(*shingle_sets(asked, rules.words), rules.fine_symbols, seed=12).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([f.tobytes() for f in fine], pa.binary())], ["id", "fine"])
+            for a, b, some in text_chunks(batch.column(1)):
+                fine = minhashes(*shingle_sets(some, rules.words), rules.fine_symbols, seed=12).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([f.tobytes() for f in fine], pa.binary())], ["id", "value"])
+
+    return asked.mapInArrow(task, "id long, value binary")
+
+
+def _prefixes(ids: DataFrame, texts: DataFrame, rules: NearRules) -> DataFrame:
+    """key, id, lead, most: the rarest shingles of the documents of these ids, so many that two linked sets share one.
+
+    lead: the shingle stands so early that a set of no smaller size may have it as the
+    first that both share; most: the shingles from it on, so at most so many are shared.
+    """
+    asked = stored(texts.join(checked_broadcast(ids, ids.count()), "id", "left_semi").select("id", "text").distinct())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(rules.counters, np.int64)
+        for batch in batches:
+            for _, _, some in text_chunks(batch.column(1)):
+                sets, _ = shingle_sets(some, rules.words)
+                n += np.bincount((sets % np.uint64(rules.counters)).astype(np.int64), minlength=rules.counters)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["at", "n"])
+
+    counts = np.zeros(rules.counters, np.int64)
+    for r in asked.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toLocalIterator():  # at most ``counters`` rows
+        counts[r["at"]] = r["n"]
+    held = ids.sparkSession.sparkContext.broadcast(counts)
 
-    ids = stored(rows.select("id").distinct())
-    asked = texts.join(checked_broadcast(ids, ids.count()), "id", "left_semi").distinct()
-    return rows.join(stored(asked.mapInArrow(task, "id long, fine binary")), "id")
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, some in text_chunks(batch.column(1)):
+                sets, offsets = shingle_sets(some, rules.words)
+                n = np.diff(offsets)
+                first = n - -(-n * rules.percent // 100) + 1
+                own = np.repeat(np.arange(len(n)), n)
+                order = np.lexsort((sets, held.value[(sets % np.uint64(rules.counters)).astype(np.int64)], own))
+                place = np.arange(len(own)) - offsets[:-1][own]
+                take = place < first[own]
+                kept, most, size = order[take], (n[own] - place)[take], n[own][take]
+                lead = most >= -(-2 * size * rules.percent // (100 + rules.percent))
+                yield pa.RecordBatch.from_arrays([pa.array(sets[kept].view(np.int64)), batch.column(0).slice(a, b - a).take(pa.array(own[take])), pa.array(lead), pa.array(most)], ["key", "id", "lead", "most"])
+
+    return asked.mapInArrow(task, "key long, id long, lead boolean, most long")
+
+
+def _keyed(rows: DataFrame, texts: DataFrame, rules: NearRules) -> DataFrame:
+    """key, prefix, id, component, lead, most: rows (key, id, component) of small keys as they are, the documents of large ones by the keys of their prefixes."""
+    large = stored(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > rules.large).select("key"))
+    n = large.count()
+    columns = ["key", "prefix", "id", "component", "lead", "most"]
+    small = rows.join(checked_broadcast(large, n), "key", "left_anti").withColumn("prefix", F.lit(False)).withColumn("lead", F.lit(True)).withColumn("most", F.lit(2**62)).select(*columns)
+    if not n:
+        return small
+    hot = stored(rows.join(checked_broadcast(large, n), "key", "left_semi").select("id", "component").distinct())
+    return small.unionByName(_prefixes(hot.select("id"), texts, rules).withColumn("prefix", F.lit(True)).join(hot, "id").select(*columns))
 
 
 def _across(rows: DataFrame, rules: NearRules) -> DataFrame:
-    """a, b (a < b): near signatures of different components within a key. rows: key, id, component, n_shingles, sig, fine.
+    """a, b (a < b): near signatures of different components within a key. rows: key, prefix, id, component, lead, most, n_shingles, sig. Of a pair one leads at least.
 
     A key of more documents than a block is parted by bands of set sizes, so that
     linked pairs lie in one band or in neighbouring ones (a document stands in its
     own band and, as ``lower``, in the next), and compared block against block,
     each pair of blocks in a group of its own. A pair comes from the first key that
-    it shares alone, so no pair is given twice.
+    it shares alone, but for keys of prefixes, which may give it several times.
     """
     size = stored(rows.groupBy("key").agg(F.count("*").alias("n")))
     own_band = F.floor(F.log("n_shingles") / F.lit(1.001 * math.log(100 / min(rules.percent, 99)))).cast("int")
@@ -251,36 +314,34 @@ def _across(rows: DataFrame, rules: NearRules) -> DataFrame:
         .withColumn("band", F.explode(F.when(large, F.array(own_band, own_band + 1)).otherwise(F.array(F.lit(0)))))
         .withColumn("lower", large & (F.col("band") != own_band))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("key", "band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "lower", "id", "component", "n_shingles", "sig", "fine")
+        .select("key", "prefix", "band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "lower", "lead", "most", "id", "component", "n_shingles", "sig")
     )
 
     def close(sigs: np.ndarray, x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
         return np.concatenate([(sigs[x[k : k + 20_000]] != sigs[y[k : k + 20_000]]).sum(1) <= most for k in range(0, len(x), 20_000)])
 
-    def compare(key: int, low: int, high: int, own: np.ndarray, lower: np.ndarray, ids: np.ndarray, comps: np.ndarray, sizes: np.ndarray, sigs: np.ndarray, fine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def compare(key: int, prefix: bool, low: int, high: int, own: np.ndarray, lower: np.ndarray, lead: np.ndarray, upto: np.ndarray, ids: np.ndarray, comps: np.ndarray, sizes: np.ndarray, sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(sizes, kind="stable")
-        left = order[own[order] == low]
-        right = left if low == high else order[own[order] == high]
+        left, right = order[own[order] == low], order[own[order] == high]
+        sides = [(left[lead[left]], right)] + ([(right[lead[right]], left[~lead[left]])] if low != high else [])
         least, most = -(-sizes * rules.percent // 100), sizes * 100 // rules.percent  # sizes of sets that may be linked
         found = []
-        for at in range(0, len(left), 64):
-            i = left[at : at + 64]
-            near = right[np.searchsorted(sizes[right], least[i[0]]) : np.searchsorted(sizes[right], most[i[-1]], "right")]
+        for i, others in ((leading[at : at + 64], others) for leading, others in sides for at in range(0, len(leading), 64)):
+            near = others[np.searchsorted(sizes[others], least[i[0]]) : np.searchsorted(sizes[others], most[i[-1]], "right")]
             apart = (comps[i][:, None] != comps[near][None, :]) & ~(lower[i][:, None] & lower[near][None, :])
             apart &= (sizes[near][None, :] >= least[i][:, None]) & (sizes[near][None, :] <= most[i][:, None])
+            if prefix:
+                apart &= np.minimum(upto[i][:, None], upto[near][None, :]) * (100 + rules.percent) >= rules.percent * (sizes[i][:, None] + sizes[near][None, :])
             if low == high:
-                apart &= ids[i][:, None] < ids[near][None, :]
+                apart &= (ids[i][:, None] < ids[near][None, :]) | ~lead[near][None, :]
             x, y = np.nonzero(apart)
             x, y = i[x], near[y]
             if len(x):
                 keep = close(sigs, x, y, rules.near)
                 x, y = x[keep], y[keep]
-            if len(x):
+            if len(x) and not prefix:
                 keep = _first_key(sigs[x], sigs[y], rules) == key
                 x, y = x[keep], y[keep]
-            if len(x):
-                keep = close(fine, x, y, rules.fine_near)
-                x, y = x[keep], y[keep]
             found.append(np.stack([ids[x], ids[y]]))
         both = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
         return both.min(0), both.max(0)
@@ -291,7 +352,7 @@ def _across(rows: DataFrame, rules: NearRules) -> DataFrame:
             table = pa.Table.from_batches([batch])
             if rest is not None:
                 table = pa.concat_tables([rest, table]).combine_chunks()
-            keys = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("key", "band", "low", "high")])
+            keys = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("key", "prefix", "band", "low", "high")])
             cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
             done = int(cuts[-1]) if len(cuts) else 0
             rest = table.slice(done)
@@ -302,13 +363,13 @@ def _across(rows: DataFrame, rules: NearRules) -> DataFrame:
 
     def runs(table: pa.Table, cuts: list[int]) -> pa.RecordBatch:
         column = lambda c: table.column(c).to_numpy()
-        key, low, high = column("key"), column("low"), column("high")
-        rows_ = [column(c) for c in ("own", "lower", "id", "component", "n_shingles")]
-        rows_ += [np.frombuffer(b"".join(table.column(c).to_pylist()), kind).reshape(len(key), -1) for c, kind in (("sig", np.uint16), ("fine", np.uint8))]
-        got = [compare(key[i], low[i], high[i], *(r[i:j] for r in rows_)) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+        key, prefix, low, high = (column(c) for c in ("key", "prefix", "low", "high"))
+        rows_ = [column(c) for c in ("own", "lower", "lead", "most", "id", "component", "n_shingles")]
+        rows_.append(np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(len(key), -1))
+        got = [compare(key[i], prefix[i], low[i], high[i], *(r[i:j] for r in rows_)) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([g[k] for g in got])) for k in (0, 1)], ["a", "b"])
 
-    return placed.repartition("key", "band", "low", "high").sortWithinPartitions("key", "band", "low", "high").mapInArrow(task, "a long, b long")
+    return placed.repartition("key", "prefix", "band", "low", "high").sortWithinPartitions("key", "prefix", "band", "low", "high").mapInArrow(task, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, rules: NearRules = NearRules()) -> DataFrame:
@@ -323,7 +384,8 @@ def _labelled(docs: DataFrame, rows: DataFrame, rules: NearRules) -> DataFrame:
     star = stored(index.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n"), F.max("id").alias("m")).where("a <> m").select("key", "a", "n"))
     shared = stored(spread_join(index, star.select("key", "a"), "key", "id", counts=star))  # keys of at least two documents
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    starred = stored(_distances(shared.where("a <> id").select("a", F.col("id").alias("b")).distinct(), classes, rules))
+    sig = classes.select("id", F.col("sig").alias("value"))
+    starred = stored(_distances(shared.where("a <> id").select("a", F.col("id").alias("b")).distinct(), sig, rules.near, np.uint16, rules.group))
     linked = stored(_confirmed(starred, texts, rules))
     # rows of one id with several texts are one document: it is linked with the class of each
     several = with_id.groupBy("doc_id").agg(F.min("digest").alias("d0"), F.max("digest").alias("d1")).where("d0 <> d1").select("doc_id")
@@ -331,8 +393,11 @@ def _labelled(docs: DataFrame, rows: DataFrame, rules: NearRules) -> DataFrame:
     first = stored(components(linked.unionByName(same)))
     labelled = stored(shared.join(first.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")))
     mixed_keys = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    left = spread_join(labelled, mixed_keys, "key", "id", counts=star).join(classes.where(F.col("n_shingles") >= rules.least).select("id", "n_shingles", "sig"), "id")
-    more = stored(_across(stored(_fine(stored(left), texts, rules)), rules)).join(starred, ["a", "b"], "left_anti")
+    left = stored(spread_join(labelled, mixed_keys, "key", "id", counts=star))  # key, id, component
+    keyed = stored(_keyed(left, texts, rules)).join(classes.select("id", "n_shingles", "sig").where(F.col("n_shingles") >= rules.least), "id")
+    more = stored(_across(keyed, rules).distinct().join(starred, ["a", "b"], "left_anti"))
+    fine = stored(_fine(_ends(more, texts), rules))
+    more = stored(_distances(more, fine, rules.fine_near, np.uint8, rules.group))
     linked_more = stored(_confirmed(more, texts, rules))
     last = stored(components(linked.unionByName(same).unionByName(linked_more)))
     class_of = classes.join(last.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
@@ -348,10 +413,13 @@ def deduplicated(docs: DataFrame, rules: NearRules = NearRules()) -> DataFrame:
     Of rows that share the id that stays, it is the one whose text comes first in
     order of bytes (a null last), then the one whose other columns do as JSON.
     """
-    found = near_duplicates(docs, rules)
-    kept = found.where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("id")).distinct()
+    found = stored(near_duplicates(docs, rules).where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "kept"))
+    gone = stored(found.where("NOT kept").select("id").distinct())
+    several = stored(found.where("kept").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"))
     others = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"], F.lit(0)))
-    rows = with_row(docs, id=F.col("doc_id").cast("long"), text=F.col("text"), others=others)
-    first = F.row_number().over(W.partitionBy("id").orderBy(F.col("text").asc_nulls_last(), "others"))
-    stay = rows.join(kept, "id", "left_semi").withColumn("place", first).where("place = 1").select("row.*")
-    return stay.unionByName(docs.where("doc_id IS NULL"))
+    rows = with_row(docs, id=F.col("doc_id").cast("long"), text=F.col("text"), others=others).where("id IS NOT NULL")
+    rows = rows.join(checked_broadcast(gone, gone.count()), "id", "left_anti")
+    few = checked_broadcast(several, several.count())
+    first = F.min_by("row", F.struct(F.col("text").isNull(), "text", "others"))  # combined in each task before the shuffle
+    one = rows.join(few, "id", "left_semi").groupBy("id").agg(first.alias("row")).select("row.*")
+    return rows.join(few, "id", "left_anti").select("row.*").unionByName(one).unionByName(docs.where("doc_id IS NULL"))
