@@ -18,6 +18,8 @@ import numpy as np
 MOST_CODES = 4096
 #: Pixels of the largest canvas or frame that is decoded: 64 MB of RGBA. A header can name 65535 x 65535 in a few bytes.
 MOST_PIXELS = 1 << 24
+#: Pixels of a table's life that are built at once.
+_PIECE = 1 << 18
 
 
 def _widths(min_size: int, n: int) -> np.ndarray:
@@ -65,8 +67,12 @@ def lzw_encode(pixels: bytes) -> bytes:
     return np.packbits(bits[np.arange(12) < width[:, None]], bitorder="little").tobytes()
 
 
-def _strings(codes: np.ndarray, clear: int) -> np.ndarray:
-    """The pixels of the codes of one table's life."""
+def _strings(codes: np.ndarray, clear: int, most: int) -> np.ndarray:
+    """The pixels of the codes of one table's life, so many at most (but the last code's string is whole).
+
+    Lengths are known before any pixel: codes beyond ``most`` are cut off first, and
+    pixels are built ``_PIECE`` at a time, so a small stream that stands for very many takes little memory.
+    """
     place = np.arange(len(codes))
     literal = codes < clear
     refers = np.where(literal, place, codes - clear - 2)
@@ -77,14 +83,28 @@ def _strings(codes: np.ndarray, clear: int) -> np.ndarray:
         length = length + more
         step = step[step]
     length = length + 1
-    start = np.cumsum(length) - length
-    total = int(length.sum())
-    points = np.repeat(np.where(literal, start, start[refers]) - start, length) + np.arange(total)
-    while (points != (far := points[points])).any():
-        points = far
-    first = np.zeros(total, np.uint8)
-    first[start[literal]] = codes[literal]
-    return first[points]
+    ends = np.cumsum(length)
+    n = min(len(codes), int(np.searchsorted(ends, most)) + 1)
+    codes, literal, refers, length, ends = (x[:n] for x in (codes, literal, refers, length, ends))
+    start = ends - length
+    source = np.where(literal, start, start[refers])
+    out = np.zeros(int(ends[-1]), np.uint8)
+    i = 0
+    while i < n:
+        low = int(start[i])
+        j = max(i + 1, int(np.searchsorted(ends, low + _PIECE, "right")))
+        own = np.arange(int(ends[j - 1]) - low)
+        points = np.repeat(source[i:j] - start[i:j], length[i:j]) + own
+        known = np.zeros(len(own), np.uint8)
+        before = points < 0  # strings of earlier pieces
+        known[before] = out[points[before] + low]
+        points[before] = own[before]
+        known[start[i:j][literal[i:j]] - low] = codes[i:j][literal[i:j]]
+        while (points != (far := points[points])).any():
+            points = far
+        out[low : low + len(own)] = known[points]
+        i = j
+    return out
 
 
 def lzw_decode(raw: bytes, min_size: int, pixels: int) -> np.ndarray:
@@ -116,8 +136,10 @@ def lzw_decode(raw: bytes, min_size: int, pixels: int) -> np.ndarray:
                 at = int(place[i] + width[i])
             else:
                 k, at = k + fits, int(place[-1] + width[-1])
+            if stop is None and sum(map(len, life)) >= pixels - have:
+                stop = clear + 1  # each code stands for a pixel at least
         if life and len(own := np.concatenate(life)):
-            out.append(_strings(own, clear))
+            out.append(_strings(own, clear, pixels - have))
             have += len(out[-1])
         if stop == clear + 1:
             break
