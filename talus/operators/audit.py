@@ -6,7 +6,7 @@ import hashlib
 import json
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -44,37 +44,42 @@ def verify(events: DataFrame, chain: str | None = None) -> DataFrame:
 def append(events: DataFrame, chain: str, last: DataFrame | None = None, log: DataFrame | None = None) -> DataFrame:
     """Events with seq, prev_hash and hash, chained in order of occurred_at and event_key within each chain.
 
-    A chain is one fold, so a chain is one group; many chains run in parallel. last:
-    chain, seq, hash of what is stored (by default those of log). Repeated event keys
-    count once, the first, and keys that log holds already are not appended again.
+    A chain is one fold, so a chain is one group; many chains run in parallel. A null
+    chain is a chain like others. last: chain, seq, hash of what is stored (by default
+    those of log). Repeated event keys count once, the first, and keys that log holds
+    already are not appended again; events without key are all appended.
     """
     if log is not None:
         events = events.join(log.select("event_key").distinct(), "event_key", "left_anti")
         last = last_events(log, chain) if last is None else last
-    wanted = [c.strip().split(" ")[0] for c in AUDIT_EVENTS.split(", ")]
+    kinds = {c.strip().split(" ")[0]: c.strip().split(" ")[1].lower() for c in AUDIT_EVENTS.split(", ")}
+    wanted = list(kinds)
     own = [c for c in wanted if c not in ("seq", "prev_hash", "hash")]
     first = W.partitionBy("event_key").orderBy("occurred_at")
-    rows = events.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    filled = rows.select(F.col(chain).alias("_chain"), *[F.col(c) if c in rows.columns else F.lit(None).alias(c) for c in own])
+    named = events.where("event_key IS NOT NULL").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    rows = named.unionByName(events.where("event_key IS NULL"))
+    filled = rows.select(F.col(chain).alias("_chain"), *[(F.col(c) if c in rows.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in own])
     if last is None:
         filled = filled.withColumn("_seq", F.lit(0).cast("long")).withColumn("_hash", F.lit(None).cast("string"))
     else:
-        filled = filled.join(last.select(F.col(chain).alias("_chain"), F.col("seq").alias("_seq"), F.col("hash").alias("_hash")), "_chain", "left").fillna(0, ["_seq"])
+        side = last.select(F.col(chain).alias("_of"), F.col("seq").cast("long").alias("_seq"), F.col("hash").alias("_hash"))
+        filled = filled.join(side, F.col("_chain").eqNullSafe(F.col("_of")), "left").drop("_of").fillna(0, ["_seq"])
+    types = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
-    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        before = None
-        for pdf in parts:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, seq, link = [], 0, None  # no chain yet
+        for batch in batches:
             out = []
-            for r in pdf.to_dict("records"):
-                if r["_chain"] != before:
-                    before, seq, link = r["_chain"], int(r["_seq"]), r["_hash"]
+            for r in batch.to_pylist():  # whole numbers stay whole, whatever their size
+                if [r["_chain"]] != before:
+                    before, seq, link = [r["_chain"]], r["_seq"], r["_hash"]
                 seq += 1
-                event = {c: None if pd.isna(r[c]) else (int(r[c]) if isinstance(r[c], float) else r[c]) for c in own} | {"seq": seq, "prev_hash": None if link is None or pd.isna(link) else link}
+                event = {c: r[c] for c in own} | {"seq": seq, "prev_hash": link}
                 link = hashlib.sha256(json.dumps(event, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
                 out.append(event | {"hash": link})
-            yield pd.DataFrame(out, columns=wanted).astype({c: "Int64" for c in ("seq", "rules_version", "mapping_version", "tokens_in", "tokens_out", "latency_ms")})
+            yield pa.RecordBatch.from_arrays([pa.array([e[c] for e in out], types[kinds[c]]) for c in wanted], wanted)
 
-    return filled.repartition("_chain").sortWithinPartitions("_chain", "occurred_at", "event_key").mapInPandas(fold, AUDIT_EVENTS)
+    return filled.repartition("_chain").sortWithinPartitions("_chain", "occurred_at", "event_key").mapInArrow(fold, AUDIT_EVENTS)
 
 
 def last_events(events: DataFrame, chain: str) -> DataFrame:

@@ -11,12 +11,13 @@ from talus.schemas import MODEL_OUTPUT
 
 
 def expanded_output(text: Column) -> Column:
-    """The model's short-key answer as a struct; null unless it has exactly the keys t, c, r, e with allowed values."""
+    """The model's short-key answer as a struct; null unless the text is one object, with exactly the keys t, c, r, e (once each) and allowed values."""
     got = F.from_json(text, MODEL_OUTPUT)
     keys = F.array_sort(F.json_object_keys(text)) == F.array(*[F.lit(k) for k in "cert"])
     whole = F.regexp_like(text, F.lit(r'"e"\s*:\s*\[\s*(-?\d+\s*(,\s*-?\d+\s*)*)?\]'))
+    alone = F.regexp_like(text, F.lit(r"^\s*\{[^{}]*\}\s*$"))  # nothing before or after: allowed values hold no braces
     ok = (
-        keys & whole & got["t"].isin(config.TYPOLOGIES) & got["r"].isin(config.RECOMMENDATIONS) & got["c"].between(0.0, 1.0)
+        alone & keys & whole & got["t"].isin(config.TYPOLOGIES) & got["r"].isin(config.RECOMMENDATIONS) & got["c"].between(0.0, 1.0)
         & (F.size(got["e"]) <= 3) & F.forall(got["e"], lambda x: x >= 1)
     )
     ids = F.transform(got["e"], lambda x: F.format_string("F%02d", x))

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from talus import config
 from talus.functions import checkdigits, dates, text
 from talus.operators import alerts as A
-from talus.operators import audit, evaluation, features, norms, pivots, retrieval, sampling, sanitize, triage, workflow
+from talus.operators import audit, evaluation, features, hashtree, norms, pivots, retrieval, sampling, sanitize, triage, workflow
 from talus.plans import driver_tables as D
 from talus.sources import saml, store
 
@@ -572,9 +572,37 @@ def gate_report(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("gate", F.round("value", 6).alias("value"), "status")
 
 
-@query("""SELECT COUNT(*) AS n, CAST(SUM(CAST(('0x' || substr(sha256(o_orderkey || chr(31) || o_custkey || chr(31) || o_orderstatus), 1, 15)) AS BIGINT)::HUGEINT) AS VARCHAR) AS content_hash FROM orders""")
+_ROW = """'{"o_orderkey":' || o_orderkey || ',"o_custkey":' || o_custkey || ',"status":' || CASE WHEN o_orderstatus = 'F' THEN 'null' WHEN o_orderstatus = 'P' THEN '""' ELSE '"' || o_orderstatus || '"' END || '}'"""
+
+
+def _states(spark: SparkSession, d: str) -> DataFrame:
+    """Orders with a status that is null for some and empty for others."""
+    status = F.when(F.col("o_orderstatus") == "P", "").when(F.col("o_orderstatus") != "F", F.col("o_orderstatus"))
+    return D.read(spark, d, "orders").select("o_orderkey", "o_custkey", status.alias("status"))
+
+
+@query(f"""WITH h AS (SELECT sha256({_ROW}) AS x FROM orders), p AS (SELECT ('0x' || substr(x, 1, 15))::BIGINT::HUGEINT AS a, ('0x' || substr(x, 16, 15))::BIGINT::HUGEINT AS b FROM h)
+SELECT COUNT(*) AS n, CAST(SUM(a) AS VARCHAR) || ':' || CAST(SUM(b) AS VARCHAR) AS content_hash FROM p""")
 def content_hash(spark: SparkSession, d: str) -> DataFrame:
-    return store.content_sum(D.read(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"))
+    return store.content_sum(_states(spark, d))
+
+
+@query(f"""WITH RECURSIVE r AS (SELECT o_orderkey AS k, {_ROW} AS j FROM orders), s AS (SELECT k, j, row_number() OVER (ORDER BY k) - 1 AS i, COUNT(*) OVER () AS n FROM r),
+l AS (SELECT 'whole' AS log, i, j FROM s UNION ALL SELECT 'prefix', i, j FROM s WHERE i < 2 * n // 3 UNION ALL SELECT 'swapped', CASE i WHEN 0 THEN 1 WHEN 1 THEN 0 ELSE i END, j FROM s WHERE i < 2 * n // 3),
+t AS (SELECT log, 0 AS level, CAST(i AS BIGINT) AS i, sha256('leaf|' || j) AS h, COUNT(*) OVER (PARTITION BY log) AS size FROM l
+UNION ALL SELECT log, level + 1, i // 2, CASE WHEN COUNT(*) = 1 THEN MAX(h) ELSE sha256('node|' || MAX(h) FILTER (i % 2 = 0) || '|' || MAX(h) FILTER (i % 2 = 1)) END, (size + 1) // 2 FROM t WHERE size > 1 GROUP BY log, level, i // 2, size)
+SELECT log, (SELECT COUNT(*) FROM l WHERE l.log = t.log) AS n, h AS root, log <> 'swapped' AS extended FROM t WHERE size = 1""")
+def log_extension(spark: SparkSession, d: str) -> DataFrame:
+    """Roots of a log, of its first two thirds and of these with two rows swapped, and whether the whole log is proved to extend each."""
+    rows = store.staged(hashtree.leaves(_states(spark, d), ["o_orderkey"]))
+    n = rows.count()
+    first = rows.where(F.col("at") < 2 * n // 3)
+    swapped = first.withColumn("at", F.when(F.col("at") < 2, 1 - F.col("at")).otherwise(F.col("at")))
+    whole, prefix, other = hashtree.build(rows), hashtree.build(first), hashtree.build(swapped)
+    proof = whole.consistency_proof(prefix.n)
+    found = [("whole", whole.n, whole.root, hashtree.extends(n, whole.root, n, whole.root, []))]
+    found += [(name, t.n, t.root, hashtree.extends(t.n, t.root, n, whole.root, proof)) for name, t in (("prefix", prefix), ("swapped", other))]
+    return spark.createDataFrame(found, "log STRING, n LONG, root STRING, extended BOOLEAN")
 
 
 @query("SELECT substr(sha256(string_agg(r_regionkey || ':' || sha256(r_name), '|' ORDER BY r_regionkey)), 1, 16) AS corpus_version FROM region")
@@ -592,12 +620,22 @@ def envelope_edges(spark: SparkSession, d: str) -> DataFrame:
     return workflow.envelope_violations(e, config.edges(spark)).where(F.size("violations") > 0).groupBy("from_node", "to_node").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT event_type, COUNT(*) AS n, COUNT(*) FILTER (event_id % 4 = 0) AS n_valid FROM events GROUP BY 1""")
+_ANSWERS = [
+    '{"t":"Structuring","c":0.5,"r":"COMUNICAR","e":[1,14]}', '{"t":"Structuring","c":1.5,"r":"COMUNICAR","e":[1]}', '{"t":"Structuring","c":0.5,"r":"COMUNICAR","e":["1"]}', '{"t":"Structuring","c":0.5,"r":"COMUNICAR"}',
+    ' {"t":"Structuring","c":1,"r":"ARQUIVAR","e":[]} ', '{"t":"Structuring","c":0.5,"r":"COMUNICAR","e":[1]} and more', '{"t":"Structuring","c":0.5,"r":"COMUNICAR","e":[1]}{"t":"Structuring","c":0.5,"r":"COMUNICAR","e":[1]}',
+    'so: {"t":"Structuring","c":0.5,"r":"COMUNICAR","e":[1]}', '{"t":"Structuring","t":"Structuring","c":0.5,"r":"COMUNICAR","e":[1]}', '{"t":null,"c":0.5,"r":"COMUNICAR","e":[1]}', '{"t":"Structuring","c":0.5,"r":"COMUNICAR","e":[1,2,3,4]}', "",
+]
+
+
+@query("""WITH a AS (SELECT event_type, event_id % 12 AS k FROM events) SELECT event_type, k AS answer, COUNT(*) AS n, CASE WHEN k IN (0, 4) THEN COUNT(*) ELSE 0 END AS n_valid,
+ CASE k WHEN 0 THEN 'Structuring COMUNICAR F01,F14' WHEN 4 THEN 'Structuring ARQUIVAR ' END AS output FROM a GROUP BY event_type, k""")
 def model_output_check(spark: SparkSession, d: str) -> DataFrame:
-    answers = ['{"t":"Structuring","c":0.5,"r":"COMUNICAR","e":[1,14]}', '{"t":"Structuring","c":1.5,"r":"COMUNICAR","e":[1]}', '{"t":"Structuring","c":0.5,"r":"COMUNICAR","e":["1"]}', '{"t":"Structuring","c":0.5,"r":"COMUNICAR"}']
-    answer = F.element_at(F.array(*[F.lit(a) for a in answers]), (F.col("event_id") % 4 + 1).cast("int"))
-    e = D.read(spark, d, "events").select("event_type", workflow.expanded_output(answer).alias("o"))
-    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.count("o").alias("n_valid"))
+    """Answers of twelve kinds: two are valid, the others have text around the object, two objects, repeated keys, nulls, wrong types or numbers."""
+    k = (F.col("event_id") % 12).cast("int")
+    answer = F.element_at(F.array(*[F.lit(a) for a in _ANSWERS]), k + 1)
+    e = D.read(spark, d, "events").select("event_type", k.alias("answer"), workflow.expanded_output(answer).alias("o"))
+    told = F.concat_ws(" ", "o.typology", "o.recommendation", F.array_join("o.evidence", ","))
+    return e.groupBy("event_type", "answer").agg(F.count("*").alias("n"), F.count("o").alias("n_valid"), F.max(F.when(F.col("o").isNotNull(), told)).alias("output"))
 
 
 @query("SELECT n AS number, r AS roman FROM (VALUES (1,'I'),(4,'IV'),(9,'IX'),(14,'XIV'),(40,'XL'),(90,'XC'),(1994,'MCMXCIV')) t(n, r)")

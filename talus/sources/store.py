@@ -69,15 +69,18 @@ def staged(df: DataFrame) -> DataFrame:
 
 
 def content_sha256(tables: list[DataFrame]) -> str:
-    """SHA-256 over each table's row count and sum of row hashes (``content_sum``): no row passes through the driver, and no order is needed."""
+    """SHA-256 over each table's row count and sums of row hashes (``content_sum``): no order is needed. ``hashtree.content_digest`` is the ordered form."""
     return hashlib.sha256("|".join(f"{r['n']}:{r['content_hash']}" for r in (content_sum(df).first() for df in tables)).encode()).hexdigest()
 
 
 def content_sum(df: DataFrame) -> DataFrame:
-    """n, content_hash: row count and an order-free sum of row hashes (the first 15 hex digits of each)."""
-    line = F.array_join(F.array(*[F.col(c).cast("string") for c in df.columns]), "\x1f", "")
-    row = F.conv(F.substring(F.sha2(line, 256), 1, 15), 16, 10).cast("decimal(38,0)")
-    return df.agg(F.count("*").alias("n"), F.sum(row).cast("string").alias("content_hash"))
+    """n, content_hash: row count and order-free sums of row hashes, the first and the second 15 hex digits of each.
+
+    A row is hashed as JSON with nulls written: null, empty and moved separators differ.
+    """
+    row = F.sha2(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}), 256)
+    part = lambda i: F.sum(F.conv(F.substring(row, i, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+    return df.agg(F.count("*").alias("n"), F.concat_ws(":", part(1), part(16)).alias("content_hash"))
 
 
 def latest_records(records: DataFrame) -> DataFrame:
