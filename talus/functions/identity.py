@@ -31,3 +31,35 @@ def hash_order(seed: int, *parts: Column) -> Column:
 def uniform(seed: int, *parts: Column) -> Column:
     """A number in [0, 1) from a hash."""
     return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *parts)), 1, 13), 16, 10).cast("long") / F.lit(float(2**52))
+
+
+#: Rounds of the permutation, and most steps of a walk back into its range.
+ROUNDS, STEPS = 4, 200
+
+
+def permuted(number: Column, digits: int, seed: int) -> Column:
+    """The number's place in a keyed permutation of the numbers of so many digits that are not one digit repeated.
+
+    number counts from 0; the first 10^digits - 10 numbers give as many different results,
+    in an order that the seed decides. A Feistel network permutes the next even
+    power of two; what falls outside is permuted again until it falls inside (a
+    cycle walk), which keeps different numbers different.
+    """
+    size, ones = 10**digits, (10**digits - 1) // 9
+    half = -(-(size - 1).bit_length() // 2)
+    mask = (1 << half) - 1
+
+    def mixed(turn: Column, right: Column) -> Column:
+        text = F.concat_ws("|", F.lit(str(seed)), turn.cast("string"), right.cast("string"))
+        return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long").bitwiseAND(F.lit(mask))
+
+    def one_round(x: Column, turn: Column) -> Column:
+        right = x.bitwiseAND(F.lit(mask))
+        return F.shiftleft(right, half).bitwiseOR(F.shiftright(x, half).bitwiseXOR(mixed(turn, right)))
+
+    once = lambda x: F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), x, one_round)
+    inside = lambda x: (x < size) & (x % ones != 0)
+    # the number-th one that is not a digit repeated: those are the multiples of 11...1
+    start = number + F.floor(number / F.lit(ones - 1)).cast("long") + 1
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), once(start.cast("long")), lambda x, _: F.when(inside(x), x).otherwise(once(x)))
+    return F.when(inside(found) & (number >= 0) & (number < size - 10), found).otherwise(F.raise_error(F.lit("no number of these digits is left")).cast("long"))

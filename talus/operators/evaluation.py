@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from talus.config import Baseline
+from talus.sources.store import staged
 
 
 #: Rank error of the bounds between which a percentile is looked for, as a share of the rows.
 ACCURACY = 100_000
+#: Bounds (one row for each group and share) are broadcast up to so many rows.
+BROADCAST_ROWS = 100_000
 
 
 def percentiles(samples: DataFrame, value: str, shares: list[float], by: list[str] | None = None) -> DataFrame:
@@ -31,16 +34,20 @@ def percentiles(samples: DataFrame, value: str, shares: list[float], by: list[st
         *by, "n", "share", F.when(F.col("share") <= 2 / ACCURACY, F.col("_min")).otherwise(F.col("lo")).alias("lo"), F.when(F.col("share") >= 1 - 2 / ACCURACY, F.col("_max")).otherwise(F.col("hi")).alias("hi")
     )
     if by:
-        small = F.broadcast(bounds.withColumnsRenamed({c: f"_{c}" for c in by}))  # groups times shares, as many rows as the result
+        small = staged(bounds.withColumnsRenamed({c: f"_{c}" for c in by}))  # groups times shares, as many rows as the result
+        if small.count() <= BROADCAST_ROWS:
+            small = F.broadcast(small)
+        else:  # equal values of a group are counted before they are dealt out, so a large group is few rows if its values repeat; adaptive joins split it else
+            rows = rows.groupBy(*by, "_v").agg(F.count("*").alias("_times"))
         condition = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
-        joined = rows.join(small, condition).select(*by, "share", "n", "lo", "hi", "_v")
+        joined = rows.join(small, condition).select(*by, "share", "n", "lo", "hi", "_v", (F.col("_times") if "_times" in rows.columns else F.lit(1)).alias("_times"))
     else:  # one row for each share
         known = [F.struct(*[F.lit(r[c]).alias(c) for c in ("share", "n", "lo", "hi")]) for r in bounds.collect()]
         each = F.inline(F.array(*known) if known else F.from_json(F.lit("[]"), "array<struct<share: double, n: bigint, lo: double, hi: double>>"))
-        joined = rows.select("_v", each)
+        joined = rows.select("_v", F.lit(1).alias("_times"), each)
     zone = F.when(F.col("_v") < F.col("lo"), 0).when(F.col("_v") > F.col("hi"), 2).otherwise(1)
     inside = F.when(zone == 1, F.col("_v"))
-    counts = joined.groupBy(*by, "share", "n", zone.alias("_zone"), inside.alias("_inside")).agg(F.count("*").alias("_c"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
+    counts = joined.groupBy(*by, "share", "n", zone.alias("_zone"), inside.alias("_inside")).agg(F.sum("_times").alias("_c"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
     # of the rows outside only the nearest may be asked for: interpolation needs one rank more
     counts = counts.withColumn("_v", F.when(F.col("_zone") == 0, F.col("_most")).otherwise(F.col("_least")))
     upto = F.sum("_c").over(W.partitionBy(*by, "share").orderBy("_v").rowsBetween(W.unboundedPreceding, 0))

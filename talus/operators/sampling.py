@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 
 from talus.config import SplitRules
 from talus.functions.checkdigits import cnpj, cpf
-from talus.functions.identity import hash_order, uniform
+from talus.functions.identity import hash_order, permuted, uniform
 
 
 def account_classes(tx: DataFrame, account: str = "sender_account") -> DataFrame:
@@ -169,6 +169,12 @@ def synthetic_customers(accounts: DataFrame, seed: int, start: int = 1) -> DataF
     )
 
 
+def drawn_documents(rows: DataFrame, number: str, seed: int) -> DataFrame:
+    """rows with ``cpf`` and ``cnpj``, unique and valid, drawn without repeats by a permutation of their bases; number counts from 0."""
+    base = lambda digits: F.lpad(permuted(F.col(number), digits, seed).cast("string"), digits, "0")
+    return rows.withColumns({"cpf": cpf(base(9)), "cnpj": cnpj(base(12))})
+
+
 def synthetic_alerts(spark, n_alerts: int, n_tx: int, sender: str, receiver: str) -> DataFrame:
     """Alert transactions for evaluation: n_tx PIX of 500.00 on consecutive days."""
     rows = spark.range(n_alerts).select(F.format_string("synthetic-%06d", "id").alias("alert_id"), F.explode(F.sequence(F.lit(1), F.lit(n_tx))).alias("seq"))

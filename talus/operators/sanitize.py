@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from talus.functions.checkdigits import valid_document
+from talus.operators.marked import hits, text_columns
+from talus.operators.ranks import placed
 
 
-def token_table(alerts: DataFrame, alert_tx: DataFrame) -> DataFrame:
-    """alert_id, kind, value, token: one token for each value of an alert, numbered by kind in order of first appearance.
+def appearances(alerts: DataFrame, alert_tx: DataFrame) -> DataFrame:
+    """alert_id, kind, value, at: where personal data stands in alerts (alert_id, name, cpf_cnpj) and their transactions.
 
-    alerts: alert_id, name, cpf_cnpj. The holder comes first, then senders and
-    receivers in the transactions' order. The table is what re-identification
-    reads; it is stored apart, with access of its own.
+    The holder comes first, then senders and receivers in the transactions' order.
     """
     person = [
         alerts.select("alert_id", F.lit(kind).alias("kind"), F.col(column).alias("value"), F.lit(0).alias("at"))
@@ -26,11 +26,43 @@ def token_table(alerts: DataFrame, alert_tx: DataFrame) -> DataFrame:
         "alert_id", F.lit("CONTA").alias("kind"),
         F.inline(F.array(F.struct(F.col("holder").alias("value"), F.lit(0).alias("at")), F.struct(F.col("sender_account").alias("value"), (F.col("seq") * 2).cast("int").alias("at")), F.struct(F.col("receiver_account").alias("value"), (F.col("seq") * 2 + 1).cast("int").alias("at")))),
     )
-    first = reduce(DataFrame.unionByName, [*person, account]).where("value IS NOT NULL").groupBy("alert_id", "kind", "value").agg(F.min("at").alias("at"))
+    return reduce(DataFrame.unionByName, [*person, account]).where("value IS NOT NULL")
+
+
+def token_table(alerts: DataFrame, alert_tx: DataFrame) -> DataFrame:
+    """alert_id, kind, value, token: one token for each value of an alert, numbered by kind in order of first appearance within the alert.
+
+    The table is what re-identification reads; it is stored apart, with access of its own.
+    """
+    first = appearances(alerts, alert_tx).groupBy("alert_id", "kind", "value").agg(F.min("at").alias("at"))
     number = F.row_number().over(W.partitionBy("alert_id", "kind").orderBy("at", "value"))
     return first.select("alert_id", "kind", "value", F.format_string("%s_%02d", "kind", number).alias("token"))
 
 
+VAULT = "kind string, value string, number long, token string"
+
+
+def new_tokens(seen: DataFrame, vault: DataFrame | None = None) -> DataFrame:
+    """kind, value, number, token of the values of seen (appearances) that the vault does not hold: what is to be appended to it.
+
+    Numbers go on from the vault's highest of each kind, without gaps, in order of first
+    appearance by alert_id and place. So a token stands for one value in all alerts that share the vault.
+    """
+    first = seen.groupBy("kind", "value").agg(F.min(F.struct("alert_id", "at")).alias("first"))
+    if vault is not None:
+        first = first.join(vault.select("kind", "value"), ["kind", "value"], "left_anti")
+    new = placed(first.select("kind", "value", "first.alert_id", "first.at"), ["alert_id", "at", "value"], ["kind"], "number")
+    if vault is not None:
+        top = vault.groupBy("kind").agg(F.max("number").alias("_top"))
+        new = new.join(top, "kind", "left").withColumn("number", F.col("number") + F.coalesce("_top", F.lit(0)))
+    return new.select("kind", "value", "number", F.format_string("%s_%02d", "kind", "number").alias("token"))
+
+
+def shared_tokens(seen: DataFrame, vault: DataFrame) -> DataFrame:
+    """alert_id, kind, value, token of alerts whose values the vault holds, as ``sanitised`` and ``reidentified`` want them."""
+    return seen.select("alert_id", "kind", "value").distinct().join(vault.select("kind", "value", "token"), ["kind", "value"]).select("alert_id", "kind", "value", "token")
+
+
 def sanitised(alerts: DataFrame, alert_tx: DataFrame, tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Alerts and transactions with tokens for values. An invalid document or a missing token gives NEEDS_HUMAN, and its transactions are left out."""
     t = lambda kind, column, name: tokens.where(F.col("kind") == kind).select("alert_id", F.col("value").alias(column), F.col("token").alias(name))
@@ -64,11 +96,11 @@ def decrypted(tokens: DataFrame, key: Column) -> DataFrame:
 
 
 def canary_scan(table: DataFrame, name: str, marked: list[str]) -> DataFrame:
-    """table_name, column, n: rows in which a marked value is found in a text column."""
-    texts = [f.name for f in table.schema.fields if f.dataType.simpleString() == "string"]
-    hit = lambda c: F.coalesce(F.exists(F.array(*[F.lit(m) for m in marked]), lambda m: F.contains(F.col(c), m)), F.lit(False))
-    counts = table.agg(*[F.count_if(hit(c)).alias(c) for c in texts])
-    return counts.select(F.lit(name).alias("table_name"), F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("n")) for c in texts])))
+    """table_name, column, n: rows in which a marked value is found in a text column, 0 included."""
+    spark = table.sparkSession
+    found = hits(table, spark.createDataFrame([(m,) for m in marked], "value string")).groupBy("column").agg(F.count_distinct("row").alias("n"))
+    columns = spark.createDataFrame([(c,) for c in text_columns(table)], "column string")
+    return columns.join(found, "column", "left").select(F.lit(name).alias("table_name"), "column", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def span_violations(cases: DataFrame) -> DataFrame:

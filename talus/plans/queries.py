@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from talus import config
-from talus.functions import checkdigits, dates, text
+from talus.functions import checkdigits, dates, identity, text
 from talus.operators import alerts as A
-from talus.operators import audit, evaluation, features, hashtree, norms, pivots, retrieval, sampling, sanitize, triage, workflow
+from talus.operators import audit, evaluation, features, hashtree, marked, norms, pivots, retrieval, sampling, sanitize, triage, workflow
 from talus.plans import driver_tables as D
 from talus.sources import saml, store
 
@@ -353,6 +354,27 @@ def pii_tokens(spark: SparkSession, d: str) -> DataFrame:
     return sanitize.token_table(nobody, _atx(spark, d))
 
 
+@query(f"""{ATX} {CUSTOMERS}, seen AS (SELECT alert_id, 'CONTA' AS kind, holder AS value, 0 AS spot FROM atx UNION ALL SELECT alert_id, 'CONTA', sender_account, 2 * seq FROM atx UNION ALL SELECT alert_id, 'CONTA', receiver_account, 2 * seq + 1 FROM atx
+UNION ALL SELECT alert_id, 'NOME', name, 0 FROM alerts JOIN cust USING (account) UNION ALL SELECT alert_id, 'DOCUMENTO', cpf_cnpj, 0 FROM alerts JOIN cust USING (account)),
+f AS (SELECT kind, value, min((alert_id < '8', alert_id, spot)) AS late, min((alert_id >= '8', alert_id, spot)) AS o FROM seen GROUP BY 1, 2), r AS (SELECT kind, value, o[1] AS second, row_number() OVER (PARTITION BY kind ORDER BY o, value) AS number FROM f)
+SELECT kind, value, number, CASE WHEN second THEN 2 ELSE 1 END AS batch, kind || '_' || lpad(CAST(number AS VARCHAR), greatest(2, strlen(CAST(number AS VARCHAR)))::INT, '0') AS token FROM r""")
+def pii_shared_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """The vault after two batches of alerts: numbers of the second go on where the first one's ended."""
+    _, found, atx = _staged(spark, d)
+    named = found.join(D.customers(spark, d), "account").select("alert_id", "name", "cpf_cnpj")
+    seen = store.staged(sanitize.appearances(named, atx))
+    first = store.staged(sanitize.new_tokens(seen.where("alert_id < '8'")))
+    second = sanitize.new_tokens(seen.where("alert_id >= '8'"), first)
+    return first.withColumn("batch", F.lit(1)).unionByName(second.withColumn("batch", F.lit(2))).select("kind", "value", "number", "batch", "token")
+
+
+@query("""WITH v AS (SELECT DISTINCT substr(text, 41, 20) AS value FROM documents WHERE length(text) >= 60) SELECT value, COUNT(*) AS n_rows FROM v JOIN documents ON contains(text, value) GROUP BY 1""")
+def canary_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Twenty characters of every document as marked values, looked for in all documents."""
+    documents = D.read(spark, d, "documents").select("text")
+    return marked.rows_by_value(documents, documents.where(F.length("text") >= 60).select(F.substring("text", 41, 20).alias("value")))
+
+
 @query(f"""{ATX} {CUSTOMERS}, n AS (SELECT alert_id, COUNT(*) AS n FROM atx GROUP BY 1) SELECT alert_id, CASE WHEN cpf_cnpj = repeat('0', 11) THEN 'NEEDS_HUMAN' ELSE 'SANITIZED' END AS state, CASE WHEN cpf_cnpj <> repeat('0', 11) THEN 3 + 2 * n END AS pii_token_count FROM alerts JOIN n USING (alert_id) JOIN cust USING (account)""")
 def pii_sanitised(spark: SparkSession, d: str) -> DataFrame:
     _, found, atx = _staged(spark, d)
@@ -656,6 +678,16 @@ def alert_idempotency(spark: SparkSession, d: str) -> DataFrame:
     return workflow.new_alerts(arriving, known).select("alert_id", "status")
 
 
+def _permuted(number: str, digits: int, seed: int) -> str:
+    """SQL of ``identity.permuted``: a round packs both halves into one number."""
+    size, ones = 10**digits, (10**digits - 1) // 9
+    half = -(-(size - 1).bit_length() // 2)
+    mask = (1 << half) - 1
+    once = f"list_reduce([{{x}}] || range(1, {identity.ROUNDS + 1}), lambda a, i: (a & {mask}) << {half} | xor(a >> {half}, ('0x' || substr(md5('{seed}|' || i || '|' || (a & {mask})), 1, 8))::BIGINT & {mask}))"
+    start = f"({number} + {number} // {ones - 1} + 1)"
+    return f"list_reduce([{once.format(x=start)}] || range(1, {identity.STEPS + 1}), lambda v, j: CASE WHEN v < {size} AND v % {ones} <> 0 THEN v ELSE {once.format(x='v')} END)"
+
+
 def _digit(base: str, weights: list[int]) -> str:
     total = " + ".join(f"CAST({base}[{i}] AS INT) * {w}" for i, w in enumerate(weights, 1))
     return f"CASE WHEN ({total}) % 11 < 2 THEN '0' ELSE CAST(11 - ({total}) % 11 AS VARCHAR) END"
@@ -672,6 +704,73 @@ def synthetic_customers(spark: SparkSession, d: str) -> DataFrame:
     return c.select("customer_id", "name", "cpf_cnpj", "segment", F.array_join("restriction_flags", ",").alias("flags"), F.col("accounts")[0].alias("account"), checkdigits.valid_document(F.col("cpf_cnpj")).alias("valid"))
 
 
+@query(f"""WITH a AS (SELECT c_custkey, lpad(CAST({_permuted('CAST(c_custkey AS BIGINT)', 9, 20260916)} AS VARCHAR), 9, '0') AS p, lpad(CAST({_permuted('CAST(c_custkey AS BIGINT)', 12, 20260916)} AS VARCHAR), 12, '0') AS j FROM customer),
+c AS (SELECT *, p || {_digit('p', list(range(10, 1, -1)))} AS p1, j || {_digit('j', [5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2])} AS j1 FROM a)
+SELECT c_custkey, p1 || {_digit('p1', list(range(11, 1, -1)))} AS cpf, j1 || {_digit('j1', [6, 5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2])} AS cnpj, TRUE AS valid FROM c""")
+def drawn_documents(spark: SparkSession, d: str) -> DataFrame:
+    """A CPF and a CNPJ for every customer, drawn without repeats."""
+    rows = D.read(spark, d, "customer").select("c_custkey", F.col("c_custkey").cast("long").alias("number"))
+    drawn = sampling.drawn_documents(rows, "number", config.SplitRules().seed)
+    return drawn.select("c_custkey", "cpf", "cnpj", (checkdigits.valid_document(F.col("cpf")) & checkdigits.valid_document(F.col("cnpj"))).alias("valid"))
+
+
+@query(f"""{TX}, c AS (SELECT holder AS account, MAX(is_laundering) = 1 AS suspicious FROM tx GROUP BY 1), n AS (SELECT *, row_number() OVER (ORDER BY sha256('20260916|' || account), account) AS p FROM c WHERE NOT suspicious)
+SELECT account, suspicious FROM c WHERE suspicious UNION ALL SELECT account, suspicious FROM n WHERE p <= {config.SplitRules().normal_accounts}""")
+def account_sample(spark: SparkSession, d: str) -> DataFrame:
+    """All suspicious accounts and the normal ones of least hash, as many as the rules say."""
+    return sampling.sample_accounts(sampling.account_classes(_tx(spark, d), "holder"))
+
+
+_EVENTS_VELOCITY = """WITH ev AS (SELECT 'U' || user_id AS account, ts, COUNT(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS n,
+ MIN(ts) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS start FROM events),
+g AS (SELECT account, ts, start, lead(ts) OVER (PARTITION BY account ORDER BY ts) AS nxt FROM ev WHERE n >= 6)
+SELECT DISTINCT account, 'LEG-CONTAGEM-VELOC-01' AS rule_id, CAST(start AS TIMESTAMP) AS start, CAST(ts AS TIMESTAMP) AS "end" FROM g WHERE nxt IS NULL OR nxt - ts > INTERVAL 1 DAY"""
+
+
+@query(_EVENTS_VELOCITY)
+def bucketed_alerts(spark: SparkSession, d: str) -> DataFrame:
+    """The velocity rule over events stored by account: no exchange of accounts."""
+    table = f"bucketed_{uuid.uuid4().hex}"
+    e = D.events(spark, d).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    return A.episodes(store.write_bucketed(e, table, store.work_path(spark, "bucketed"), "sender_account", 16, "timestamp"), VELOCITY)
+
+
+@query(_EVENTS_VELOCITY)
+def stream_episodes(spark: SparkSession, d: str) -> DataFrame:
+    """The velocity rule as a stream with keyed state over all events, through an idempotent sink; two late marks move the watermark on."""
+    from talus.streaming import keyed, sinks
+
+    path = store.work_path(spark, "stream")
+    e = D.events(spark, d).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    e.write.parquet(f"{path}/in")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, keyed.STATE_PROVIDER)
+    try:
+        for years in (None, 10, 20):
+            if years:
+                mark = e.agg(F.max("timestamp").alias("t")).select(F.lit("mark").alias("transaction_id"), (F.col("t") + F.make_ym_interval(F.lit(years))).alias("timestamp"), F.lit(0).cast("decimal(18,2)").alias("amount_brl"), F.lit("mark").alias("sender_account"))
+                mark.write.mode("append").parquet(f"{path}/in")
+            stream = spark.readStream.schema(e.schema).parquet(f"{path}/in")
+            found = keyed.velocity_episodes(stream, VELOCITY)
+            found.writeStream.foreachBatch(sinks.once(f"{path}/out")).outputMode("append").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    return sinks.read(spark, f"{path}/out", "account STRING, rule_id STRING, start TIMESTAMP, end TIMESTAMP").drop("batch")
+
+
+@query(f"""{_DECISION} {_OUT}, dd AS (SELECT o.*, selected_at FROM o JOIN alerts USING (alert_id)), t AS (SELECT alert_id, CASE WHEN level = 'PROPOR_ARQUIVAMENTO' THEN 'ARQUIVAMENTO' WHEN recommendation = 'COMUNICAR' THEN 'COS' ELSE 'ARQUIVAMENTO' END AS kind, level, recommendation, n_verified, selected_at
+ FROM dd WHERE level = 'PROPOR_ARQUIVAMENTO' OR NOT (recommendation = 'INCONCLUSIVO' OR recommendation = 'COMUNICAR' AND n_verified = 0))
+SELECT alert_id, CASE WHEN kind = 'COS' THEN '# Comunicação de operação suspeita' ELSE '# Arquivamento' END || chr(10) || chr(10) || CASE WHEN level = 'PROPOR_ARQUIVAMENTO' THEN 'Arquivamento proposto pela triagem determinística (rules_version 1): nenhum detector crítico disparado.'
+ ELSE 'Recomendação ' || recommendation || ': hipótese Structuring, confiança 0.50, ' || n_verified || ' citação(ões) verificada(s).' END || chr(10) || chr(10) || 'Prazo interno: ' || strftime(selected_at + INTERVAL 5 DAY, '%Y-%m-%d') || '; regulatório: ' || strftime(selected_at + INTERVAL 45 DAY, '%Y-%m-%d') AS text FROM t""")
+def dossier_markdown(spark: SparkSession, d: str) -> DataFrame:
+    decision = _decision(spark, d).withColumn("rules_version", F.lit(1))
+    digit = lambda i: F.conv(F.substring("alert_id", i, 1), 16, 10).cast("int")
+    recommendation = F.element_at(F.array(*[F.lit(x) for x in config.RECOMMENDATIONS]), digit(1) % 3 + 1)
+    outputs = decision.select("alert_id", F.lit("Structuring").alias("typology"), F.lit(0.5).alias("confidence"), recommendation.alias("recommendation"))
+    return workflow.markdown(workflow.dossiers(decision, outputs, decision.select("alert_id", (digit(2) % 2).alias("n_verified"))))
+
+
 @query("""WITH e AS (SELECT 'U' || user_id AS account, ts, COUNT(*) OVER w AS n, MIN(ts) OVER w AS start FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW))
 SELECT DISTINCT account, CAST(start AS TIMESTAMP) AS start, CAST(ts AS TIMESTAMP) AS "end", n FROM e WHERE n >= 6""")
 def stream_alerts(spark: SparkSession, d: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -79,6 +80,37 @@ def strict(rows: DataFrame) -> DataFrame:
     return rows.withColumn("violations", F.when(F.size("violations") > 0, bad).otherwise(F.col("violations")))
 
 
+def write_observed(spark: SparkSession, path: str, out: str, make: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, int]:
+    """Writes the file's valid rows (or make(rows) of them) in one scan, and returns the rows of each label, counted on the way.
+
+    The first bad row is observed in the same pass, by its file and the block that it
+    was read in. If there is one, its line is looked up by a second read of that
+    file alone, and the error names it; out is then no store and is to be thrown away.
+    """
+    rows = problems(scan(spark, path).withColumns({"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start")}), config.labels(spark))
+    bad = F.size("violations") > 0
+    labels = [r["label"] for r in config.labels(spark).collect()]  # 28
+    counts = [F.count_if((F.col("label") == x) & ~bad).alias(f"n{i}") for i, x in enumerate(labels)]
+    seen = Observation()
+    watched = rows.observe(seen, F.min(F.when(bad, F.struct("_file", "_block"))).alias("first"), F.count_if(bad).alias("bad"), *counts)
+    good = watched.where(~bad).drop("_file", "_block")
+    (make(good) if make else good.drop("violations")).write.mode("overwrite").parquet(out)
+    got = seen.get
+    if got["bad"]:
+        line, said = _first_bad_line(rows, got["first"]["_file"], got["first"]["_block"])
+        raise ValueError(f"{got['first']['_file']}, line {line}: {said} ({got['bad']} bad rows in all)")
+    return {x: got[f"n{i}"] for i, x in enumerate(labels) if got[f"n{i}"]}
+
+
+def _first_bad_line(rows: DataFrame, file: str, block: int) -> tuple[int, str]:
+    """Number (the header is line 1) and violations of the first bad row of a block: rows of the file's earlier blocks are counted, those of its own numbered."""
+    own = rows.where(F.col("_file") == file)
+    before = own.where(F.col("_block") < block).count()
+    at = own.withColumn("_at", F.monotonically_increasing_id()).where(F.col("_block") == block)
+    first = at.agg(F.min("_at").alias("from"), F.min_by(F.struct("_at", "violations"), F.when(F.size("violations") > 0, F.col("_at"))).alias("bad")).first()
+    return before + first["bad"]["_at"] - first["from"] + 2, "; ".join(first["bad"]["violations"])
+
+
 def profile(rows: DataFrame) -> DataFrame:
     """label, n, suspicious of each label, in one pass."""
     return rows.groupBy("label").agg(F.count("*").alias("n"), F.max("suspicious").alias("suspicious"))
