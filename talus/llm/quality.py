@@ -36,7 +36,10 @@ from talus.llm.subwords import in_chunks, text_chunks
 
 @dataclass(frozen=True)
 class QualityRules:
+    #: Distinct texts that the scorer is fitted on, about; the largest of them, and bytes of all.
     sample_rows: int = 4000
+    sample_text: int = 1 << 17
+    sample_bytes: int = 1 << 26
     buckets: int = 1 << 14
     epochs: int = 12
     rate: float = 0.05
@@ -225,17 +228,28 @@ def labeller_model(docs: DataFrame) -> tuple[float, np.ndarray]:
 
 
 def trained(docs: DataFrame, rules: QualityRules = QualityRules()) -> tuple[float, np.ndarray, np.ndarray]:
-    """Share of good documents, vote tables, and the scorer's weights, which one task fits on the bounded sample."""
+    """Share of good documents, vote tables, and the scorer's weights, which one task fits on the bounded sample.
+
+    The sample are about ``sample_rows`` distinct texts, those of least hash, each once
+    however often it occurs. Texts of more than ``sample_text`` bytes are not among
+    them, and in order of hash it ends at ``sample_bytes``, so the task's size is bounded.
+    """
     share, table = labeller_model(docs)
-    n = docs.count()
-    # about sample_rows of any number of rows: those whose hash (63 bits) is below the share
+    key = F.xxhash64("text").bitwiseAND(F.lit(2**63 - 1))  # 63 bits
+    n = docs.agg(F.approx_count_distinct(key)).first()[0]
     below = min(2**63 - 1, rules.sample_rows * 2**63 // max(1, n))
-    sample = docs.where(F.xxhash64("doc_id", "text").bitwiseAND(F.lit(2**63 - 1)) <= F.lit(below)).select("text").where("text IS NOT NULL")
+    some = docs.where((key <= F.lit(below)) & (F.octet_length("text") <= rules.sample_text)).select(key.alias("key"), "text")
+    sample = some.groupBy("key").agg(F.min("text").alias("text"))  # repeats are merged in each task before the shuffle
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = sorted(t for b in batches for t in b.column(0).cast(pa.binary()).to_pylist())
+        texts, size = [], 0
+        for _, text in sorted((k, t) for b in batches for k, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True)):
+            size += len(text)
+            if size > rules.sample_bytes:
+                break
+            texts.append(text)
         to = io.BytesIO()
-        np.save(to, fit_scorer(texts, share, table, rules))
+        np.save(to, fit_scorer(sorted(texts), share, table, rules))
         yield pa.RecordBatch.from_pydict({"weights": [to.getvalue()]}, schema=pa.schema([("weights", pa.binary())]))
 
     got = sample.repartition(1).mapInArrow(task, "weights binary").first()

@@ -153,9 +153,9 @@ def naive_language(lowered, learnt, rules):
     return out
 
 
-def language_rows(df, rules):
+def language_rows(df, rules, every=False):
     letters = F.col("text").rlike(r"\p{L}")
-    rows = df.select("doc_id", F.when(letters, F.lower("text")).alias("t"), "lang", F.coalesce(fold(4) != 2, F.lit(False)).alias("learn")).collect()
+    rows = df.select("doc_id", F.when(letters, F.lower("text")).alias("t"), "lang", (F.lit(every) | F.coalesce(fold(4) != 2, F.lit(False))).alias("learn")).collect()
     found = naive_language([r["t"] for r in rows], [(r["t"], r["lang"]) for r in rows if r["learn"] and r["t"] and r["lang"]], rules)
     return [(r["doc_id"], lang, score) for r, (lang, score) in zip(rows, found, strict=True)]
 
@@ -208,7 +208,7 @@ def test_pipeline_stage_by_stage(spark, plain, tmp_path, tokenizer):
     # language
     rules = langid.LanguageRules()
     stay = stages["language"](spark, good, "").cache()
-    clear = collections.Counter(d for d, lang, s in language_rows(good, rules) if lang != "und" and s >= rules.least_score)
+    clear = collections.Counter(d for d, lang, s in language_rows(good, rules, every=True) if lang != "und" and s >= rules.least_score)
     assert collections.Counter(r["doc_id"] for r in stay.collect()) == clear
     # near-duplicates: one row of each group and id
     near = stages["near_duplicates"](spark, stay, "").cache()
