@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import datetime as dt
 import json
-from dataclasses import dataclass, fields
-from decimal import Decimal
+from dataclasses import dataclass, fields, is_dataclass
+from decimal import Decimal, InvalidOperation
 from pathlib import Path
-from typing import Any, TypeVar
+from typing import Any, Literal, TypeVar, get_args, get_origin, get_type_hints
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -140,31 +140,103 @@ class Baseline:
     min_score: float = 0.35
 
 
+@dataclass(frozen=True)
+class Approval:
+    """Who accepted a file's values, when, and how firmly."""
+
+    by: str
+    on: dt.date
+    status: Literal["provisional", "final"]
+    reference: str
+
+
+@dataclass(frozen=True)
+class AlertConfig:
+    version: int
+    approval: Approval
+    value: ValueRule
+    velocity: VelocityRule
+
+
+@dataclass(frozen=True)
+class Currency:
+    label: str
+    iso: str
+    rate: Decimal
+
+
+@dataclass(frozen=True)
+class FxConfig:
+    version: int
+    approval: Approval
+    currencies: tuple[Currency, ...]
+
+
+@dataclass(frozen=True)
+class HolidayConfig:
+    first: int
+    last: int
+    days: tuple[dt.date, ...]
+
+
+class ConfigError(ValueError):
+    """A configuration file that is missing, is no JSON object or does not fit its schema."""
+
+
 T = TypeVar("T")
 
 
+def _read(value: Any, kind: Any, at: str) -> Any:
+    """value as the type asks; at: where it stands, for the error."""
+    if is_dataclass(kind):
+        if not isinstance(value, dict):
+            raise ConfigError(f"{at}: an object is expected")
+        types = get_type_hints(kind)
+        needed = {f.name for f in fields(kind)}
+        if problems := [f"unknown key {at}.{k}" for k in sorted(set(value) - needed)] + [f"missing key {at}.{k}" for k in sorted(needed - set(value))]:
+            raise ConfigError("; ".join(problems))
+        return kind(**{k: _read(v, types[k], f"{at}.{k}") for k, v in value.items()})
+    if get_origin(kind) is tuple:
+        if not isinstance(value, list):
+            raise ConfigError(f"{at}: a list is expected")
+        return tuple(_read(v, get_args(kind)[0], f"{at}[{i}]") for i, v in enumerate(value))
+    if get_origin(kind) is Literal:
+        if value not in get_args(kind):
+            raise ConfigError(f"{at}: one of {', '.join(map(str, get_args(kind)))} is expected")
+        return value
+    if kind in (Decimal, dt.date):
+        if not isinstance(value, str):
+            raise ConfigError(f"{at}: a {'decimal' if kind is Decimal else 'date'} is given as text")
+        try:
+            return Decimal(value) if kind is Decimal else dt.date.fromisoformat(value)
+        except (InvalidOperation, ValueError) as e:
+            raise ConfigError(f"{at}: {value!r} is no {'decimal' if kind is Decimal else 'date'}") from e
+    if type(value) is not kind or kind is str and not value.strip():
+        raise ConfigError(f"{at}: {'text' if kind is str else kind.__name__} is expected")
+    return value
+
+
+def load_config(path: str | Path, kind: type[T]) -> T:
+    """A configuration of nested dataclasses from a JSON file. Unknown and missing keys and wrong types are errors that name their place."""
+    name = Path(path).name
+    try:
+        given = json.loads(Path(path).read_text(encoding="utf-8"))
+    except OSError as e:
+        raise ConfigError(f"{name}: cannot be read ({e})") from e
+    except json.JSONDecodeError as e:
+        raise ConfigError(f"{name}: no valid JSON ({e})") from e
+    return _read(given, kind, name)
+
+
 def load_rules(path: str | Path, kind: type[T]) -> T:
-    """A rules dataclass from a JSON file; unknown and missing keys and wrong types are errors."""
-    given: dict[str, Any] = json.loads(Path(path).read_text(encoding="utf-8"))
-    known = {f.name: f for f in fields(kind)}  # type: ignore[arg-type]
-    if problems := sorted(set(given) ^ set(known)):
-        raise ValueError(f"unknown or missing keys: {', '.join(problems)}")
-    example = kind()
-    for name, value in given.items():
-        want = getattr(example, name)
-        if isinstance(want, Decimal):
-            if not isinstance(value, str):
-                raise TypeError(f"{name}: a decimal is given as text")
-            given[name] = Decimal(value)
-        elif isinstance(want, tuple):
-            given[name] = tuple(value)
-        elif type(value) is not type(want):
-            raise TypeError(f"{name}: {type(want).__name__} expected")
-    return kind(**given)
-
-
-def fx(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(a, b, Decimal(c)) for a, b, c in FX], "label STRING, iso STRING, rate DECIMAL(18,6)")
+    """A rules dataclass without nested parts; the same checks."""
+    return load_config(path, kind)
+
+
+def fx(spark: SparkSession, given: FxConfig | None = None) -> DataFrame:
+    """label, iso, rate: the fixed values, or those of a configuration."""
+    rows = [(c.label, c.iso, c.rate) for c in given.currencies] if given else [(a, b, Decimal(c)) for a, b, c in FX]
+    return spark.createDataFrame(rows, "label STRING, iso STRING, rate DECIMAL(18,6)")
 
 
 def payment_types(spark: SparkSession) -> DataFrame:

@@ -7,7 +7,7 @@ make a passage.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -65,6 +65,36 @@ def corpus_version(manifest: DataFrame) -> Column:
     return F.substring(F.sha2(F.array_join(pairs, "|"), 256), 1, 16)
 
 
+MANIFEST = "doc_id string, source_url string, downloaded_at timestamp, doc_sha256 string, local_filename string"
+
+
+def write_manifest(documents: DataFrame, path: str) -> None:
+    """The norms' manifest as JSON lines, in order of doc_id; ids are unique."""
+    names = [f.split(" ")[0] for f in MANIFEST.split(", ")]
+    if documents.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").limit(1).count():
+        raise ValueError("a doc_id is null or given twice")
+    documents.select(*names).coalesce(1).sortWithinPartitions("doc_id").write.mode("overwrite").json(path)
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The manifest; unknown or missing fields are errors."""
+    names = [f.split(" ")[0] for f in MANIFEST.split(", ")]
+    found = spark.read.json(path).columns
+    if problems := sorted(set(found) ^ set(names)):
+        raise ValueError(f"unknown or missing fields: {', '.join(problems)}")
+    return spark.read.schema(MANIFEST).json(path)
+
+
+def ingest_manifest(manifest: DataFrame, texts: DataFrame) -> DataFrame:
+    """Passages of the manifest's norms (texts: doc_id, text) under the version of its hashes: unchanged files keep their version. A norm without text is an error."""
+    missing = manifest.join(texts.where("text IS NOT NULL"), "doc_id", "left_anti").select("doc_id").limit(5).collect()
+    if missing:
+        raise ValueError(f"no text of {', '.join(r['doc_id'] for r in missing)}")
+    hashed = manifest.select("doc_id", F.col("doc_sha256").alias("sha256"))
+    version = hashed.agg(corpus_version(hashed)).first()[0]
+    return chunks(texts.join(manifest.select("doc_id", "source_url"), "doc_id").select("doc_id", "text", "source_url"), version)
+
+
 def ingest(texts: DataFrame) -> DataFrame:
     """Passages of all norms (doc_id, text, source_url) under the version that their hashes give. A corpus has a handful of norms."""
     hashed = texts.select("doc_id", F.sha2("text", 256).alias("sha256"))

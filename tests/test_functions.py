@@ -67,10 +67,10 @@ def test_rules_file(tmp_path):
     assert config.load_rules(p, config.ValueRule).least_brl == Decimal("10.00")
     for bad in ('{"rule_id": "x"}', '{"rule_id": "x", "least_brl": "1", "days": 7, "z": 1}'):
         p.write_text(bad)
-        with pytest.raises(ValueError, match="keys"):
+        with pytest.raises(ValueError, match="key"):
             config.load_rules(p, config.ValueRule)
     p.write_text('{"rule_id": "x", "least_brl": 10.0, "days": 7}')
-    with pytest.raises(TypeError):
+    with pytest.raises(ValueError, match="decimal"):
         config.load_rules(p, config.ValueRule)
 
 
