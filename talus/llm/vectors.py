@@ -8,9 +8,9 @@ a block of queries against a block of vectors. Only vectors whose upper bound
 reaches the query's (k+1)th best lower bound (one may be the query itself) are
 read exactly, best bound first, until no unread bound can enter the result.
 
-Queries come in blocks of bounded size that meet each block of vectors by a
-join on the query block's number; only for more queries than one block holds
-are there several copies of the (one byte a component) approximations. A first
+Queries come in blocks of bounded size. Each is broadcast (``QUERY_BYTES`` at most)
+to the approximations, one byte a component, which are stored once and stay where
+they are; for more queries than one block holds they are scanned again. A first
 pass over a few vectors gives each query a bound to begin with, and a task
 raises it from block to block. A query with many candidates left (one to which
 all vectors are alike, say) is dealt to several groups. Equal vectors are
@@ -186,12 +186,12 @@ _LONG = 2**63
 
 
 def _order(score: int) -> str:
-    """Text that sorts like whole numbers beyond the long range; empty within it."""
+    """Text that sorts like whole numbers beyond the long range, and between them within it."""
     if -_LONG <= score < _LONG:
-        return ""
+        return "1"
     digits = str(abs(score))
     text = f"{len(digits):06d}{digits}"
-    return text if score > 0 else text.translate(str.maketrans("0123456789", "9876543210"))
+    return f"2{text}" if score > 0 else "0" + text.translate(str.maketrans("0123456789", "9876543210"))
 
 
 def _certain(k: int):
@@ -231,7 +231,11 @@ def top_k(embeddings: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1
     first = vectors.where(F.pmod(F.xxhash64("row"), F.lit(one_in)) == 0).select("row", "dim", "vec").mapInArrow(_approximations, _GRID).withColumn("qb", each_block)
     begun = stored(dealt.groupBy("dim", "qb").cogroup(first.groupBy("dim", "qb")).applyInPandas(_first_bounds(k), _QUERIES))
     grids = vectors.select("row", "dim", "vec").mapInArrow(_approximations, _GRID)
-    near = stored(grids.withColumn("qb", each_block).join(begun, ["dim", "qb"]).mapInArrow(_scan(k), "q_row long, row long, upper double, reached double"))
+    grids = stored(grids) if blocks > 1 else grids
+    near = None
+    for b in range(blocks):  # of at most about QUERY_BYTES each
+        part = grids.join(F.broadcast(begun.where(F.col("qb") == b)), "dim").mapInArrow(_scan(k), "q_row long, row long, upper double, reached double")
+        near = stored(part) if near is None else near.unionByName(stored(part))
     # the best bound that any task reached; a query's candidates beyond CANDIDATES go to several groups
     per_query = stored(near.groupBy("q_row").agg(F.max("reached").alias("most"), F.ceil(F.count("*") / CANDIDATES).cast("int").alias("groups")))
     kept = near.join(checked_broadcast(per_query, n_asked), "q_row").where(F.col("upper") >= F.col("most")).select("q_row", "row", "upper", F.pmod(F.xxhash64("row"), F.col("groups")).cast("int").alias("part"))

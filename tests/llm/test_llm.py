@@ -205,6 +205,7 @@ def test_vectors(spark, monkeypatch):
     v += [(400, v[0][1]), (500, v[0][1]), (500, v[0][1]), (600, None), (601, [1.0, None] + [0.0] * 6), (602, [float("nan")] * 8), (603, []), (None, v[3][1]), (700, [1.0, 2.0]), (701, [2.0, 1.0])]
     v += [(800, [0.0] * 8), (900, [1e300] * 8), (901, [-1e200, *[1.0] * 7]), (902, [3e9, *[-1.0] * 7]), (903, [1e307] * 8)]
     v += [(1000, [1.0]), (1001, [200000.0]), (1002, [300000.0]), (1100, [-1e250]), (1101, [1e250]), (1102, [2e250])]
+    v += [(1199, [-(2.0**23)]), (1200, [2.0**21]), (1201, [-(2.0**22)])]  # products of exactly -2^63 and below it
     df = spark.createDataFrame(v, "vec_id LONG, embedding ARRAY<DOUBLE>").withColumn("row", F.lit(1)).withColumn("q_row", F.lit(2)).repartition(3)
     good = {(i, tuple(x)) for i, x in v if i is not None and x and all(c is not None and math.isfinite(1024 * c) for c in x)}
     ints = [(i, [int(math.floor(1024 * c)) for c in x]) for i, x in sorted(good)]
@@ -215,7 +216,7 @@ def test_vectors(spark, monkeypatch):
             want += [(q, n, i, max(-(2**63), min(2**63 - 1, -s))) for n, (s, i) in enumerate(scores, 1)]
     got = vectors.top_k(df, df.where("vec_id % 100 = 0")).collect()
     assert sorted(map(tuple, got)) == sorted(want)
-    for name, small in (("BLOCK", 16), ("QUERY_BYTES", 100), ("FIRST", 20), ("CANDIDATES", 5)):
+    for name, small in (("BLOCK", 16), ("QUERY_BYTES", 300), ("FIRST", 20), ("CANDIDATES", 5)):
         monkeypatch.setattr(vectors, name, small)
     assert sorted(map(tuple, vectors.top_k(df, df.where("vec_id % 100 = 0")).collect())) == sorted(want)
     assert vectors.top_k(df.limit(0), df.limit(0)).count() == 0
