@@ -50,6 +50,18 @@ def sample_accounts(classes: DataFrame, rules: SplitRules = SplitRules()) -> Dat
     return classes.where("suspicious").unionByName(first_by_hash(classes.where("NOT suspicious"), rules.normal_accounts, rules.seed, "account"))
 
 
+def of_accounts(tx: DataFrame, accounts: DataFrame, sides: tuple[str, ...] = ("sender_account",)) -> DataFrame:
+    """Transactions one of whose sides is among the accounts (account): each side is a half join, so no row is given twice."""
+    found = None
+    for i, side in enumerate(sides):
+        rest = tx
+        for other in sides[:i]:  # already found by that side; a null side is none of the accounts
+            rest = rest.join(accounts.select(F.col("account").alias(other)), other, "left_anti")
+        part = rest.join(accounts.select(F.col("account").alias(side)), side, "left_semi").select(*tx.columns)
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
 def split_accounts(classes: DataFrame, rules: SplitRules = SplitRules()) -> DataFrame:
     """classes with ``golden``: a share of each class, rounded half to even; the others are for development."""
     sizes = {r["suspicious"]: r["n"] for r in classes.groupBy("suspicious").agg(F.count("*").alias("n")).collect()}  # two rows

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -85,6 +86,13 @@ def reidentified(rows: DataFrame, column: str, tokens: DataFrame) -> DataFrame:
     return rows.join(tokens.select("alert_id", F.col("token").alias(column), "value"), ["alert_id", column], "left")
 
 
+def vault_key(password: str, salt: bytes, rounds: int = 600_000) -> bytes:
+    """A key of 32 bytes from a password, by PBKDF2 with SHA-256, on the driver: the password never reaches a task."""
+    if not password or len(salt) < 16:
+        raise ValueError("a password and a salt of 16 bytes are needed")
+    return hashlib.pbkdf2_hmac("sha256", password.encode(), salt, rounds, 32)
+
+
 def encrypted(tokens: DataFrame, key: Column) -> DataFrame:
     """The lookup table with its values under AES-GCM; a value's ciphertext differs from run to run."""
     return tokens.withColumn("value", F.base64(F.aes_encrypt(F.encode("value", "UTF-8"), key, F.lit("GCM"))))

@@ -721,6 +721,15 @@ def account_sample(spark: SparkSession, d: str) -> DataFrame:
     return sampling.sample_accounts(sampling.account_classes(_tx(spark, d), "holder"))
 
 
+@query(f"""{TX}, s AS (SELECT account FROM (SELECT holder AS account, MAX(is_laundering) AS l FROM tx GROUP BY 1) WHERE l = 1)
+SELECT holder, COUNT(*) AS n, SUM(amount_brl) AS total_brl FROM tx WHERE sender_account IN (SELECT account FROM s) OR receiver_account IN (SELECT account FROM s) GROUP BY 1""")
+def sampled_transactions(spark: SparkSession, d: str) -> DataFrame:
+    """Transactions with a suspicious account on either side."""
+    tx = store.staged(_tx(spark, d))
+    some = sampling.account_classes(tx, "holder").where("suspicious")
+    return sampling.of_accounts(tx, some, ("sender_account", "receiver_account")).groupBy("holder").agg(F.count("*").alias("n"), F.sum("amount_brl").alias("total_brl"))
+
+
 _EVENTS_VELOCITY = """WITH ev AS (SELECT 'U' || user_id AS account, ts, COUNT(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS n,
  MIN(ts) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS start FROM events),
 g AS (SELECT account, ts, start, lead(ts) OVER (PARTITION BY account ORDER BY ts) AS nxt FROM ev WHERE n >= 6)

@@ -147,3 +147,22 @@ def test_golden_manifest_from_sample_to_disk(spark, tmp_path):
     store.write_golden(changed, payload, str(tmp_path / "changed"))
     with pytest.raises(ValueError, match="hash"):
         store.read_golden(spark, str(tmp_path / "changed"))
+
+
+def test_transactions_of_accounts_come_once(spark):
+    tx = spark.createDataFrame([(1, "a", "b"), (2, "b", "a"), (3, "a", "a"), (4, "c", "d"), (5, None, "a"), (6, "c", None), (7, "d", "b")], "i INT, sender_account STRING, receiver_account STRING")
+    some = spark.createDataFrame([("a",), ("b",), (None,)], "account STRING")
+    both = sampling.of_accounts(tx, some, ("sender_account", "receiver_account"))
+    assert sorted(r["i"] for r in both.collect()) == [1, 2, 3, 5, 7] and both.columns == tx.columns
+    assert sorted(r["i"] for r in sampling.of_accounts(tx, some).collect()) == [1, 2, 3]
+
+
+def test_vault_under_a_derived_key(spark):
+    key = sanitize.vault_key("secret", b"0123456789abcdef", 1000)
+    assert len(key) == 32 and key == sanitize.vault_key("secret", b"0123456789abcdef", 1000) != sanitize.vault_key("other", b"0123456789abcdef", 1000)
+    tokens = spark.createDataFrame([("a1", "CONTA", "x-1", "CONTA_01"), ("a1", "NOME", None, "NOME_01")], "alert_id STRING, kind STRING, value STRING, token STRING")
+    hidden = sanitize.encrypted(tokens, F.lit(key))
+    assert [r["value"] for r in sanitize.decrypted(hidden, F.lit(key)).orderBy("kind").collect()] == ["x-1", None]
+    assert sanitize.decrypted(hidden, F.lit(sanitize.vault_key("other", b"0123456789abcdef", 1000))).where("value IS NOT NULL").count() == 0
+    with pytest.raises(ValueError, match="salt"):
+        sanitize.vault_key("secret", b"short")
