@@ -32,19 +32,13 @@ def vector_top_k(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """query_id, chunk_id, score, pos: the k passages of greatest cosine for each query, ties to the smaller chunk_id.
 
     queries: query_id, vector, corpus_version; chunks: chunk_id, vector,
-    corpus_version. A query set against all passages of its version. Each of
-    ``parts`` hash parts of the passages keeps its own best k, so the final
-    ranking sees k rows from each part.
+    corpus_version. A query set against all passages of its version, without an index:
+    queries are broadcast in blocks, passages stay where they are, and each task keeps
+    k of each query. ``pivots.search`` is the indexed form.
     """
-    check_search(k)
-    parts = 16
-    length = lambda v: F.sqrt(dot(F.col(v), F.col(v)))  # noqa: E731  once for each vector, not for each pair
-    q = queries.select("query_id", F.col("vector").alias("q"), length("vector").alias("q_length"), "corpus_version").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    c = chunks.select("chunk_id", F.col("vector").alias("c"), length("vector").alias("c_length"), "corpus_version").withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int"))
-    scored = q.join(c, ["corpus_version", "part"]).select("query_id", "part", "chunk_id", F.try_divide(dot(F.col("q"), F.col("c")), F.col("q_length") * F.col("c_length")).alias("score"))
-    best = lambda *by: F.row_number().over(W.partitionBy(*by).orderBy(F.desc("score"), "chunk_id"))
-    near = scored.withColumn("pos", best("query_id", "part")).where(F.col("pos") <= k)
-    return near.withColumn("pos", best("query_id")).where(F.col("pos") <= k).select("query_id", "chunk_id", "score", "pos")
+    from talus.operators import pivots
+
+    return pivots.scan(queries, chunks, k).select("query_id", "chunk_id", "score", "pos")
 
 
 def bm25(candidates: DataFrame, tokens: Column, query_tokens: Column, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:

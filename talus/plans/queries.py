@@ -627,10 +627,11 @@ def log_extension(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(found, "log STRING, n LONG, root STRING, extended BOOLEAN")
 
 
-@query("SELECT substr(sha256(string_agg(r_regionkey || ':' || sha256(r_name), '|' ORDER BY r_regionkey)), 1, 16) AS corpus_version FROM region")
+@query("SELECT p_brand AS corpus, COUNT(*) AS n_documents, substr(sha256(string_agg(CAST(p_partkey AS VARCHAR) || ':' || sha256(p_name), '|' ORDER BY CAST(p_partkey AS VARCHAR))), 1, 16) AS corpus_version FROM part GROUP BY 1")
 def corpus_version(spark: SparkSession, d: str) -> DataFrame:
-    m = D.read(spark, d, "region").select(F.col("r_regionkey").cast("string").alias("doc_id"), F.sha2("r_name", 256).alias("sha256"))
-    return m.agg(norms.corpus_version(m).alias("corpus_version"))
+    """Parts as documents, a corpus for each brand."""
+    m = D.read(spark, d, "part").select(F.col("p_brand").alias("corpus"), F.col("p_partkey").cast("string").alias("doc_id"), F.sha2("p_name", 256).alias("sha256"))
+    return m.groupBy("corpus").agg(F.count("*").alias("n_documents"), norms.corpus_version(m).alias("corpus_version"))
 
 
 @query("""SELECT from_node, to_node, COUNT(*) AS n FROM (SELECT unnest(['sanitizer','triage','triage','investigation']) AS from_node, unnest(['triage','dossier','retrieval','retrieval']) AS to_node, unnest(['DT-04.v1','DT-06.v1','x','DT-09[].v1']) AS s) e
@@ -660,10 +661,18 @@ def model_output_check(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("event_type", "answer").agg(F.count("*").alias("n"), F.count("o").alias("n_valid"), F.max(F.when(F.col("o").isNotNull(), told)).alias("output"))
 
 
-@query("SELECT n AS number, r AS roman FROM (VALUES (1,'I'),(4,'IV'),(9,'IX'),(14,'XIV'),(40,'XL'),(90,'XC'),(1994,'MCMXCIV')) t(n, r)")
+# Roman digits of thousands, hundreds, tens and ones.
+_ROMAN = [["", "M", "MM", "MMM"], ["", "C", "CC", "CCC", "CD", "D", "DC", "DCC", "DCCC", "CM"], ["", "X", "XX", "XXX", "XL", "L", "LX", "LXX", "LXXX", "XC"], ["", "I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX"]]
+
+
+@query(f"""WITH n AS (SELECT o_orderkey, o_orderkey % 3999 + 1 AS number FROM orders)
+SELECT o_orderkey, CAST(number AS INT) AS number, {' || '.join(f"{digits}[number // {10 ** (3 - i)} % 10 + 1]" for i, digits in enumerate(_ROMAN))} AS roman FROM n""")
 def roman_numerals(spark: SparkSession, d: str) -> DataFrame:
-    df = spark.createDataFrame([(r,) for r in ("I", "IV", "IX", "XIV", "XL", "XC", "MCMXCIV")], "roman STRING")
-    return df.select(text.roman(F.col("roman")).alias("number"), "roman")
+    """Numbers of the orders written in roman digits, and read again."""
+    n = F.col("o_orderkey") % 3999 + 1
+    digit = lambda i: F.element_at(F.array(*[F.lit(x) for x in _ROMAN[i]]), (F.floor(n / 10 ** (3 - i)) % 10 + 1).cast("int"))
+    df = D.read(spark, d, "orders").select("o_orderkey", F.concat(*[digit(i) for i in range(4)]).alias("roman"))
+    return df.select("o_orderkey", text.roman(F.col("roman")).cast("int").alias("number"), "roman")
 
 
 @query("""WITH a AS (SELECT event_id % 1000 AS k, CASE WHEN event_id % 1000 % 3 = 0 AND event_id % 7 = 0 THEN 'q' ELSE 'p' END AS p FROM events), g AS (SELECT k, MIN(p) AS lo, MAX(p) AS hi FROM a GROUP BY 1)
