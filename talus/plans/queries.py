@@ -494,6 +494,18 @@ def norm_chunks(spark: SparkSession, d: str) -> DataFrame:
     return norms.chunks(norm, "v1").select("chunk_id", "article_ref", "text_sha256")
 
 
+@query(r"""WITH l AS (SELECT 'D' || doc_id AS doc, len(string_split(text, chr(10))) AS n, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+g AS (SELECT doc, regexp_replace(line, '^\s+|\s+$', '', 'g') AS t, doc || '/art1/p' || (i + 3) // 4 || CASE i % 4 WHEN 1 THEN CASE WHEN i < n THEN '/caput' ELSE '' END WHEN 2 THEN '/i4' WHEN 3 THEN '/i4/a' ELSE '/i4/b' END AS ref FROM l
+ UNION ALL SELECT 'D' || doc_id, 'caput', 'D' || doc_id || '/art1/caput' FROM documents WHERE text IS NOT NULL)
+SELECT doc || ':' || ref || ':v1' AS chunk_id, ref AS article_ref, sha256(trim(regexp_replace(nfc_normalize(t), '\s+', ' ', 'g'))) AS text_sha256 FROM g WHERE t <> ''""")
+def norm_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Documents set as articles of paragraphs, incisos and alíneas: of every four lines one begins a paragraph, one an inciso of it, two are its alíneas."""
+    mark = lambda i: F.when(i % 4 == 0, F.concat(F.lit("§ "), F.floor(i / 4 + 1).cast("string"), F.lit("º "))).when(i % 4 == 1, F.lit("IV - ")).when(i % 4 == 2, F.lit("a) ")).otherwise(F.lit("b) "))
+    body = F.array_join(F.transform(F.split("text", "\n"), lambda line, i: F.concat(mark(i), line)), "\n")
+    norm = D.read(spark, d, "documents").select(F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("doc_id"), F.concat(F.lit("Art. 1º "), F.lit("caput\n"), body).alias("text"), F.lit("local").alias("source_url"))
+    return norms.chunks(norm, "v1").select("chunk_id", "article_ref", "text_sha256")
+
+
 @query("SELECT o_orderkey, o_orderdate + INTERVAL 5 DAY AS prazo_interno, o_orderdate + INTERVAL 45 DAY AS prazo_regulatorio FROM orders")
 def deadlines(spark: SparkSession, d: str) -> DataFrame:
     return D.read(spark, d, "orders").select("o_orderkey", *dates.deadlines(F.col("o_orderdate")))
