@@ -10,9 +10,10 @@ id, gives the logits of the classes. The second step, and that logarithm, are
 counts over the whole corpus, smoothed.
 
 Ids are grouped to classes and states by k-means over their neighbours' counts.
-The layer is trained on windows of every text to learn from: tasks train copies
-of the model on their own windows and the copies are averaged, a table's row by
-how often each task saw it, for some rounds.
+The layer is trained on every id of the texts to learn from, in windows that
+stand back to back: tasks train copies of the model on their own windows and the
+copies are averaged, a table's row by how often each task saw it, for some
+rounds, each with its share of the windows.
 
 Scoring cuts texts into windows of ``window`` inputs that overlap by
 ``window - stride``: each id is scored once, in the window in which it has most
@@ -40,8 +41,9 @@ class AttentionRules:
     neighbours: int = 200
     window: int = 24
     stride: int = 16
-    #: A text to learn from gives a training window for so many of its ids, and one at least.
-    every: int = 256
+    #: None: training windows stand back to back, and the rounds share them out, so that every id is trained on once.
+    #: A number: in each round a text gives a window for so many of its ids, and one at least (trials on small tables).
+    every: int | None = None
     rounds: int = 2
     batch: int = 64
     rate: float = 0.1
@@ -71,6 +73,11 @@ def arrays(model: Model) -> dict[str, np.ndarray]:
     return {f.name: getattr(model, f.name) for f in fields(model)}
 
 
+def _by_row(model: Model) -> np.ndarray:
+    """Query, key and value of each row, side by side."""
+    return np.concatenate([np.asarray(getattr(model, k), np.float32) for k in BY_ROW], axis=1)
+
+
 def _groups(x: np.ndarray, weight: np.ndarray, k: int) -> np.ndarray:
     """k-means from the first k rows."""
     if not len(x):
@@ -120,13 +127,6 @@ def with_direct(model: Model, follow: np.ndarray) -> Model:
     return Model(**arrays(model) | {"direct": np.log(share).astype(np.float32)})
 
 
-def _row_sums(x: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Distinct rows and the sums of each one's values."""
-    order = np.argsort(x, kind="stable")
-    first = np.flatnonzero(np.append(True, np.diff(x[order]) != 0))
-    return x[order][first], [np.add.reduceat(v[order], first) for v in values]
-
-
 def training_windows(sizes: np.ndarray, phase: float, every: int) -> np.ndarray:
     """Places where the windows of texts begin (ids in each text given): one for each ``every`` ids, one at least, evenly spread."""
     n = np.maximum(1, sizes // every)
@@ -135,41 +135,79 @@ def training_windows(sizes: np.ndarray, phase: float, every: int) -> np.ndarray:
     return first + np.floor((k + phase) * np.repeat(sizes / n, n)).astype(np.int64)
 
 
+def back_to_back(part: int, parts: int, size: int, width: int) -> np.ndarray:
+    """Places of every ``parts``-th window of a stream of so many ids, from window ``part``: over all parts each id is in one."""
+    return np.arange(part * width, size, parts * width)
+
+
+def _row_sums(x: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows and the sums of each one's values."""
+    order = np.argsort(x.astype(np.uint16) if int(x.max(initial=0)) < 65536 else x, kind="stable")  # short ones are sorted by radix
+    x = x[order]
+    first = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+    return x[first], np.add.reduceat(values.take(order, axis=0), first)
+
+
 def train(model: Model, batches: Iterator[tuple[np.ndarray, np.ndarray]], rules: AttentionRules) -> tuple[dict[str, np.ndarray], np.ndarray, int]:
     """Trained tables, how often each row was seen, windows: gradient steps (Adagrad) over batches of inputs and wanted classes, each (windows, window)."""
-    p = {k: np.array(getattr(model, k), np.float32) for k in BY_ROW + WHOLE}
+    length, d = rules.window, rules.dims
+    by_row = _by_row(model)  # one table: rows are read and written once
+    p = {k: np.array(getattr(model, k), np.float32) for k in WHOLE}
     squares = {k: np.full_like(w, 1e-4) for k, w in p.items()}
+    row_squares = np.full_like(by_row, 1e-4)
     seen, n = np.zeros(rules.rows, np.int64), 0
-    length, d = rules.window, rules.dims
     t, j = np.mgrid[:length, :length]
     mask, gap = np.where(j <= t, 0, -1e9).astype(np.float32), np.abs(t - j)
+    small_direct = float(model.direct.max()) < 20 and float(model.direct.max(1).min()) > -20
+    one_s, one_z, one_d = (np.ones(k, np.float32) for k in (length, rules.classes, d))  # sums as products: faster over short rows
 
-    def step(name: str, g: np.ndarray, at: np.ndarray | slice = slice(None)) -> None:
-        squares[name][at] += g * g
-        p[name][at] -= rules.rate * g / np.sqrt(squares[name][at])
+    def step(name: str, g: np.ndarray) -> None:
+        squares[name] += g * g
+        p[name] -= rules.rate * g / np.sqrt(squares[name])
 
     for x, y in batches:
-        q, k, v = p["query"][x], p["key"][x], p["value"][x]
-        s = q @ k.transpose(0, 2, 1) + (p["distance"][gap] + mask)
-        s = np.exp(s - s.max(2, keepdims=True))
-        s /= s.sum(2, keepdims=True)
+        rows = x.ravel()
+        each = len(rows)
+        qkv = by_row.take(rows, axis=0).reshape(-1, length, 3 * d)
+        q, k, v = qkv[..., :d], qkv[..., d : 2 * d], qkv[..., 2 * d :]
+        s = q @ k.transpose(0, 2, 1)
+        s += p["distance"][gap]
+        if not (s.max() < 60 and s.min() > -60):  # with smaller logits exp() needs no maximum taken off first
+            s -= (s + mask).max(2, keepdims=True)
+        s += mask
+        np.exp(s, out=s)
+        s *= (1 / (s @ one_s))[..., None]
         o = s @ v
-        z = (o @ p["out"] + model.direct[x]).reshape(-1, rules.classes)
-        z = np.exp(z - z.max(1, keepdims=True))
-        z /= z.sum(1, keepdims=True)
-        z[np.arange(len(z)), y.ravel()] -= 1
-        z /= len(z)
-        do = (z @ p["out"].T).reshape(o.shape)
-        ds = s * (do @ v.transpose(0, 2, 1))
-        ds -= s * ds.sum(2, keepdims=True)
-        rows, sums = _row_sums(x.ravel(), *(g.reshape(-1, d) for g in (ds @ k, ds.transpose(0, 2, 1) @ q, s.transpose(0, 2, 1) @ do)))
-        step("out", o.reshape(-1, d).T @ z)
+        z = o @ p["out"]  # window by window, as are the products below: small ones stay in the cache
+        small = small_direct and z.max() < 40 and z.min() > -40
+        z += model.direct.take(rows, axis=0).reshape(z.shape)
+        if not small:
+            z -= z.max(2, keepdims=True)
+        np.exp(z, out=z)
+        total = z @ one_z  # the gradient is z / total, less one at the wanted class, over all places
+        z.reshape(-1)[np.arange(each) * rules.classes + y.ravel()] -= total.ravel()
+        scale = (1 / (each * total))[..., None]
+        do = z @ np.ascontiguousarray(p["out"].T)
+        do *= scale
+        g_out = ((o * scale).transpose(0, 2, 1) @ z).sum(0)
+        ds = do @ v.transpose(0, 2, 1)
+        ds -= ((do * o) @ one_d)[..., None]
+        ds *= s
+        g = np.empty_like(qkv)
+        for i, (left, right) in enumerate(((ds, k), (ds.transpose(0, 2, 1), q), (s.transpose(0, 2, 1), do))):
+            np.matmul(left, right, out=g[..., i * d : (i + 1) * d])
+        step("out", g_out)
         step("distance", np.bincount(gap.ravel(), weights=ds.sum(0).ravel(), minlength=length).astype(np.float32))
-        for name, g in zip(BY_ROW, sums, strict=True):
-            step(name, g, rows)
-        seen += np.bincount(x.ravel(), minlength=rules.rows)
+        own, g = _row_sums(rows, g.reshape(each, 3 * d))
+        squared = row_squares.take(own, axis=0)
+        squared += g * g
+        row_squares[own] = squared
+        g *= rules.rate
+        g /= np.sqrt(squared, out=squared)
+        by_row[own] = by_row.take(own, axis=0) - g
+        seen += np.bincount(rows, minlength=rules.rows)
         n += len(x)
-    return p, seen, n
+    return {k: by_row[:, i * d : (i + 1) * d] for i, k in enumerate(BY_ROW)} | p, seen, n
 
 
 def weighted(tables: dict[str, np.ndarray], seen: np.ndarray, n: int) -> np.ndarray:
@@ -213,29 +251,34 @@ def class_logs(model: Model, ids: np.ndarray, starts: np.ndarray, lengths: np.nd
     pull = norm(model.value, 1) * norm(model.out, 0)
     small_z = pull < 40 and float(model.direct.max()) < 20 and float(model.direct.max(1).min()) > -20
     one_s, one_z = np.ones(length, np.float32), np.ones(rules.classes, np.float32)  # sums as products: faster over short rows
+    by_row, d = _by_row(model), rules.dims
     for w in range(0, len(at), windows):
         here = at[w : w + windows]
         place = here[:, None] + np.arange(-ahead, stride)
         begin, end = starts[text[w : w + windows]][:, None], ends[text[w : w + windows]][:, None]
-        row = x[np.clip(place, 0, len(ids) - 1)]
-        s = model.query[row[:, ahead:]] @ model.key[row].transpose(0, 2, 1)
+        row = x.take(np.clip(place, 0, len(ids) - 1))
+        qkv = by_row.take(row, axis=0)
+        s = qkv[:, ahead:, :d] @ qkv[..., d : 2 * d].transpose(0, 2, 1)
         s += bias
         if (early := here - ahead < begin[:, 0]).any():
             s[early] += np.where(place[early] < begin[early], np.float32(-1e9), np.float32(0))[:, None, :]
         if not small_s:
             s -= s.max(2, keepdims=True)
         np.exp(s, out=s)
-        o = s @ model.value[row]
+        o = s @ qkv[..., 2 * d :]
         o /= (s @ one_s)[..., None]
-        scored = place[:, ahead:]
+        scored, row = place[:, ahead:], row[:, ahead:]
         valid = scored < end
-        whole = valid.all()
-        own = scored.ravel() if whole else scored[valid]
-        z = (o.reshape(-1, o.shape[2]) if whole else o[valid]) @ model.out
-        z += model.direct.take(x[own], axis=0)
+        own = scored[valid]
+        if 2 * len(own) > valid.size:  # nearly all: window by window, what lies beyond a text's end is left out after that
+            z = (o @ model.out).reshape(-1, rules.classes)
+            row, wanted = row.ravel(), cls.take(np.minimum(scored, len(ids) - 1).ravel())
+        else:
+            z, row, wanted, valid = o[valid] @ model.out, row[valid], cls[own], np.ones((len(own), 1), bool)
+        z += model.direct.take(row, axis=0)
         if not small_z:
             z -= z.max(1, keepdims=True)
-        picked = z[np.arange(len(own)), cls[own]]
+        picked = z.reshape(-1)[np.arange(len(z)) * rules.classes + wanted]
         np.exp(z, out=z)
-        out[own] = picked - np.log(z @ one_z)
+        out[own] = (picked - np.log(z @ one_z))[valid.ravel()]
     return out

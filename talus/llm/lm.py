@@ -48,6 +48,7 @@ import math
 import unicodedata
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -58,7 +59,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talus.llm.attention import AttentionRules, Model, arrays, averaged, class_logs, grouped, train, training_windows, weighted, with_direct
+from talus.llm.attention import AttentionRules, Model, arrays, averaged, back_to_back, class_logs, grouped, train, training_windows, weighted, with_direct
 from talus.llm.shared import stored
 from talus.llm.subwords import encoder
 
@@ -86,6 +87,8 @@ class LMRules:
 
 
 END_TOKEN = "<|endoftext|>"
+#: Cached words of a coding task: blocks share almost half of theirs, and two blocks' words have to fit.
+CACHE_WORDS = 500_000
 
 
 def _packed(x: np.ndarray) -> bytes:
@@ -97,11 +100,11 @@ def _unpacked(raw: bytes, kind: str) -> np.ndarray:
 
 
 def _end_id(path: str) -> int:
-    return encoder(path)._tokenizer.token_to_id(END_TOKEN)
+    return encoder(path, CACHE_WORDS)._tokenizer.token_to_id(END_TOKEN)
 
 
 def _vocabulary(path: str) -> int:
-    return encoder(path)._tokenizer.get_vocab_size()
+    return encoder(path, CACHE_WORDS)._tokenizer.get_vocab_size()
 
 
 def _save(model: Model) -> bytes:
@@ -164,15 +167,18 @@ class _Numbers(dict):
         return n
 
 
+def numbered(texts: pa.Array, index: _Numbers) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' words between ASCII white space, A-Z in lower case, as numbers of index, which takes in new ones in UTF-8; words of each text."""
+    words = [t.lower().split() if t else [] for t in texts.cast(pa.binary()).to_pylist()]
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    return np.fromiter(map(index.__getitem__, chain.from_iterable(words)), np.int64, int(lengths.sum())), lengths
+
+
 def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Distinct words between ASCII white space, A-Z in lower case; all texts' words as numbers of these; words of each text."""
-    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
-    flat = split.flatten()
-    some = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0  # white space at a text's ends splits off empty strings
-    total = np.concatenate([[0], np.cumsum(some)])
-    offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
-    coded = flat.filter(pa.array(some)).dictionary_encode()
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.diff(total[offsets])
+    """Distinct words of texts; all texts' words as numbers of these; words of each text."""
+    index = _Numbers()
+    codes, lengths = numbered(texts, index)
+    return [w.decode() for w in index], codes, lengths
 
 
 def unusual(word: str) -> int:
@@ -200,20 +206,20 @@ def coded_blocks(docs: DataFrame, path: str, rules: LMRules) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        encode = encoder(path)
+        encode = encoder(path, CACHE_WORDS)
         kind = np.uint16 if _vocabulary(path) <= 65536 else np.uint32
         number = TaskContext.get().partitionId() << 32
         index, held, size = _Numbers(), [], 0
 
         def flush() -> pa.RecordBatch:
             nonlocal index, held, size, number
-            words = list(index)
-            raw = [w.encode() for w in words]
+            raw = list(index)
+            words = [w.decode() for w in raw]
             hashes = np.fromiter(map(xxhash.xxh64_intdigest, raw), np.uint64, len(words))
             order = np.argsort(hashes, kind="stable")
             rank = np.empty(len(words), np.uint32)
             rank[order] = np.arange(len(words), dtype=np.uint32)
-            ids, offsets = encode.encode_words(words)
+            ids, offsets = encode.encode_words(raw)
             lens = np.diff(offsets)
             sizes = np.fromiter(map(len, raw), np.int64, len(words))
             odd = np.fromiter(map(unusual, words), np.int64, len(words))
@@ -238,14 +244,13 @@ def coded_blocks(docs: DataFrame, path: str, rules: LMRules) -> DataFrame:
             column = batch.column("text")
             bytes_of = pc.fill_null(pc.binary_length(column), 0).to_numpy()
             for a, b in text_ranges(bytes_of):
-                words, own, lengths = words_of(column.slice(a, b - a))
-                number_of = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
-                held.append((doc[a:b], flags[a:b], number_of[own], lengths))
+                held.append((doc[a:b], flags[a:b], *numbered(column.slice(a, b - a), index)))
                 size += int(bytes_of[a:b].sum())
                 if size >= rules.block_bytes or len(index) >= rules.block_words:
                     yield flush()
         if held:
             yield flush()
+        encode.forget()
 
     return docs.select("doc_id", "text", "held_out", "learn").mapInArrow(task, _BLOCK)
 
@@ -264,6 +269,7 @@ class Block:
     """A coded block: texts (doc, flags, words in each) and words (ids, bytes, count) by number; the last word is the texts' end."""
 
     def __init__(self, r: dict, path: str):
+        self._path = path
         k, docs, lens = r["n"], _unpacked(r["docs"], "<i8"), _unpacked(r["lens"], "<u4").astype(np.int64)
         n = len(lens) // 2
         self.doc, self.flags, self.lengths = docs[:k], docs[k : 2 * k], docs[2 * k :]
@@ -311,17 +317,22 @@ class Block:
         ids, total = self.expand(own.ravel()), self.lens[own].sum(1)
         return ids[(np.cumsum(total) - total + at - last[first] + self.lens[own[:, 0]])[:, None] + np.arange(width)]
 
+    def tiled(self, words: np.ndarray, part: int, parts: int, width: int) -> np.ndarray:
+        """ids (windows, width + 1) of every ``parts``-th window of the texts' ids, from window ``part``: width ids each and the one before.
+
+        Over all parts each id comes after another in one window; the last window goes on at the stream's beginning.
+        """
+        ids = np.append(_end_id(self._path), self.expand(words))
+        at = back_to_back(part, parts, len(ids) - 1, width)
+        return np.lib.stride_tricks.sliding_window_view(np.append(ids, np.resize(ids, width)), width + 1)[at]
+
 
-def over_blocks(blocks: DataFrame, path: str, rules: LMRules, make: Callable[[], tuple[Callable[[int, Block], None], Callable[[], np.ndarray]]]) -> DataFrame:
-    """A table of each task: make gives (what is to be done with each block, the task's vector at the end)."""
+def over_blocks(blocks: DataFrame, path: str, rules: LMRules, table: Callable[[Iterator[tuple[int, Block]]], np.ndarray]) -> DataFrame:
+    """The tables of all tasks: table gives a task's vector from its blocks, which it takes one at a time."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        each, done = make()
-        for batch in batches:
-            for i in range(batch.num_rows):
-                r = batch.slice(i, 1).to_pylist()[0]
-                each(r["block"], Block(r, path))
-        yield from _table_rows(done(), rules)
+        rows = (batch.slice(i, 1).to_pylist()[0] for batch in batches for i in range(batch.num_rows))
+        yield from _table_rows(table((r["block"], Block(r, path)) for r in rows), rules)
 
     return blocks.select("block", "n", "docs", "codes", "ids", "lens").mapInArrow(task, _TABLE)
 
@@ -330,18 +341,16 @@ def id_counts(blocks: DataFrame, path: str, rules: LMRules) -> DataFrame:
     """Table of how often each id occurs, then of how often it ends a word."""
     v = _vocabulary(path)
 
-    def make():
-        table = np.zeros(2 * v, np.int64)
-
-        def each(_: int, b: Block) -> None:
+    def table(own: Iterator[tuple[int, Block]]) -> np.ndarray:
+        out = np.zeros(2 * v, np.int64)
+        for _, b in own:
             _, count = b.to_learn()
-            np.add.at(table, b.ids, np.repeat(count, b.lens))
+            np.add.at(out, b.ids, np.repeat(count, b.lens))
             some = np.flatnonzero(b.lens[:-1])
-            np.add.at(table, v + b.ids[b.starts[some] + b.lens[some] - 1], count[some])
-
-        return each, lambda: table
+            np.add.at(out, v + b.ids[b.starts[some] + b.lens[some] - 1], count[some])
+        return out
 
-    return over_blocks(blocks, path, rules, make)
+    return over_blocks(blocks, path, rules, table)
 
 
 def neighbours(blocks: DataFrame, path: str, count: np.ndarray, rules: LMRules) -> DataFrame:
@@ -351,19 +360,17 @@ def neighbours(blocks: DataFrame, path: str, count: np.ndarray, rules: LMRules)
     top = np.argsort(-count, kind="stable")[:k]
     place[top] = np.arange(len(top))
 
-    def make():
-        table = np.zeros(v * 2 * k, np.int32)
-
-        def each(_: int, b: Block) -> None:
+    def table(own: Iterator[tuple[int, Block]]) -> np.ndarray:
+        out = np.zeros(v * 2 * k, np.int32)
+        for _, b in own:
             before, ids, times = b.pairs(*b.to_learn())
             for side, x, of in ((0, before, ids), (k, ids, before)):
                 at = place[x]
                 some = np.flatnonzero(at >= 0)
-                np.add.at(table, of[some].astype(np.int64) * 2 * k + side + at[some], times[some].astype(np.int32))
-
-        return each, lambda: table
+                np.add.at(out, of[some].astype(np.int64) * 2 * k + side + at[some], times[some].astype(np.int32))
+        return out
 
-    return over_blocks(blocks, path, rules, make)
+    return over_blocks(blocks, path, rules, table)
 
 
 def grouped_ids(near: DataFrame, count: np.ndarray, rules: LMRules) -> Model:
@@ -385,43 +392,44 @@ def corpus_counts(blocks: DataFrame, path: str, model: Model, rules: LMRules) ->
     """Table of (state of the id before, id), then (row of the id before, class)."""
     a, v, raw = rules.attention, _vocabulary(path), _save(model)
 
-    def make():
+    def table(own: Iterator[tuple[int, Block]]) -> np.ndarray:
         m = _load(raw)
-        table = np.zeros(a.states * v + a.rows * a.classes, np.int64)
+        out = np.zeros(a.states * v + a.rows * a.classes, np.int64)
         state, row = m.state.astype(np.int64) * v, a.states * v + m.row.astype(np.int64) * a.classes
-
-        def each(_: int, b: Block) -> None:
+        for _, b in own:
             before, ids, times = b.pairs(*b.to_learn())
-            np.add.at(table, state[before] + ids, times)
-            np.add.at(table, row[before] + m.cls[ids], times)
-
-        return each, lambda: table
+            np.add.at(out, state[before] + ids, times)
+            np.add.at(out, row[before] + m.cls[ids], times)
+        return out
 
-    return over_blocks(blocks, path, rules, make)
+    return over_blocks(blocks, path, rules, table)
 
 
 def trained(blocks: DataFrame, path: str, model: Model, turn: int, rules: LMRules) -> Model:
-    """The model after one round: every task trains a copy on the windows of its blocks, and the copies are averaged."""
+    """The model after one round: every task trains a copy on the round's windows of its blocks, and the copies are averaged.
+
+    The rounds share out the windows, which stand back to back, so over all rounds every id is trained on.
+    """
     a, raw = rules.attention, _save(model)
 
-    def make():
+    def table(own: Iterator[tuple[int, Block]]) -> np.ndarray:
         m = _load(raw)
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def each(number: int, b: Block) -> None:
-            rng = np.random.default_rng([a.seed, turn, number])
-            ids = rng.permutation(b.windows(b.to_learn()[0], a.every, rng.random(), a.window + 1))
-            found.append((m.row[ids[:, :-1]], m.cls[ids[:, 1:]]))
 
         def batches() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            for x, y in found:
-                for i in range(0, len(x), a.batch):
-                    yield x[i : i + a.batch], y[i : i + a.batch]
-
-        return each, lambda: weighted(*train(m, batches(), a))
+            for number, b in own:
+                rng, words = np.random.default_rng([a.seed, turn, number]), b.to_learn()[0]
+                if a.every:
+                    ids = rng.permutation(b.windows(words, a.every, rng.random(), a.window + 1))
+                else:
+                    ids = rng.permutation(b.tiled(words, turn, a.rounds, a.window))
+                for i in range(0, len(ids), a.batch):
+                    some = ids[i : i + a.batch]
+                    yield m.row[some[:, :-1]], m.cls[some[:, 1:]]
+
+        return weighted(*train(m, batches(), a))
 
     size = 1 + a.rows + 3 * a.rows * a.dims + a.window + a.dims * a.classes
-    total = dense(summed(over_blocks(blocks, path, rules, make), rules), size)
+    total = dense(summed(over_blocks(blocks, path, rules, table), rules), size)
     return averaged(model, total) if total[0] else model
 
 
@@ -509,13 +517,15 @@ class WordModel:
 def copied(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Of the words before each one in its text, the share that are the same; 0 for a text's first."""
     text = np.repeat(np.arange(len(starts)), lengths)
-    order = np.lexsort((words, text))
-    w, t = words[order], text[order]
-    place = np.arange(len(order))
+    place = np.arange(len(text))
+    bits = len(text).bit_length()
+    key = np.sort((words.astype(np.int64) << bits) | place)  # by word, then place: one text's stand together
+    order, w = key & ((1 << bits) - 1), key >> bits
+    t = text[order]
     first = np.maximum.accumulate(np.where(np.append(True, (w[1:] != w[:-1]) | (t[1:] != t[:-1])) if len(order) else place, place, 0))
     same = np.empty(len(order))
     same[order] = place - first
-    return same / np.maximum(1, np.arange(len(order)) - starts[text])
+    return same / np.maximum(1, place - starts[text])
 
 
 def text_logs(models: list[np.ndarray], bytewise: np.ndarray, starts: np.ndarray, lengths: np.ndarray, rules: LMRules) -> np.ndarray:

@@ -70,6 +70,10 @@ class WordEncoder:
         self._ends = ends if ends.any() else None
         self._reset()
 
+    def forget(self) -> None:
+        """Drop the cached pieces, so that a worker's later tasks have their memory."""
+        self._reset()
+
     def _ids(self, piece: str) -> list[int]:
         return self._tokenizer.encode(piece, add_special_tokens=False).ids
 
@@ -162,9 +166,9 @@ class WordEncoder:
             counts[i + 1] = len(pieces)
         return self._gathered(pieces, counts)
 
-    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode_words(self, words: list[str | bytes]) -> tuple[np.ndarray, np.ndarray]:
         """As ``encode``, of texts without ASCII white space: each is one cached piece."""
-        return self._gathered([w.encode() for w in words], np.arange(len(words) + 1))
+        return self._gathered([w.encode() if isinstance(w, str) else w for w in words], np.arange(len(words) + 1))
 
     def _gathered(self, pieces: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pieces, and offsets at these numbers of pieces."""

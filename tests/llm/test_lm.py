@@ -122,6 +122,32 @@ def test_every_text_trains():
     assert np.bincount(owner).tolist() == [1, 1, 1, 1, 2, 15]
 
 
+def test_windows_back_to_back_hold_every_id_once():
+    for size, width, parts in ((1000, 24, 2), (1, 24, 2), (48, 24, 3), (49, 24, 1), (0, 24, 2)):
+        at = np.concatenate([attention.back_to_back(part, parts, size, width) for part in range(parts)])
+        held = (at[:, None] + np.arange(width)).ravel()
+        assert sorted(held[held < size]) == list(range(size)) and len(at) == -(-size // width)
+
+
+def test_every_id_of_every_text_trains(spark, tokenizer, monkeypatch):
+    """Under the rules' own windows and rounds, the rows that training saw are those of all ids of the texts to learn from."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 500, n)) for n in (3000, 1, 40, 700)] + ["", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id LONG, text STRING").coalesce(1).withColumn("held_out", F.lit(False)).withColumn("learn", F.lit(True))
+    own = attention.AttentionRules()
+    rules = lm.LMRules(attention=attention.AttentionRules(rows=400, heads=6, classes=16, states=12, neighbours=10))
+    blocks = stored(lm.coded_blocks(rows, tokenizer, rules))
+    found = []
+    monkeypatch.setattr(lm, "averaged", lambda m, total: found.append((m, total)) or attention.averaged(m, total))
+    lm.fitted(blocks, tokenizer, rules)
+    b = lm.Block(blocks.first().asDict(), tokenizer)
+    closed = np.append(lm._end_id(tokenizer), b.expand(b.to_learn()[0]))
+    windows = -(-(len(closed) - 1) // own.window)
+    want = np.bincount(found[0][0].row[closed[np.arange(windows * own.window) % len(closed)]], minlength=400)  # the last window goes on at the beginning
+    assert len(found) == own.rounds and sum(total[0] for _, total in found) == windows
+    assert (sum(total[1:401] for _, total in found) == want).all()
+
+
 @pytest.fixture(scope="module")
 def learnt(spark, tokenizer):
     texts = ["the cat and the dog and the horse don't"] * 20 + ["a lion saw the tiger, didn't it? É"] * 5 + ["one whale", "", None]
