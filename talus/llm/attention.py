@@ -141,64 +141,88 @@ def back_to_back(part: int, parts: int, size: int, width: int) -> np.ndarray:
 
 
 def _row_sums(x: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct rows and the sums of each one's values."""
+    """Distinct rows and the sums of each one's values (float32, an even number of columns)."""
     order = np.argsort(x.astype(np.uint16) if int(x.max(initial=0)) < 65536 else x, kind="stable")  # short ones are sorted by radix
     x = x[order]
     first = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
-    return x[first], np.add.reduceat(values.take(order, axis=0), first)
+    pairs = values.view(np.complex64).take(order, axis=0)  # two columns are added as one complex number: half as many short loops
+    return x[first], np.add.reduceat(pairs, first).view(np.float32)
+
+
+def _in_range(sums: np.ndarray) -> bool:
+    """Whether sums of exponentials have neither run over nor under; nothing but these needs a maximum taken off the logits first."""
+    return bool(sums.min() > 1e-25 and sums.max() < 1e25)
 
 
 def train(model: Model, batches: Iterator[tuple[np.ndarray, np.ndarray]], rules: AttentionRules) -> tuple[dict[str, np.ndarray], np.ndarray, int]:
     """Trained tables, how often each row was seen, windows: gradient steps (Adagrad) over batches of inputs and wanted classes, each (windows, window)."""
-    length, d = rules.window, rules.dims
+    length, d, classes = rules.window, rules.dims, rules.classes
     by_row = _by_row(model)  # one table: rows are read and written once
+    if d % 2:
+        by_row = np.pad(by_row, ((0, 0), (0, 1)))  # _row_sums adds pairs of columns
+    width = by_row.shape[1]
     p = {k: np.array(getattr(model, k), np.float32) for k in WHOLE}
     squares = {k: np.full_like(w, 1e-4) for k, w in p.items()}
     row_squares = np.full_like(by_row, 1e-4)
     seen, n = np.zeros(rules.rows, np.int64), 0
     t, j = np.mgrid[:length, :length]
     mask, gap = np.where(j <= t, 0, -1e9).astype(np.float32), np.abs(t - j)
-    small_direct = float(model.direct.max()) < 20 and float(model.direct.max(1).min()) > -20
-    one_s, one_z, one_d = (np.ones(k, np.float32) for k in (length, rules.classes, d))  # sums as products: faster over short rows
+    one_s, one_z, one_d = (np.ones(k, np.float32) for k in (length, classes, d))  # sums as products: faster over short rows
+    most = rules.batch * length
+    logits, follow, at = np.empty((most, classes), np.float32), np.empty((most, classes), np.float32), np.arange(most) * classes
 
     def step(name: str, g: np.ndarray) -> None:
         squares[name] += g * g
         p[name] -= rules.rate * g / np.sqrt(squares[name])
 
-    for x, y in batches:
+    def one_batch(x: np.ndarray, y: np.ndarray) -> None:
+        nonlocal logits, follow, at, seen, n
         rows = x.ravel()
         each = len(rows)
-        qkv = by_row.take(rows, axis=0).reshape(-1, length, 3 * d)
-        q, k, v = qkv[..., :d], qkv[..., d : 2 * d], qkv[..., 2 * d :]
+        if each > len(logits):
+            logits, follow, at = np.empty((each, classes), np.float32), np.empty((each, classes), np.float32), np.arange(each) * classes
+        qkv = by_row.take(rows, axis=0).reshape(-1, length, width)
+        q, k, v = (qkv[..., i * d : (i + 1) * d] for i in range(3))
+        bias = p["distance"][gap] + mask
         s = q @ k.transpose(0, 2, 1)
-        s += p["distance"][gap]
-        if not (s.max() < 60 and s.min() > -60):  # with smaller logits exp() needs no maximum taken off first
-            s -= (s + mask).max(2, keepdims=True)
-        s += mask
+        s += bias
         np.exp(s, out=s)
-        s *= (1 / (s @ one_s))[..., None]
+        total = s @ one_s
+        if not _in_range(total):
+            s = q @ k.transpose(0, 2, 1) + bias
+            s -= s.max(2, keepdims=True)
+            np.exp(s, out=s)
+            total = s @ one_s
+        share = (1 / total)[..., None]
         o = s @ v
-        z = o @ p["out"]  # window by window, as are the products below: small ones stay in the cache
-        small = small_direct and z.max() < 40 and z.min() > -40
-        z += model.direct.take(rows, axis=0).reshape(z.shape)
-        if not small:
-            z -= z.max(2, keepdims=True)
+        o *= share
+        flat, z = o.reshape(each, d), logits[:each]
+        np.matmul(flat, p["out"], out=z)  # one product for all windows
+        z += model.direct.take(rows, axis=0, out=follow[:each], mode="clip")
         np.exp(z, out=z)
         total = z @ one_z  # the gradient is z / total, less one at the wanted class, over all places
-        z.reshape(-1)[np.arange(each) * rules.classes + y.ravel()] -= total.ravel()
-        scale = (1 / (each * total))[..., None]
-        do = z @ np.ascontiguousarray(p["out"].T)
+        if not _in_range(total):
+            z = flat @ p["out"] + model.direct[rows]
+            z -= z.max(1, keepdims=True)
+            np.exp(z, out=z)
+            total = z @ one_z
+        z.reshape(-1)[at[:each] + y.ravel()] -= total
+        scale = (1 / (each * total))[:, None]
+        do = z @ p["out"].T
         do *= scale
-        g_out = ((o * scale).transpose(0, 2, 1) @ z).sum(0)
+        g_out = (z.T @ (flat * scale)).T
+        do = do.reshape(o.shape)
+        do *= share  # s is not divided by its sums: what it is multiplied with is
         ds = do @ v.transpose(0, 2, 1)
         ds -= ((do * o) @ one_d)[..., None]
         ds *= s
         g = np.empty_like(qkv)
+        g[..., 3 * d :] = 0
         for i, (left, right) in enumerate(((ds, k), (ds.transpose(0, 2, 1), q), (s.transpose(0, 2, 1), do))):
             np.matmul(left, right, out=g[..., i * d : (i + 1) * d])
         step("out", g_out)
         step("distance", np.bincount(gap.ravel(), weights=ds.sum(0).ravel(), minlength=length).astype(np.float32))
-        own, g = _row_sums(rows, g.reshape(each, 3 * d))
+        own, g = _row_sums(rows, g.reshape(each, width))
         squared = row_squares.take(own, axis=0)
         squared += g * g
         row_squares[own] = squared
@@ -207,6 +231,10 @@ def train(model: Model, batches: Iterator[tuple[np.ndarray, np.ndarray]], rules:
         by_row[own] = by_row.take(own, axis=0) - g
         seen += np.bincount(rows, minlength=rules.rows)
         n += len(x)
+
+    with np.errstate(over="ignore"):  # what runs over is computed again
+        for x, y in batches:
+            one_batch(x, y)
     return {k: by_row[:, i * d : (i + 1) * d] for i, k in enumerate(BY_ROW)} | p, seen, n
 
 
@@ -234,14 +262,15 @@ def class_logs(model: Model, ids: np.ndarray, starts: np.ndarray, lengths: np.nd
     """ln p(class of each id | ids before it in its text). starts, lengths: of the texts in ids, one after another."""
     length, stride = rules.window, rules.stride
     ahead = length - stride
-    x = np.empty(len(ids) + 1, np.int32)  # inputs: the id before; a text's first input is start_id
-    x[0], x[1:] = model.row[start_id], model.row[ids]
-    x[starts[lengths > 0]] = model.row[start_id]
+    x = np.full(ahead + len(ids) + length, model.row[start_id], np.int32)  # inputs: the id before; a text's first input is start_id
+    x[ahead + 1 : ahead + 1 + len(ids)] = model.row[ids]
+    x[ahead + starts[lengths > 0]] = model.row[start_id]
     per_text = -(-lengths // stride)
     text = np.repeat(np.arange(len(lengths)), per_text)
     at = starts[text] + stride * (np.arange(len(text)) - np.repeat(np.cumsum(per_text) - per_text, per_text))
     out = np.empty(len(ids), np.float32)
-    cls = model.cls[ids]
+    cls = np.append(model.cls[ids], np.zeros(stride, model.cls.dtype))
+    inputs, classes = (np.lib.stride_tricks.sliding_window_view(v, n) for v, n in ((x, length), (cls, stride)))  # by a window's first scored place
     t, j = np.mgrid[ahead:length, :length]
     bias = np.where(j <= t, model.distance[np.clip(t - j, 0, length - 1)], np.float32(-1e9)).astype(np.float32)
     ends = starts + lengths
@@ -252,33 +281,33 @@ def class_logs(model: Model, ids: np.ndarray, starts: np.ndarray, lengths: np.nd
     small_z = pull < 40 and float(model.direct.max()) < 20 and float(model.direct.max(1).min()) > -20
     one_s, one_z = np.ones(length, np.float32), np.ones(rules.classes, np.float32)  # sums as products: faster over short rows
     by_row, d = _by_row(model), rules.dims
+    back, on, flat = np.arange(-ahead, stride), np.arange(stride), np.arange(windows * stride) * rules.classes
+    logits, follow = (np.empty((windows * stride, rules.classes), np.float32) for _ in range(2))
     for w in range(0, len(at), windows):
         here = at[w : w + windows]
-        place = here[:, None] + np.arange(-ahead, stride)
-        begin, end = starts[text[w : w + windows]][:, None], ends[text[w : w + windows]][:, None]
-        row = x.take(np.clip(place, 0, len(ids) - 1))
+        row, wanted = inputs[here], classes[here]
+        begin, left = starts[text[w : w + windows]], ends[text[w : w + windows]] - here
         qkv = by_row.take(row, axis=0)
         s = qkv[:, ahead:, :d] @ qkv[..., d : 2 * d].transpose(0, 2, 1)
         s += bias
-        if (early := here - ahead < begin[:, 0]).any():
-            s[early] += np.where(place[early] < begin[early], np.float32(-1e9), np.float32(0))[:, None, :]
+        if (early := here - ahead < begin).any():
+            s[early] += np.where(back < (begin - here)[early, None], np.float32(-1e9), np.float32(0))[:, None, :]
         if not small_s:
             s -= s.max(2, keepdims=True)
         np.exp(s, out=s)
         o = s @ qkv[..., 2 * d :]
         o /= (s @ one_s)[..., None]
-        scored, row = place[:, ahead:], row[:, ahead:]
-        valid = scored < end
-        own = scored[valid]
-        if 2 * len(own) > valid.size:  # nearly all: window by window, what lies beyond a text's end is left out after that
-            z = (o @ model.out).reshape(-1, rules.classes)
-            row, wanted = row.ravel(), cls.take(np.minimum(scored, len(ids) - 1).ravel())
+        row, valid = row[:, ahead:], on < left[:, None]
+        own = (here[:, None] + on)[valid]
+        if 2 * len(own) > valid.size:  # nearly all: what lies beyond a text's end is left out after that
+            o, row, wanted = o.reshape(-1, d), row.ravel(), wanted.ravel()
         else:
-            z, row, wanted, valid = o[valid] @ model.out, row[valid], cls[own], np.ones((len(own), 1), bool)
-        z += model.direct.take(row, axis=0)
+            o, row, wanted, valid = o[valid], row[valid], wanted[valid], np.ones((len(own), 1), bool)
+        z = np.matmul(o, model.out, out=logits[: len(o)])  # one product for all windows
+        z += model.direct.take(row, axis=0, out=follow[: len(o)], mode="clip")
         if not small_z:
             z -= z.max(1, keepdims=True)
-        picked = z.reshape(-1)[np.arange(len(z)) * rules.classes + wanted]
+        picked = z.reshape(-1)[flat[: len(z)] + wanted]
         np.exp(z, out=z)
         out[own] = (picked - np.log(z @ one_z))[valid.ravel()]
     return out

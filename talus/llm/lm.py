@@ -48,7 +48,6 @@ import math
 import unicodedata
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -159,37 +158,79 @@ def dense(tables: DataFrame, size: int) -> np.ndarray:
 # ---- coding
 
 
-class _Numbers(dict):
-    """Numbers of words in order of appearance."""
-
-    def __missing__(self, word):
-        n = self[word] = len(self)
-        return n
-
-
-def numbered(texts: pa.Array, index: _Numbers) -> tuple[np.ndarray, np.ndarray]:
-    """All texts' words between ASCII white space, A-Z in lower case, as numbers of index, which takes in new ones in UTF-8; words of each text."""
-    words = [t.lower().split() if t else [] for t in texts.cast(pa.binary()).to_pylist()]
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    return np.fromiter(map(index.__getitem__, chain.from_iterable(words)), np.int64, int(lengths.sum())), lengths
+class _Numbers:
+    """Words of texts as numbers in order of appearance: Arrow tells apart a range's words, then those of all ranges."""
+
+    def __init__(self):
+        self._known, self._new = pa.array([], pa.string()), []  # distinct words; of later ranges: own distinct words, numbers of these
+        self._codes: list[np.ndarray] = []
+        self._most = 0
+
+    def add(self, texts: pa.Array) -> np.ndarray:
+        """Take in the texts' words between ASCII white space, A-Z in lower case; words of each text."""
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        words = lists.flatten()
+        some = pc.not_equal(words, "")  # white space at a text's ends leaves an empty one
+        before = np.append(0, np.cumsum(np.asarray(some)))
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+        told = words.filter(some).dictionary_encode()
+        self._new.append((told.dictionary, told.indices.to_numpy()))
+        self._most += len(told.dictionary)
+        return np.diff(before[ends], prepend=0).astype(np.int64)
+
+    def _settle(self) -> None:
+        told = pa.concat_arrays([self._known, *(words for words, _ in self._new)]).dictionary_encode()
+        number, at = told.indices.to_numpy().astype(np.int64), len(self._known)
+        for words, codes in self._new:
+            self._codes.append(number[at : at + len(words)][codes])
+            at += len(words)
+        self._known, self._new, self._most = told.dictionary, [], len(told.dictionary)
+
+    def as_many_as(self, n: int) -> bool:
+        """Whether there are n distinct words; ranges are put together only where they could make so many."""
+        if self._most >= n:
+            self._settle()
+        return self._most >= n
+
+    def all(self) -> tuple[pa.Array, np.ndarray]:
+        """The distinct words, and all words as numbers of these."""
+        self._settle()
+        return self._known, np.concatenate([np.zeros(0, np.int64), *self._codes])
+
+
+def _listed(words: pa.Array) -> list:
+    """Words without white space as a list; as_py() of one string is faster than that of each word."""
+    if not len(words):
+        return []
+    mark = "\n" if pa.types.is_string(words.type) else b"\n"
+    return pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), pa.scalar(mark, words.type))[0].as_py().split(mark)
 
 
 def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct words of texts; all texts' words as numbers of these; words of each text."""
     index = _Numbers()
-    codes, lengths = numbered(texts, index)
-    return [w.decode() for w in index], codes, lengths
+    lengths = index.add(texts)
+    distinct, codes = index.all()
+    return _listed(distinct), codes, lengths
 
 
 def unusual(word: str) -> int:
     """Code points that are none of those that the word's ids stand for: capitals, marks to be composed, blanks, special tokens."""
     if word.isascii():
         return word.count("<|")
-    if word == word.lower() and unicodedata.is_normalized("NFC", word) and not any(c.isspace() for c in word):
+    if word == word.lower() and unicodedata.is_normalized("NFC", word) and word.split() == [word]:  # no blank in it
         return word.count("<|")
     return max(1, word.count("<|") + sum(1 for c in word if c != c.lower() or c.isspace() or unicodedata.combining(c)))
 
 
+def all_unusual(words: pa.Array) -> np.ndarray:
+    """``unusual`` of each word."""
+    out = pc.count_substring(words, "<|").to_numpy().astype(np.int64)
+    other = np.flatnonzero(~np.asarray(pc.string_is_ascii(words)))
+    out[other] = [unusual(w) for w in _listed(words.take(pa.array(other)))]
+    return out
+
+
 def _expand(codes: np.ndarray, ids: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """The ids of words given by number."""
     n = lens[codes]
@@ -213,20 +254,18 @@ def coded_blocks(docs: DataFrame, path: str, rules: LMRules) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             nonlocal index, held, size, number
-            raw = list(index)
-            words = [w.decode() for w in raw]
+            words, codes = index.all()
+            raw = _listed(words.cast(pa.binary()))
             hashes = np.fromiter(map(xxhash.xxh64_intdigest, raw), np.uint64, len(words))
             order = np.argsort(hashes, kind="stable")
             rank = np.empty(len(words), np.uint32)
             rank[order] = np.arange(len(words), dtype=np.uint32)
             ids, offsets = encode.encode_words(raw)
             lens = np.diff(offsets)
-            sizes = np.fromiter(map(len, raw), np.int64, len(words))
-            odd = np.fromiter(map(unusual, words), np.int64, len(words))
-            points = np.fromiter(map(len, words), np.int64, len(words))
+            sizes, points = (f(words).to_numpy().astype(np.int64) for f in (pc.binary_length, pc.utf8_length))
+            odd = all_unusual(words)
             spelling = np.maximum(points - odd, 0) * math.log10(1 - 2 * rules.variant) + odd * math.log10(rules.variant / 64)
-            doc, flags, lengths = (np.concatenate([h[i] for h in held]) for i in (0, 1, 3))
-            codes = np.concatenate([h[2] for h in held])
+            doc, flags, lengths = (np.concatenate([h[i] for h in held]) for i in range(3))
             learn = np.bincount(codes[np.repeat(flags >= 4, lengths)], minlength=len(words))
             sorted_ids = _expand(order, ids, offsets[:-1], lens)
             columns = [hashes[order], learn[order], np.concatenate([doc, flags, lengths]), rank[codes], sorted_ids.astype(kind), np.concatenate([lens[order], sizes[order]]).astype(np.uint32), spelling[order].astype(np.float32)]
@@ -244,9 +283,9 @@ def coded_blocks(docs: DataFrame, path: str, rules: LMRules) -> DataFrame:
             column = batch.column("text")
             bytes_of = pc.fill_null(pc.binary_length(column), 0).to_numpy()
             for a, b in text_ranges(bytes_of):
-                held.append((doc[a:b], flags[a:b], *numbered(column.slice(a, b - a), index)))
+                held.append((doc[a:b], flags[a:b], index.add(column.slice(a, b - a))))
                 size += int(bytes_of[a:b].sum())
-                if size >= rules.block_bytes or len(index) >= rules.block_words:
+                if size >= rules.block_bytes or index.as_many_as(rules.block_words):
                     yield flush()
         if held:
             yield flush()
@@ -541,11 +580,17 @@ def text_logs(models: list[np.ndarray], bytewise: np.ndarray, starts: np.ndarray
         first = np.cumsum(n) - n
         i = np.repeat(starts[own] + at - first, n) + np.arange(int(n.sum()))
         share = (1 - rules.byte_share) * told[own] / words[own, None]
-        parts = [np.repeat(share[:, m], n) * p[i] for m, p in enumerate(models)]
-        whole = sum(parts) + rules.byte_share * bytewise[i]
+        parts = [np.repeat(share[:, m], n) for m in range(len(models))]
+        for part, p in zip(parts, models, strict=True):
+            part *= p.take(i)
+        whole = bytewise.take(i)
+        whole *= rules.byte_share
+        for part in parts:
+            whole += part
         out[own] += np.add.reduceat(np.log(whole), first)
         for m, part in enumerate(parts):
-            told[own, m] += np.add.reduceat(part / whole, first)
+            part /= whole
+            told[own, m] += np.add.reduceat(part, first)
         words[own] += n
         at, size = at + size, min(2 * size, rules.renew or size)
     return out

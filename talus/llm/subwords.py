@@ -27,6 +27,7 @@ JOINED = 100
 _MARK = "\x01"
 _SPECIAL = "<|"
 _WORD_END = "</w>"
+_ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 #: Punctuation that may follow a word's letters.
 _TAIL = b'.,;:!?$%&*#"()-'
 
@@ -68,6 +69,10 @@ class WordEncoder:
         ends = np.zeros(max(vocabulary.values()) + 1, bool)
         ends[[i for t, i in vocabulary.items() if t.endswith(_WORD_END)]] = True
         self._ends = ends if ends.any() else None
+        rules = self._tokenizer.normalizer
+        self._bare = Tokenizer.from_file(path)  # for lower-case ASCII letters, which the normaliser leaves alone
+        if rules is None or rules.normalize_str(_ALPHABET) == _ALPHABET:
+            self._bare.normalizer = None
         self._reset()
 
     def forget(self) -> None:
@@ -77,8 +82,8 @@ class WordEncoder:
     def _ids(self, piece: str) -> list[int]:
         return self._tokenizer.encode(piece, add_special_tokens=False).ids
 
-    def _batch(self, texts: list[str]) -> list:
-        return self._tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []
+    def _batch(self, texts: list[str], bare: bool = False) -> list:
+        return (self._bare if bare else self._tokenizer).encode_batch_fast(texts, add_special_tokens=False) if texts else []
 
     def _reset(self) -> None:
         self._code = _Codes()
@@ -102,33 +107,46 @@ class WordEncoder:
 
         Letters with punctuation after them are looked up apart, as the pre-tokenizer
         parts them. A word of letters alone ends in the only id with the word end's
-        suffix, which parts such words again. Other pieces get a mark after each.
+        suffix, which parts such words again; in lower-case ASCII it needs no normaliser.
+        Other pieces get a mark after each.
         """
         new, code = self._code.new, self._code
-        first, plain, rest, joint = self._n, [], [], []
-        for i, piece in enumerate(new):  # grows by heads and tails
-            head = piece.rstrip(_TAIL)
-            if self._ends is None or not _letters(head.decode(errors="replace")):
-                rest.append(i)
-            elif len(head) == len(piece):
-                plain.append(i)
-            else:
-                joint += (first + i, code[head], code[piece[len(head) :]])
-        pieces = [p.decode(errors="replace") for p in new]
+        first, tail = self._n, _TAIL.decode()
+        bare, plain, rest, joint, pieces = [], [], [], [], []
+        while len(pieces) < len(new):  # grows by heads and tails
+            at, some = len(pieces), [p.decode(errors="replace") for p in new[len(pieces) :]]
+            pieces += some
+            whole = pa.array(some, pa.string())
+            heads = pc.ascii_rtrim(whole, characters=tail)
+            cut, ascii_head = (np.asarray(x) for x in (pc.not_equal(heads, whole), pc.string_is_ascii(heads)))
+            low = np.asarray(pc.ascii_is_lower(heads))
+            letters = np.asarray(pc.ascii_is_alpha(heads))
+            other = np.flatnonzero(~ascii_head)
+            letters[other] = [_letters(some[i].rstrip(tail)) for i in other.tolist()]
+            letters &= self._ends is not None
+            rest += (at + np.flatnonzero(~letters)).tolist()
+            bare += (at + np.flatnonzero(letters & ~cut & low & ascii_head)).tolist()
+            plain += (at + np.flatnonzero(letters & ~cut & ~(low & ascii_head))).tolist()
+            parted = np.flatnonzero(letters & cut)
+            sizes = pc.binary_length(heads).to_numpy()[parted].tolist()
+            for i, size in zip((at + parted).tolist(), sizes, strict=True):
+                piece = new[i]
+                joint += (first + i, code[piece[:size]], code[piece[size:]])
         new.clear()
         self._n += len(pieces)
         if self._n > len(self._lens):
             self._starts, self._lens = (np.resize(x, max(2 * len(x), self._n)) for x in (self._starts, self._lens))
-        groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
-        for at in range(0, len(groups), 20):
-            some = groups[at : at + 20]
-            for group, got in zip(some, self._batch([" ".join([pieces[i] for i in g]) for g in some]), strict=True):
-                ids = np.array(got.ids, np.int32)
-                ends = np.flatnonzero(self._ends[ids])
-                if len(ends) == len(group):  # no word has fewer, so each has one
-                    self._add(first + np.array(group), ids, np.diff(ends, prepend=-1))
-                else:
-                    rest += group
+        for kind in (bare, plain):
+            groups = [kind[i : i + JOINED] for i in range(0, len(kind), JOINED)]
+            for at in range(0, len(groups), 20):
+                some = groups[at : at + 20]
+                for group, got in zip(some, self._batch([" ".join([pieces[i] for i in g]) for g in some], kind is bare), strict=True):
+                    ids = np.array(got.ids, np.int32)
+                    ends = np.flatnonzero(self._ends[ids])
+                    if len(ends) == len(group):  # no word has fewer, so each has one
+                        self._add(first + np.array(group), ids, np.diff(ends, prepend=-1))
+                    else:
+                        rest += group
         groups = [rest[i : i + JOINED] for i in range(0, len(rest), JOINED)]
         for at in range(0, len(groups), 20):
             some = groups[at : at + 20]

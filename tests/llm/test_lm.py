@@ -241,3 +241,46 @@ def test_attention_helps_on_held_out_texts(spark, tokenizer):
     stream, n = b.expand(words), np.diff(np.cumsum(b.lens[words])[words == b.end], prepend=0)
     logs = [lm.WordModel(m, counts, ids, end, rules).id_logs(stream, np.cumsum(n) - n, n).mean() for m in (model, dataclasses.replace(model, out=np.zeros_like(model.out)))]
     assert logs[0] > logs[1] + 0.02
+
+
+def test_words_are_numbered_over_ranges():
+    """Ranges of texts give the numbers that all texts give at once, and are put together only where the bound could be reached."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"W{x}é" for x in rng.integers(0, 90, n)) + " " for n in (40, 0, 300, 7)] + [None, " <| x<|y É "]
+    column = pa.array(texts, pa.string())
+    index = lm._Numbers()
+    lengths = np.concatenate([index.add(column.slice(a, 2)) for a in (0, 2, 4)])
+    assert not index.as_many_as(10_000) and len(index._new) == 3
+    assert index.as_many_as(50) and not index._new
+    distinct, codes = index.all()
+    want, want_codes, want_lengths = lm.words_of(column)
+    assert distinct.to_pylist() == want and (codes == want_codes).all() and (lengths == want_lengths).all()
+    assert want == list(dict.fromkeys(w.decode() for t in texts for w in words(t)))
+    odd = pa.array([*want, "a b", "é", "<|<|é"])
+    assert lm.all_unusual(odd).tolist() == [lm.unusual(w) for w in odd.to_pylist()]
+
+
+def test_large_logits_train_as_in_plain_arithmetic():
+    """Where exponentials would run over, the maximum is taken off: tables stay finite and follow the loss."""
+    rules = attention.AttentionRules(rows=12, dims=4, classes=5, heads=2, states=4, neighbours=4, window=5, stride=3)
+    rng = np.random.default_rng(3)
+    m = attention.with_direct(attention.grouped(rng.random(9), rng.random((9, 8)).astype(np.float32), rules), rng.random((12, 5)))
+    x, y = rng.integers(0, 12, (2, 5)), rng.integers(0, 5, (2, 5))
+    shifted = dataclasses.replace(m, direct=m.direct + np.float32(200))
+    plain, large = (attention.train(k, iter([(x, y)]), rules)[0] for k in (m, shifted))
+    assert all(np.isfinite(large[k]).all() and np.abs(plain[k] - large[k]).max() < 1e-3 for k in plain)
+    steep = dataclasses.replace(m, query=m.query * 300, key=m.key * 300)
+    assert all(np.isfinite(w).all() for w in attention.train(steep, iter([(x, y)]), rules)[0].values())
+
+
+def test_lower_case_ascii_letters_need_no_normaliser(tokenizer):
+    from tokenizers import Tokenizer
+
+    from talus.llm.subwords import WordEncoder
+
+    e, t = WordEncoder(tokenizer), Tokenizer.from_file(tokenizer)
+    assert e._bare.normalizer is None
+    some = ["anblewh", "thonre,", "Anly", "été", "É.", "éa", "x<|endoftext|>", "...", "don't", "l'été", "a1b", "ﬁn", "ß", "x\x01y", "straße!"]
+    ids, offsets = e.encode_words(some)
+    for w, a, b in zip(some, offsets[:-1], offsets[1:], strict=True):
+        assert ids[a:b].tolist() == t.encode(w, add_special_tokens=False).ids, w
