@@ -66,6 +66,17 @@ def test_drawn_documents_are_valid_and_unique(spark):
     assert all(r["v"] and r["w"] for r in rows) and len({r["cpf"] for r in rows}) == len({r["cnpj"] for r in rows}) == 3000
 
 
+def test_a_drawn_document_is_worked_out_once(spark):
+    drawn = sampling.drawn_documents(spark.range(0, 600, 1, 1), "id", 5).withColumn("v", valid_document(F.col("cpf")) & valid_document(F.col("cnpj")))
+    plan = drawn._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") <= 6 and plan.count("lpad(") <= 2  # a first pass and two walks for each of both numbers
+    assert sum(n > 0 for n in drawn.rdd.glom().map(len).collect()) > 1  # one file's rows, several tasks
+    rows = {r["id"]: r for r in drawn.collect()}
+    assert len(rows) == 600 and all(r["v"] for r in rows.values())
+    with pytest.raises(Exception, match="no number"):
+        sampling.drawn_documents(spark.range(3).select(F.nullif("id", F.lit(1)).alias("id")), "id", 5).collect()
+
+
 def test_bucketed_tables_need_no_exchange(spark, tmp_path):
     tx = spark.range(4000).select(F.concat(F.lit("a"), F.col("id") % 40).alias("sender_account"), F.timestamp_seconds(F.col("id") * 5000 + 1_600_000_000).alias("timestamp"), F.lit(1).cast("decimal(18,2)").alias("amount_brl"))
     accounts = tx.select(F.col("sender_account").alias("account")).distinct().withColumn("customer_id", F.concat(F.lit("c"), "account"))
