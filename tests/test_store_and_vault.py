@@ -35,6 +35,26 @@ def test_a_hundred_thousand_marked_values(spark):
     assert marked.hits(table, df.limit(0)).count() == 0 and marked.hits(table.limit(0), df).count() == 0
 
 
+def test_many_marked_values_take_one_pass_over_the_texts(spark, monkeypatch):
+    r = random.Random(3)
+    letters = "abé😀z"
+    word = lambda n: "".join(r.choice(letters) for _ in range(n))
+    rows = [(word(r.randrange(400)), word(40) if i % 5 else None) for i in range(60)] + [("", "a"), ("x" * 70 + word(40), "x" * 69)]
+    windows = [t[i : i + k] for a, b in rows for t in (a, b) if t for k in (5, 9, 66) for i in range(0, len(t) - k, 7)]
+    values = {*windows, *(word(9) for _ in range(3000)), *(word(6) for _ in range(100)), "x" * 66, "no such value"}
+    table = spark.createDataFrame(rows, "a STRING, b STRING").repartition(3)
+    df = spark.createDataFrame([(v,) for v in [*values, *values, "", None]], "value STRING")
+    want = {v: n for v in values if (n := sum(any(v in t for t in row if t) for row in rows))}
+    passes = []
+    for f in ("_searched", "_candidates"):
+        monkeypatch.setattr(marked, f, lambda *a, f=getattr(marked, f): passes.append(a) or f(*a))
+    monkeypatch.setattr(marked, "STEP", 50)
+    got = [(x["value"], x["n_rows"]) for x in marked.rows_by_value(table, df, 4000).collect()]
+    assert dict(got) == want and len(got) == len(want) and len(passes) == 2  # the lengths of many values, and all others
+    found = {tuple(x) for x in marked.hits(table, df, ["a"], 4000).select("column", "value").collect()}
+    assert found == {("a", v) for v in values if any(v in a for a, _ in rows)}
+
+
 def test_the_vault_numbers_on(spark):
     seen = [("a1", "CONTA", "x", 0), ("a1", "CONTA", "y", 2), ("a1", "NOME", "ana", 0), ("a2", "CONTA", "y", 0), ("a2", "CONTA", "z", 3)]
     schema = "alert_id STRING, kind STRING, value STRING, at INT"
